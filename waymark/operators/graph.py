@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in spark.checkpoint.dir (a temporary folder where that is unset, as in tests)."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="waymark-")
@@ -24,13 +25,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     to the driver. Rounds end when nothing changes. Null ends and loops are dropped; no edges give no rows.
     """
     both = edges.where("src is not null and dst is not null and src != dst")
-    both = _cut(both.select("src", "dst").union(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = _cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
+    both = cut(both.select("src", "dst").union(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("near"))
         step = labels.join(near.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("component").alias("before"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        step = _cut(step.join(jump, "component", "left").select("node", "before", F.least("component", F.coalesce("further", "component")).alias("component")))
+        step = cut(step.join(jump, "component", "left").select("node", "before", F.least("component", F.coalesce("further", "component")).alias("component")))
         changed = step.where("component != before").limit(1).count()
         labels = step.select("node", "component")
         if not changed:
