@@ -11,8 +11,9 @@ often as the sets are alike.
 4. A pair goes on if its sizes allow the threshold and the similarity estimated jointly from the registers by maximum
    likelihood is within MARGIN standard errors of it.
 5. What is left is confirmed on the full sets, and links are joined to components.
-6. Buckets that then still hold members of several components are compared in full between those components, in blocks
-   of BLOCK members, on registers, and go through 4 and 5 again. No pair that the bands bring together is left out.
+6. Buckets that then still hold members of several components are compared in full between those components, in tasks
+   of two blocks of BLOCK members: sizes, registers, then sets, as above, inside the task, which gives back only the links
+   that join components. No pair that the bands bring together is left out, and no task or table holds all of them.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import BROADCAST_ROWS, batched, cut, words_of, written
+from waymark.llm.common import batched, cut, small, words_of, written
 from waymark.operators.graph import connected_components
 
 M, ROWS, BANDS = 120, 5, 24
@@ -166,13 +167,10 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     return fit.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """The pairs a, b whose full sets reach the threshold."""
-    pairs = cut(pairs)
-    wanted = cut(pairs.select(F.col("a").alias("_w")).union(pairs.select(F.col("b").alias("_w"))).distinct())
-    n = wanted.count()
+def _sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """id, set (64-bit hashes, sorted) of the documents whose ids are wanted (column _w, distinct)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, F.col("id") == F.col("_w"), "left_semi")
+    texts = texts.join(small(wanted), F.col("id") == F.col("_w"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -180,61 +178,97 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k:
             sets = [shingles(t, k, known).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
-    sets = written(texts.mapInArrow(run, "id long, set binary"), "sets")
+    return written(texts.mapInArrow(run, "id long, set binary"), "sets")
+
+
+def _short(sets: DataFrame) -> DataFrame:
+    """The sets with 32 of the 64 bits of each hash: half the bytes, and links found on them are confirmed in full."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [np.unique((np.frombuffer(b, np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], ["id", "set"])
+
+    return sets.mapInArrow(run, "id long, set binary")
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """The pairs a, b whose full sets reach the threshold."""
+    pairs = cut(pairs)
+    wanted = cut(pairs.select(F.col("a").alias("_w")).union(pairs.select(F.col("b").alias("_w"))).distinct())
+    sets = _sets(wanted, docs, id_col, text_col, k)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * same >= percent * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, o in zip(c, ok, strict=True) if o], pa.int64()) for c in (a, b)], ["a", "b"])
+            sides = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ok = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sides], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in (0, 1)], ["a", "b"])
 
     left = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a")
     both = left.join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b").select("a", "b", "sa", "sb")
     return cut(both.mapInArrow(check, "a long, b long").distinct())
 
 
+def _block_links(ids: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, same: bool, regs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links a < b that join the labels of one task's members as far as links do. same: all against all, else side 0
+    against side 1."""
+    floor, parent, out = floor_of(percent), {}, []
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    def settle(pairs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        i, j = (np.concatenate(c) for c in zip(*pairs, strict=True))
+        likely = estimate(regs[i], regs[j], n[i].astype(float), n[j].astype(float)) >= floor
+        for x, y in zip(i[likely].tolist(), j[likely].tolist(), strict=True):
+            a, b = root(int(label[x])), root(int(label[y]))
+            if a != b and linked(sets[x], sets[y], percent):
+                parent[max(a, b)] = min(a, b)
+                out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+
+    right = np.arange(len(ids)) if same else np.flatnonzero(side == 1)
+    held, count = [], 0
+    for i in np.arange(len(ids)) if same else np.flatnonzero(side == 0):
+        j = right[right > i] if same else right
+        j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+        # the estimate is close to the share of equal registers
+        j = j[(regs[j] == regs[i]).sum(1) >= M * (floor - 0.06)] if len(j) else j
+        if len(j):
+            held.append((np.full(len(j), i), j))
+            count += len(j)
+        if count >= 4096:
+            settle(held)
+            held, count = [], 0
+    if held:
+        settle(held)
+    return out
+
+
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """members: task (two blocks of a bucket), same (whether they are one), side, id, n, label, regs. Pairs a < b of
-    different labels that the registers allow, one from each side. A task has 2 * BLOCK rows or so."""
-    floor = floor_of(percent)
+    """members: task, same, side, id, n, label, regs, set -> a, b: the links between labels that each task finds."""
 
-    def pairs(rows: pa.RecordBatch) -> list[np.ndarray]:
-        ids, n, label = (rows.column(c).to_numpy() for c in ("id", "n", "label"))
-        side, same = rows.column("side").to_numpy(), rows.column("same")[0].as_py()
-        regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(-1, M)
-        found = []
-        right = np.flatnonzero(side == 1) if not same else np.arange(len(ids))
-        for i in np.arange(len(ids)) if same else np.flatnonzero(side == 0):
-            j = right[(label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            if same:
-                j = j[j > i]
-            if len(j):
-                # equal registers at the floor, less 5 standard errors, before the likelihood
-                j = j[(regs[j] == regs[i]).sum(1) >= M * (floor - 0.2)]
-            if len(j):
-                ok = estimate(np.broadcast_to(regs[i], (len(j), M)), regs[j], np.full(len(j), float(n[i])), n[j].astype(float)) >= floor
-                if ok.any():
-                    j = j[ok]
-                    found.append(np.stack((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))))
-        return found
+    def links(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        if rows.num_rows > 1:
+            ids, n, label, side = (rows.column(c).to_numpy() for c in ("id", "n", "label", "side"))
+            regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(-1, M)
+            sets = [np.frombuffer(b, np.uint32) for b in rows.column("set").to_pylist()]
+            if found := _block_links(ids, n, label, side, rows.column("same")[0].as_py(), regs, sets, percent):
+                yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in found], pa.int64()) for c in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows come sorted by task; one task is held at a time."""
         held: list[pa.RecordBatch] = []
-
-        def closed() -> Iterator[pa.RecordBatch]:
-            if held:
-                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                if rows.num_rows > 1 and (found := pairs(rows)):
-                    a, b = np.concatenate(found, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                held.clear()
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -242,14 +276,37 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
             at = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
             for i, j in zip(at, at[1:], strict=False):
                 if held and held[-1].column("task")[0].as_py() != task[i]:
-                    yield from closed()
+                    yield from links(held)
+                    held = []
                 held.append(batch.slice(i, j - i))
-        yield from closed()
+        if held:
+            yield from links(held)
 
-    columns = ["task", "same", "side", "id", "n", "label", "regs"]
+    columns = ["task", "same", "side", "id", "n", "label", "regs", "set"]
     return members.select(*columns).repartition("task").sortWithinPartitions("task", "id").mapInArrow(run, "a long, b long").distinct()
 
 
+def _tasks(marked: DataFrame) -> DataFrame:
+    """marked: bucket, id, label -> with task, same and side, for buckets of several labels. The members of a bucket's most
+    frequent label are its main part, to be compared with the others only; others are compared with all. Both are dealt by
+    hash into blocks of about BLOCK, and a task holds two blocks, so the tasks of a bucket number as its size times the
+    number of others."""
+    by_label = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    shape = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    shape = shape.select("bucket", F.col("top.label").alias("main"), blocks(F.col("top.n")).alias("mains"), blocks(F.col("all") - F.col("top.n")).alias("others"))
+    rows = marked.join(shape, "bucket").withColumn("is_main", F.col("label") == F.col("main"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    each = lambda n, main: F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.struct(b.alias("other"), F.lit(main).alias("to_main")))
+    partner = F.when(F.col("is_main"), each(F.col("others"), False)).otherwise(F.concat(each(F.col("others"), False), each(F.col("mains"), True)))
+    rows = rows.withColumn("p", F.explode(partner)).select("*", "p.other", "p.to_main")
+    mixed = F.col("is_main") | F.col("to_main")
+    lo = F.when(F.col("is_main"), F.col("other")).when(F.col("to_main"), F.col("block")).otherwise(F.least("block", "other"))
+    hi = F.when(F.col("is_main"), F.col("block")).when(F.col("to_main"), F.col("other")).otherwise(F.greatest("block", "other"))
+    rows = rows.withColumn("task", F.xxhash64("bucket", mixed, lo, hi)).withColumn("same", ~mixed & (lo == hi))
+    return rows.withColumn("side", F.when(F.col("is_main") | (~mixed & (F.col("block") != lo)), 1).otherwise(0)).select("task", "same", "side", "id", "label")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id, kept.
 
@@ -272,23 +329,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return out.join(regs.withColumnsRenamed({"id": "b", "n": "nb", "regs": "rb"}), "b")
 
     members = reps.select("id", F.explode("bands").alias("bucket"))
-    buckets = cut(members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1"))
+    buckets = cut(members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size"))
     members = cut(members.join(buckets, "bucket"))
     stars = members.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    linked = _confirmed(_likely(beside(stars), percent), df, id_col, text_col, shingle_words, percent)
-    labels = connected_components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    links = _confirmed(_likely(beside(stars), percent), df, id_col, text_col, shingle_words, percent)
+    edges = lambda e: e.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    labels = connected_components(edges(links))
     # buckets that hold several components
-    marked = cut(members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).select("bucket", "size", "id", "label"))
-    mixed = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    several = marked.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    several = several.join(regs, "id")
-    several = several.withColumn("block", (F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int"))
-    other = several.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    tasks = other.withColumn("task", F.xxhash64("bucket", lo, hi)).withColumn("same", F.col("block") == F.col("other")).withColumn("side", F.when(F.col("block") == lo, 0).otherwise(1))
-    more = _across(tasks, percent)
-    more = _confirmed(more.join(stars, ["a", "b"], "left_anti"), df, id_col, text_col, shingle_words, percent)
-    labels = connected_components(linked.union(more).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    marked = cut(members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label")))
+    tasks = cut(_tasks(marked))
+    sets = _sets(cut(tasks.select(F.col("id").alias("_w")).distinct()), df, id_col, text_col, shingle_words)
+    more = _across(tasks.join(regs, "id").join(_short(sets), "id"), percent)
+    more = _confirmed(more, df, id_col, text_col, shingle_words, percent)
+    labels = connected_components(edges(links.union(more)))
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("component", "rep").alias("component"))
     out = sig.select("id", "n", "set").join(of_class.where("set is not null"), "set", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

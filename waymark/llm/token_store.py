@@ -15,6 +15,7 @@ an attempt that is lost leaves nothing under the final one, and one that is repe
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -155,15 +156,60 @@ class Reader:
             held = whole[length:]
 
 
+#: A run of these letters is one pre-token, which no normalization but lower-casing changes; and one before full stops or commas.
+WORD_ALONE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+WORD_MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]+)")
+BEYOND_LATIN = re.compile("[^\x00-\xff]")
+
+
+class PieceEncoder:
+    """Ids of pieces without white space, as bytes of little-endian 32-bit integers, by the tokenizers library. Pieces that
+    are one word go to it many at a time, and come apart again at the tokens that end a word."""
+
+    def __init__(self, path: str, together: int = 256):
+        self.t, self.together = tokenizer(path), together
+        vocabulary = self.t.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _alone(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        groups = [words[i : i + self.together] for i in range(0, len(words), self.together)]
+        out: list[bytes] = []
+        for group, e in zip(groups, self.t.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)] if len(ends) == len(group) else self._alone(group)
+        return out
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        marked = {p: m.groups() for p in pieces if not p.isalpha() and (m := WORD_MARKED.fullmatch(p))}
+        words = list({p for p in pieces if WORD_ALONE.fullmatch(p)} | {w for w, _ in marked.values()})
+        other = list({p for p in pieces if p not in marked and not WORD_ALONE.fullmatch(p)} | {m for _, m in marked.values()})
+        known = dict(zip(words, self._words(words), strict=True)) | dict(zip(other, self._alone(other), strict=True))
+        return [known[p] if p not in marked else known[marked[p][0]] + known[marked[p][1]] for p in pieces]
+
+
+def pieces_of(text: str) -> list[str]:
+    """What stands between spaces, tabs and line ends. The tokenizer lower-cases character by character; where Python's
+    lower does the same, it is done first, so that fewer pieces differ."""
+    if not BEYOND_LATIN.search(text):
+        text = text.lower()
+    if not ODD_SPACE.search(text):
+        return text.split()
+    return [p for p in text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if p]
+
+
 def encoder(path: str, end_id: int | None):
     """texts -> their ids (with end_id), as bytes of little-endian 32-bit integers. The tokenizer drops white space, so a
-    text's ids are those of its pieces between spaces, tabs and line ends, and each distinct piece is encoded once."""
-    t = tokenizer(path)
-    known = Recall(lambda keys: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(keys, add_special_tokens=False)])
+    text's ids are those of its pieces, and each worker encodes every distinct piece once while it remembers it."""
+    known = Recall(PieceEncoder(path))
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        pieces = [[] if not x else (x.split() if not ODD_SPACE.search(x) else [p for p in x.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if p]) for x in texts]
+        pieces = [pieces_of(x or "") for x in texts]
         known.learn({p for ps in pieces for p in ps})
         out = [b"".join(map(known.__getitem__, ps)) + end for ps in pieces]
         known.age()
