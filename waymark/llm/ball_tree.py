@@ -129,7 +129,7 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id",
     """
     rows = df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(vector_col).alias("v"))
     rows = written(rows.withColumn("dim", F.size("v")), "vectors")
-    asked = rows.where(F.col("id") % every == 0)
+    asked = rows.where(F.col("id") % every == 0).select(*(F.col(c).alias(c) for c in rows.columns))  # columns of its own: both sides come from rows
     shards, blocks = max(1, -(-rows.count() // shard_rows)), max(1, -(-asked.count() // block_queries))
     deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
     points = rows.withColumn("shard", deal(shards, 1))
