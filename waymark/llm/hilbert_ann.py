@@ -7,6 +7,7 @@ windows find is merged and ranked by the exact distance on the original vectors.
 
 The windows are shares of the table, not numbers of rows, because that is what recall depends on: for vectors without
 much structure a neighbour lies in a window of share s with a probability of two or three times s, at any table size.
+A key that recurs takes one range, not several empty ones beside it, and tables of few rows have fewer ranges.
 Ranges that hold more than `task_rows` rows are dealt further by hash, so no task grows with the table or with a vector
 that recurs.
 """
@@ -35,7 +36,7 @@ class Curves:
     low: np.ndarray
     high: np.ndarray
     shifts: np.ndarray
-    splits: np.ndarray
+    splits: list[np.ndarray]
     bits: int
 
     @classmethod
@@ -44,9 +45,9 @@ class Curves:
         dims = min(dims, d)
         directions = np.stack([np.linalg.qr(rng.normal(size=(d, d)))[0][:, :dims] for _ in range(curves)])
         p = np.einsum("nd,cdk->cnk", sample, directions)
-        out = cls(directions, p.min(1), p.max(1), rng.random((curves, dims)), np.zeros((curves, 0), np.uint64), bits)
+        out = cls(directions, p.min(1), p.max(1), rng.random((curves, dims)), [], bits)
         keys = np.sort(out.keys(sample), 1)
-        out.splits = keys[:, [len(sample) * b // blocks for b in range(1, blocks)]]
+        out.splits = [np.unique(k[[len(sample) * b // blocks for b in range(1, blocks)]]) for k in keys]
         return out
 
     def keys(self, x: np.ndarray) -> np.ndarray:
@@ -67,8 +68,8 @@ def nearest(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id"
     Euclidean distance in double precision, nearest first, ties to the smaller id, the row itself left out.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null id or
-    of another length than most of the sample's. Rows that repeat an id count once (the smallest vector). A query finds
-    fewer than k only if the windows of all its curves hold fewer. Other columns are ignored; an empty table gives an
+    of another length than most of the sample's. Rows that repeat an id count once (the smallest vector). A range of a
+    small table holds some 4 * k rows, so a table of that many is met whole. A query finds fewer than k only if the windows of all its curves hold fewer. Other columns are ignored; an empty table gives an
     empty table. The curves are fitted on at most about sample_rows vectors; every row is indexed.
     """
     v = F.col(vector_col)
@@ -79,6 +80,7 @@ def nearest(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id"
     out_schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return df.sparkSession.createDataFrame([], out_schema)
+    blocks = max(1, min(blocks, n // (4 * k)))
     share = F.xxhash64("id") <= F.lit(min(2**63 - 1, int(-(2**63) + min(1.0, sample_rows / n) * 2**64)))
     picked = [np.array(r["v"]) for r in rows.where(share).orderBy("id").limit(2 * sample_rows).collect()] or [np.array(r["v"]) for r in rows.orderBy("id").limit(1).collect()]
     lengths = [len(p) for p in picked]
