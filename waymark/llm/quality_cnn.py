@@ -2,7 +2,8 @@
 
 A document is covered by overlapping chunks (the last one ends with the document). Bytes are embedded, learned filters
 slide over them, each filter keeps its maximum in the chunk, and a small dense layer makes a logit of the maxima and the
-chunk's length (the maxima of few windows are lower). The logits of all chunks, averaged, give one probability. The gradient passes only through the windows that hold the maxima.
+chunk's length (the maxima of few windows are lower). The probabilities of all chunks, averaged, give the document's, so
+that no chunk outweighs the others by being very sure. The gradient passes only through the windows that hold the maxima.
 """
 
 from __future__ import annotations
@@ -93,11 +94,10 @@ class ByteCNN:
             for row, (n, k, s) in enumerate(part):
                 x[row, :n] = np.frombuffer(raws[k], np.uint8, n, s)
             owner = [k for _, k, _ in part]
-            np.add.at(total, owner, self.logits(x))
+            with np.errstate(over="ignore"):
+                np.add.at(total, owner, 1 / (1 + np.exp(-self.logits(x).astype(np.float64))))
             np.add.at(count, owner, 1)
-        with np.errstate(over="ignore", invalid="ignore"):
-            p = 1 / (1 + np.exp(-total / np.maximum(count, 1)))
-        return np.where(count > 0, p, 0.0)
+        return total / np.maximum(count, 1)
 
 
 def fit_network(texts: Sequence[str], labels: Sequence[int], prior: float = 0.5, epochs: int = 10, rate: float = 0.01, chunks_per_text: int = 2, batch: int = 64, seed: int = 7, **shape) -> ByteCNN:
