@@ -270,6 +270,16 @@ def test_piece_encoder():
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
 
 
+def test_special_tokens_in_mixed_case(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = tokenizer(path)
+    texts = ["a <|ENDOFTEXT|> b", "A<|EndOfText|>B <|endoftext|>C", "<|StartOfText|>", "X<|startoftext|>É", "One <| TWO |> <|ENDOFTEXT|>\x1c<|endoftext|> Ä", "中 <|ENDOFTEXT|> B", "PLAIN Text."]
+    want = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder(path, 2)(texts)] == want
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in store_and_read(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: (sum(map(len, want[:i])), len(x), zlib.crc32(struct.pack(f"<{len(x)}I", *x))) for i, x in enumerate(want)}
+
+
 def test_token_store(docs, rows, empty):
     t = tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     got = sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in store_and_read(docs).collect()), key=lambda r: r[0])

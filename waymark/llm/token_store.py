@@ -160,6 +160,8 @@ class Reader:
 WORD_ALONE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 WORD_MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]+)")
 BEYOND_LATIN = re.compile("[^\x00-\xff]")
+#: How the special tokens begin.
+SPECIAL = "<|"
 
 
 class PieceEncoder:
@@ -194,12 +196,17 @@ class PieceEncoder:
 
 def pieces_of(text: str) -> list[str]:
     """What stands between spaces, tabs and line ends. The tokenizer lower-cases character by character; where Python's
-    lower does the same, it is done first, so that fewer pieces differ."""
-    if not BEYOND_LATIN.search(text):
+    lower does the same, it is done first, so that fewer pieces differ. But the tokenizer looks for its special tokens
+    before it lower-cases, so pieces that may hold one (or something like one) stay as they are."""
+    latin = not BEYOND_LATIN.search(text)
+    special = SPECIAL in text
+    if latin and not special:
         text = text.lower()
     if not ODD_SPACE.search(text):
-        return text.split()
-    return [p for p in text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if p]
+        pieces = text.split()
+    else:
+        pieces = [p for p in text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if p]
+    return [p if SPECIAL in p else p.lower() for p in pieces] if latin and special else pieces
 
 
 def encoder(path: str, end_id: int | None):
