@@ -233,7 +233,17 @@ def jn7_parent_per_level(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT n.p_partkey AS point_id, arg_min(h.idx, (d, h.idx)) AS idx, round(min(d), 2) AS metres FROM (SELECT p_partkey, h.idx, " + meters("n.lat, n.lon", "h.lat, h.lon") + " AS d FROM part JOIN nodes n ON n.id = p_partkey, houses h WHERE p_partkey % 20 = 0) n JOIN houses h ON h.idx = n.idx GROUP BY n.p_partkey")
 def jn9_nearest_house(spark: SparkSession, sf: str) -> DataFrame:
-    q = V.nodes(spark, sf).where("id % 20 = 0").withColumnRenamed("id", "point_id")
+    """Of every 20th node, as its SQL compares all pairs; jn9_nearest_house_all answers every node."""
+    return _nearest_house(V.nodes(spark, sf).where("id % 20 = 0"), spark, sf)
+
+
+@query()
+def jn9_nearest_house_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _nearest_house(V.nodes(spark, sf), spark, sf)
+
+
+def _nearest_house(nodes: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    q = nodes.withColumnRenamed("id", "point_id")
     return nearest_points(q, V.houses(spark, sf)).select("point_id", long("idx"), F.round("metres", 2).alias("metres"))
 
 
@@ -248,8 +258,17 @@ def jn10_nearest_street(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT point_id, round(min(least({seg('p.lat', 'p.lon', 'lat0', 'lon0', 'lat0+h', 'lon0')}, CASE level WHEN 8 THEN {seg('p.lat', 'p.lon', 'lat0+h', 'lon0', 'lat0', 'lon0+w')} ELSE least({seg('p.lat', 'p.lon', 'lat0+h', 'lon0', 'lat0+h', 'lon0+w')}, {seg('p.lat', 'p.lon', 'lat0+h', 'lon0+w', 'lat0', 'lon0+w')}) END,
 {seg('p.lat', 'p.lon', 'lat0', 'lon0+w', 'lat0', 'lon0')})), 2) AS metres FROM points p, areas WHERE point_id % 10 = 0 GROUP BY point_id""")
 def jn11_nearest_admin(spark: SparkSession, sf: str) -> DataFrame:
-    q = V.points(spark, sf).where("point_id % 10 = 0")
-    return nearest_admin(q, V.dataset(spark, sf)).select("point_id", F.round("metres", 2).alias("metres"))
+    """Of every 10th point, as its SQL compares all pairs; jn11_nearest_admin_all answers every point."""
+    return _nearest_admin(V.points(spark, sf).where("point_id % 10 = 0"), spark, sf)
+
+
+@query()
+def jn11_nearest_admin_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _nearest_admin(V.points(spark, sf), spark, sf)
+
+
+def _nearest_admin(points: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    return nearest_admin(points, V.dataset(spark, sf)).select("point_id", F.round("metres", 2).alias("metres"))
 
 
 @query(f"SELECT p.idx, round(min({meters('p.lat, p.lon', 'a.lat, a.lon')}), 2) AS metres FROM pois p, pois a WHERE a.idx % 97 = 0 AND a.idx < 97 * 40 GROUP BY p.idx")
@@ -470,8 +489,18 @@ def fg13_rank(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT point_id, (CASE WHEN hm <= 3 THEN 'house' WHEN sm <= 15 THEN 'street' WHEN sm <= 50 AND sm <= hm THEN 'street' WHEN hm <= 100 THEN 'house' WHEN sm <= 50 THEN 'street' WHEN hm <= 300 THEN 'house' ELSE 'admin_area' END) AS kind
 FROM (SELECT p.id AS point_id, min({meters('p.lat, p.lon', 'h.lat, h.lon')}) AS hm FROM nodes p, houses h WHERE p.id % 40 = 0 GROUP BY p.id) JOIN (SELECT p.id, min({seg('p.lat', 'p.lon', 'y1', 'x1', 'y2', 'x2')}) AS sm FROM nodes p, segments WHERE p.id % 40 = 0 AND y2 IS NOT NULL GROUP BY p.id) ON id = point_id""")
 def rv1_reverse(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every 40th node, as its SQL compares all pairs; rv1_reverse_all answers every node."""
+    return _reverse(V.nodes(spark, sf).where("id % 40 = 0"), spark, sf)
+
+
+@query()
+def rv1_reverse_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _reverse(V.nodes(spark, sf), spark, sf)
+
+
+def _reverse(nodes: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
     d = B.attribute(V.dataset(spark, sf))
-    q = V.nodes(spark, sf).where("id % 40 = 0").select(F.col("id").alias("point_id"), G.degrees(F.col("lat_e7")).alias("lat"), G.degrees(F.col("lon_e7")).alias("lon"))
+    q = nodes.select(F.col("id").alias("point_id"), G.degrees(F.col("lat_e7")).alias("lat"), G.degrees(F.col("lon_e7")).alias("lon"))
     return reverse_geocode(q, d).select("point_id", F.col("result_type").alias("kind"))
 
 
