@@ -19,7 +19,7 @@ from waymark.llm.language_id import LanguageModel, classify, fit_languages, iden
 from waymark.llm.mixing import mix, mixed_documents
 from waymark.llm.packing import pack, pack_shard
 from waymark.llm.quality_cnn import fit_network, fit_quality, score_quality
-from waymark.llm.setsketch import estimate, near_duplicates, shingles, sketch
+from waymark.llm.setsketch import M, banding, estimate, near_duplicates, shingles, sketch
 from waymark.llm.token_count import PIECE, count_huge, count_tokens, tokenizer
 from waymark.llm.token_store import Reader, Writer, decode_block, encode_block, encoder, store_and_read
 from waymark.llm.url_filter import Rule, ShiftAnd, filter_urls
@@ -381,6 +381,18 @@ def test_sketch_estimates():
     assert len(shingles("a b", 3, {b"a": 1, b"b": 2})) == 1 and len(shingles("", 3, {})) == 0
 
 
+def test_pairs_at_the_threshold_share_a_band():
+    for percent in range(12, 100):
+        rows, bands = banding(percent)
+        assert rows * bands <= M and (1 - (percent / 100) ** rows) ** bands < 1e-6
+    rng = np.random.default_rng(7)
+    rows, bands = banding(80)
+    for _ in range(20):  # 100,000 pairs that share 8 of 10 elements; of 24 bands of 5 registers some 6 of them shared none
+        x = rng.integers(0, 2**64, (5000, 10), np.uint64)
+        a, b = (sketch([s for s in np.sort(x[:, c], axis=1)])[:, : rows * bands].reshape(5000, bands, rows) for c in (list(range(9)), [*range(8), 9]))
+        assert (a == b).all(2).any(1).all()
+
+
 # Packing
 
 

@@ -6,7 +6,8 @@ minima on an exponential scale. Sketches of unions are the maxima of sketches, a
 often as the sets are alike.
 
 1. Documents with the same set are one class, by a 128-bit hash; its smallest id stands for it from here on.
-2. BANDS bands of ROWS registers are hashed to keys. A pair at the threshold shares none with probability below 1e-6.
+2. Bands of registers are hashed to keys, as many and as long as banding() says for the threshold: a pair at it shares
+   none with probability below MISS.
 3. In each bucket every member is paired with the bucket's smallest id (a star, linear in the bucket).
 4. A pair goes on if its sizes allow the threshold and the similarity estimated jointly from the registers by maximum
    likelihood is within MARGIN standard errors of it.
@@ -18,6 +19,7 @@ often as the sets are alike.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from waymark.llm.common import batched, cut, small, words_of, written
 from waymark.operators.graph import connected_components
 
-M, ROWS, BANDS = 120, 5, 24
+M, MISS = 120, 1e-6
 #: Base of the exponential scale, its rate, and the largest exponent.
 B, RATE, LIMIT = 1.02, 20.0, 4094
 MARGIN = 5.0
@@ -129,9 +131,19 @@ def smallest_linked(percent: int) -> int:
     return n
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Rows of a band and bands: the longest bands of which M registers hold enough. Two registers are equal at least with
+    the similarity as probability. Below 11 % M registers don't suffice for MISS; then each is a band."""
+    for rows in range(M, 1, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows)))
+        if rows * bands <= M:
+            return rows, bands
+    return 1, M
+
+
 def signatures(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """id, n, set (128-bit hash of the set, null if empty), regs and bands (null where only equal sets can link)."""
-    least = smallest_linked(percent)
+    least, (rows, count) = smallest_linked(percent), banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -143,7 +155,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, percent: int)
             bands: list = [None] * len(sets)
             for i, row in zip(large, regs, strict=True):
                 raw[i] = row.tobytes()
-                bands[i] = [xxhash.xxh3_64_intdigest(row[b * ROWS : (b + 1) * ROWS].tobytes(), seed=b + 1) - 2**63 for b in range(BANDS)]
+                bands[i] = [xxhash.xxh3_64_intdigest(row[b * rows : (b + 1) * rows].tobytes(), seed=b + 1) - 2**63 for b in range(count)]
             hashes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.binary()), pa.array(raw, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "set", "regs", "bands"])
 
