@@ -19,7 +19,7 @@ from waymark.llm.language_id import LanguageModel, classify, fit_languages, iden
 from waymark.llm.mixing import mix, mixed_documents
 from waymark.llm.packing import pack, pack_shard
 from waymark.llm.quality_cnn import fit_network, fit_quality, score_quality
-from waymark.llm.setsketch import M, banding, estimate, near_duplicates, shingles, sketch
+from waymark.llm.setsketch import M, _across, banding, estimate, near_duplicates, shingles, sketch
 from waymark.llm.token_count import PIECE, count_huge, count_tokens, tokenizer
 from waymark.llm.token_store import Reader, Writer, decode_block, encode_block, encoder, store_and_read
 from waymark.llm.url_filter import Rule, ShiftAnd, filter_urls
@@ -393,6 +393,19 @@ def test_pairs_at_the_threshold_share_a_band():
         assert (a == b).all(2).any(1).all()
 
 
+def test_blocks_compare_whole_hashes(spark):
+    rng = np.random.default_rng(8)
+    e = np.unique(rng.integers(0, 2**64, 40, np.uint64))
+    twin = lambda h: h ^ np.uint64(1)  # noqa: E731 - the same upper 32 bits
+    # 1 and 2: 8 of 10, two of the shared ones alike in 32 bits; 3 and 4: 7 of 9, the own ones alike in 32 bits
+    sets = {1: [*e[:7], twin(e[0]), e[7]], 2: [*e[:7], twin(e[0]), e[8]], 3: [*e[20:27], e[27]], 4: [*e[20:27], twin(e[27])]}
+    sets = {i: np.sort(np.array(s, np.uint64)) for i, s in sets.items()}
+    regs = dict(zip(sets, sketch(list(sets.values())), strict=True))
+    rows = [(1, True, 0, i, len(s), i, regs[i].tobytes(), s.tobytes()) for i, s in sets.items()]
+    members = spark.createDataFrame(rows, "task long, same boolean, side int, id long, n long, label long, regs binary, set binary")
+    assert {tuple(r) for r in _across(members, 80).collect()} == {(1, 2)}
+
+
 # Packing
 
 

@@ -193,17 +193,6 @@ def _sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int
     return written(texts.mapInArrow(run, "id long, set binary"), "sets")
 
 
-def _short(sets: DataFrame) -> DataFrame:
-    """The sets with 32 of the 64 bits of each hash: half the bytes, and links found on them are confirmed in full."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            short = [np.unique((np.frombuffer(b, np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], ["id", "set"])
-
-    return sets.mapInArrow(run, "id long, set binary")
-
-
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets reach the threshold."""
     both = np.concatenate((x, y))
@@ -274,7 +263,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         if rows.num_rows > 1:
             ids, n, label, side = (rows.column(c).to_numpy() for c in ("id", "n", "label", "side"))
             regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(-1, M)
-            sets = [np.frombuffer(b, np.uint32) for b in rows.column("set").to_pylist()]
+            sets = [np.frombuffer(b, np.uint64) for b in rows.column("set").to_pylist()]
             if found := _block_links(ids, n, label, side, rows.column("same")[0].as_py(), regs, sets, percent):
                 yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in found], pa.int64()) for c in (0, 1)], ["a", "b"])
 
@@ -351,7 +340,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = cut(members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label")))
     tasks = cut(_tasks(marked))
     sets = _sets(cut(tasks.select(F.col("id").alias("_w")).distinct()), df, id_col, text_col, shingle_words)
-    more = _across(tasks.join(regs, "id").join(_short(sets), "id"), percent)
+    more = _across(tasks.join(regs, "id").join(sets, "id"), percent)
     more = _confirmed(more, df, id_col, text_col, shingle_words, percent)
     labels = connected_components(edges(links.union(more)))
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("component", "rep").alias("component"))
