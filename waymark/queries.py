@@ -336,9 +336,19 @@ WHEN d <= m AND 620 - 170*d + 55*p - pen - CASE WHEN p < 2 AND length(q) >= 5 TH
 FROM (SELECT q, t, {_PREFIX} AS p, least(220, 18*abs(length(q)-length(t))) AS pen, levenshtein(q, t) AS d, CASE WHEN length(q) <= 5 THEN 1 ELSE 2 END AS m FROM
 (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS q FROM part), (SELECT DISTINCT substr(unnest(string_split(p_name || ' ' || lower(p_type), ' ')), 1, 5) AS t FROM part))""", views=False)
 def tx8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Against the first 5 characters of tokens, as its SQL; tx8_quality_all takes whole tokens."""
+    return _quality(spark, sf, F.substring("t", 1, 5))
+
+
+@query()
+def tx8_quality_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _quality(spark, sf, F.col("t"))
+
+
+def _quality(spark: SparkSession, sf: str, target: Column) -> DataFrame:
     part = V.table(spark, sf, "part")
     q = part.select(F.explode(F.split("p_name", " ")).alias("q")).distinct()
-    t = part.select(F.explode(F.split(F.concat("p_name", F.lit(" "), F.lower("p_type")), " ")).alias("t")).select(F.substring("t", 1, 5).alias("t")).distinct()
+    t = part.select(F.explode(F.split(F.concat("p_name", F.lit(" "), F.lower("p_type")), " ")).alias("t")).select(target.alias("t")).distinct()
     return q.crossJoin(t).select("q", "t", X.match_quality(F.col("q"), F.col("t")).cast("long").alias("quality"))  # a few words
 
 
@@ -735,9 +745,15 @@ def snk1_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT kind::BIGINT AS kind, count(*) AS n FROM (SELECT 1 AS kind FROM (SELECT 1 FROM customer LIMIT 500) UNION ALL SELECT 2 FROM (SELECT idx FROM streets ORDER BY idx LIMIT 200) UNION ALL SELECT 3 FROM areas) GROUP BY kind")
 def snk2_geojson(spark: SparkSession, sf: str) -> DataFrame:
+    """With smaller limits than the export's own, as its SQL; snk2_geojson_all has the export's own."""
     return export.features(V.dataset(spark, sf), 500, 200, 500).groupBy(long("kind")).agg(F.count("*").alias("n"))
 
 
+@query()
+def snk2_geojson_all(spark: SparkSession, sf: str) -> DataFrame:
+    return export.features(V.dataset(spark, sf)).groupBy(long("kind")).agg(F.count("*").alias("n"))
+
+
 @query("""SELECT idx, '{"id":' || (idx + 1) || ',"lat":' || (lat/1e7)::DOUBLE || ',"lon":' || (lon/1e7)::DOUBLE || ',"street":"' || street || '","number":"' || house_number || '","city":"' || city || '","postcode":"' || postcode || '","country":""}' AS json FROM houses""")
 def snk3_house_json(spark: SparkSession, sf: str) -> DataFrame:
     return export.house_json(V.houses(spark, sf)).select(long("idx"), "json")
