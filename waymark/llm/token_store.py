@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.llm.common import ODD_SPACE, batched, cut, like, shared_dir
-from waymark.llm.token_count import Recall, tokenizer
+from waymark.llm.token_count import tokenizer
 
 MAGIC, BLOCK = b"WMPLANE1", 65_536
 TAIL = struct.Struct("<QQQQ8s")  # place of the document table, place of the index, blocks, documents
@@ -156,23 +157,29 @@ class Reader:
             held = whole[length:]
 
 
-#: A run of these letters is one pre-token, which no normalization but lower-casing changes; and one before full stops or commas.
+#: A run of these letters is one pre-token, which no normalization but lower-casing changes.
 WORD_ALONE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-WORD_MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]+)")
+#: ASCII marks after a word are a pre-token of their own: but not apostrophes ('s), nor what begins special tokens.
+MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 BEYOND_LATIN = re.compile("[^\x00-\xff]")
 #: How the special tokens begin.
 SPECIAL = "<|"
+#: Pieces that a worker remembers in each of two generations.
+REMEMBERED = 400_000
 
 
 class PieceEncoder:
     """Ids of pieces without white space, as bytes of little-endian 32-bit integers, by the tokenizers library. Pieces that
-    are one word go to it many at a time, and come apart again at the tokens that end a word."""
+    are one word go to it many at a time, and come apart again at the tokens that end a word. It remembers pieces; the older
+    of two generations goes when the younger is full."""
 
     def __init__(self, path: str, together: int = 256):
         self.t, self.together = tokenizer(path), together
         vocabulary = self.t.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _alone(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -186,12 +193,40 @@ class PieceEncoder:
             out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)] if len(ends) == len(group) else self._alone(group)
         return out
 
-    def __call__(self, pieces: list[str]) -> list[bytes]:
-        marked = {p: m.groups() for p in pieces if not p.isalpha() and (m := WORD_MARKED.fullmatch(p))}
-        words = list({p for p in pieces if WORD_ALONE.fullmatch(p)} | {w for w, _ in marked.values()})
-        other = list({p for p in pieces if p not in marked and not WORD_ALONE.fullmatch(p)} | {m for _, m in marked.values()})
-        known = dict(zip(words, self._words(words), strict=True)) | dict(zip(other, self._alone(other), strict=True))
-        return [known[p] if p not in marked else known[marked[p][0]] + known[marked[p][1]] for p in pieces]
+    def _unknown(self, pieces: set[str]) -> set[str]:
+        """Those of pieces that aren't remembered; those of the older generation come into the younger."""
+        new = pieces.difference(self.known)
+        if self.older and (back := new.intersection(self.older)):
+            self.known.update(zip(back, map(self.older.__getitem__, back), strict=True))
+            new -= back
+        return new
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of (at least) these pieces."""
+        new = self._unknown(pieces)
+        words, marked, other = [], [], []
+        for p in new:
+            word = p.rstrip(MARKS)
+            if (word.isascii() and word.isalpha()) or WORD_ALONE.fullmatch(word):
+                if len(word) == len(p):
+                    words.append(p)
+                else:
+                    marked.append((p, word, p[len(word) :]))
+            else:
+                other.append(p)
+        parts = self._unknown({m[1] for m in marked}.difference(new))
+        words += parts
+        other += self._unknown({m[2] for m in marked}.difference(new))
+        known = self.known
+        known.update(zip(words, self._words(words), strict=True))
+        known.update(zip(other, self._alone(other), strict=True))
+        for p, word, marks in marked:
+            known[p] = known[word] + known[marks]
+        return known
+
+    def age(self) -> None:
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
 
 
 def pieces_of(text: str) -> list[str]:
@@ -209,17 +244,19 @@ def pieces_of(text: str) -> list[str]:
     return [p if SPECIAL in p else p.lower() for p in pieces] if latin and special else pieces
 
 
+@lru_cache(maxsize=2)
 def encoder(path: str, end_id: int | None):
     """texts -> their ids (with end_id), as bytes of little-endian 32-bit integers. The tokenizer drops white space, so a
-    text's ids are those of its pieces, and each worker encodes every distinct piece once while it remembers it."""
-    known = Recall(PieceEncoder(path))
+    text's ids are those of its pieces, and each worker process encodes every distinct piece once while it remembers it,
+    from task to task."""
+    pieces_known = PieceEncoder(path)
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def encode(texts: list[str | None]) -> list[bytes]:
         pieces = [pieces_of(x or "") for x in texts]
-        known.learn({p for ps in pieces for p in ps})
+        known = pieces_known.learn(set().union(*pieces))
         out = [b"".join(map(known.__getitem__, ps)) + end for ps in pieces]
-        known.age()
+        pieces_known.age()
         return out
 
     return encode
