@@ -20,7 +20,7 @@ from waymark.llm.mixing import mix, mixed_documents
 from waymark.llm.packing import pack, pack_shard
 from waymark.llm.quality_cnn import fit_network, fit_quality, score_quality
 from waymark.llm.setsketch import M, _across, banding, estimate, near_duplicates, shingles, sketch
-from waymark.llm.token_count import PIECE, count_huge, count_tokens, tokenizer
+from waymark.llm.token_count import count_huge, count_tokens, tokenizer
 from waymark.llm.token_store import Reader, Writer, decode_block, encode_block, encoder, store_and_read
 from waymark.llm.url_filter import Rule, ShiftAnd, filter_urls
 
@@ -223,11 +223,10 @@ def test_resynchronised_counts(byte_bpe):
     for t in [*odd_texts(600), "x" * 3000, "1 " * 900, " " * 500 + "a"]:
         whole = len(byte_bpe.encode(t, add_special_tokens=False).ids)
         assert count_huge(t, byte_bpe, 30, 8) == whole
-        assert "".join(PIECE.findall(t)) == t
 
 
 def test_token_counts(spark, docs, rows, byte_bpe, empty):
-    got = count_tokens(docs, chunk=2000, overlap=100).collect()
+    got = count_tokens(docs, chunk=200, overlap=40).collect()
     want = sorted((i is None, i or 0, len((t or "").encode()), len(byte_bpe.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in rows)
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_tokens"]) for r in got) == want
     assert all(r["over_limit"] == (r["n_tokens"] > 1024) for r in got) and count_tokens(empty).count() == 0

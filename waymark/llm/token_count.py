@@ -1,23 +1,19 @@
-"""Token counts, with overlap resynchronisation for huge documents.
+"""Token counts by overlap resynchronisation.
 
-A boundary before one of space, \\t, \\n, \\r and after any other character is stable: no pre-token of a byte-level
-tokenizer of this kind reaches over it, and what follows is tokenized as if the text began there (the look-ahead of its
-pattern concerns white space only, and looks forward). So:
+A boundary before one of space, \\t, \\n, \\r and after a letter, digit or ASCII mark is stable: no pre-token of a
+byte-level tokenizer of this kind reaches over it, and what follows is tokenized as if the text began there (the
+look-ahead of its pattern concerns white space only, and looks forward).
 
-* Documents of up to `chunk` characters are the sum of their pieces between stable boundaries; pieces recur, and each
-  worker encodes every distinct one once.
-* Longer documents are encoded in overlapping chunks with offsets. Two neighbouring chunks are spliced at a place in
-  their overlap where both have a token boundary and that is stable; if there is none, the overlap is widened.
-
-Texts with white space that Python and the tokenizer's pattern may treat differently have fewer stable boundaries
-between odd spaces; they skip the first way, and in the second only boundaries after a letter, digit or ASCII mark count.
+A text of more than `chunk` characters is encoded in overlapping chunks with offsets. Two neighbouring chunks are spliced
+at the last stable boundary in their overlap at which both have a token boundary; where there is none, the overlap and
+the chunk are widened, at most to the rest of the text. A text of one chunk is encoded as it is.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -25,14 +21,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import Encoding, Tokenizer
 
-from waymark.llm.common import ODD_SPACE, batched, like
+from waymark.llm.common import batched, like
 
-PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 STABLE = re.compile(r"(?<=[!-~\w])(?=[ \t\n\r])")
-#: Pieces that a worker remembers in each of two generations.
-REMEMBERED = 400_000
 
 
 @lru_cache(maxsize=4)
@@ -44,61 +37,47 @@ def tokenizer(path: str) -> Tokenizer:
     return t
 
 
-class Recall(dict):
-    """Keys with what `make` (of a list of new keys) gave for them. The older of two generations goes when the younger is full."""
-
-    def __init__(self, make: Callable[[list], list]):
-        super().__init__()
-        self.make, self.older = make, {}
-
-    def learn(self, keys: set) -> None:
-        new = keys - self.keys()
-        if old := new & self.older.keys():
-            self.update((k, self.older[k]) for k in old)
-            new -= old
-        if new:
-            fresh = list(new)
-            self.update(zip(fresh, self.make(fresh), strict=True))
-
-    def age(self) -> None:
-        if len(self) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
+def tokens_before(e: Encoding, at: int) -> int | None:
+    """How many tokens of e end by character `at`, if a token begins there, else None."""
+    token = e.char_to_token(at)
+    return token if token is not None and e.token_to_chars(token)[0] == at and (not token or e.token_to_chars(token - 1)[1] <= at) else None
 
 
 def count_huge(text: str, t: Tokenizer, chunk: int, overlap: int) -> int:
     """Tokens of text, encoded in chunks of `chunk` characters that overlap by `overlap`, more where they don't align."""
+    encode = lambda i, j: t.encode(text[i:j], add_special_tokens=False)
     n, begin, total = len(text), 0, 0  # tokens before `begin` are counted, and begin is stable
     size, lap = chunk, overlap
-    while True:
-        end = min(n, begin + size)
-        ends = [b for _, b in t.encode(text[begin:end], add_special_tokens=False).offsets]
-        if end == n:
-            return total + len(ends)
-        after = min(n, end - min(lap, size // 2) + size)
+    while n - begin > size:
+        end = begin + size
+        own = encode(begin, end)
+        starts = [m.start() for m in STABLE.finditer(text, max(begin + 1, end - lap), end)]
         splice = None
-        lap_begin = end - min(lap, size // 2)
-        # the next chunk starts in the overlap, at its first stable boundary; it agrees with this one from there on
-        mine = {begin + b for b in ends}
-        starts = [m.start() for m in STABLE.finditer(text, lap_begin, end)]
-        if starts and after > end:
+        if len(starts) > 1:
+            # the next chunk begins at the first stable place of the overlap; what follows the last common boundary of
+            # both may have been cut by the end of this chunk
             first = starts[0]
-            theirs = {first + b for _, b in t.encode(text[first:end], add_special_tokens=False).offsets} | {first}
-            # the last boundary of both; what follows it in this chunk may have been cut by its end
-            splice = next((s for s in reversed(starts) if s > begin and s in mine and s in theirs), None)
+            other = encode(first, end)
+            for s in reversed(starts[1:]):
+                before = tokens_before(own, s - begin)
+                if before is not None and tokens_before(other, s - first) is not None:
+                    splice = s
+                    break
         if splice is None:
-            size, lap = size * 2, lap * 2  # widen until they align, at most to the whole rest
+            size, lap = size * 2, lap * 2
             continue
-        total += sum(begin + b <= splice for b in ends)
+        total += before
         begin, size, lap = splice, chunk, overlap
+    return total + len(encode(begin, n))
 
 
-def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 1024, chunk: int = 32_768, overlap: int = 1024) -> DataFrame:
+def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 1024, chunk: int = 4096, overlap: int = 256) -> DataFrame:
     """One row per row of df: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     Counts are those of the tokenizers library for the file at `path` on the whole text, without special tokens added,
     truncation or padding. Null texts count as empty: 0 and 0. Repeated rows and null ids are answered row by row;
-    other columns are ignored. No shuffle. Memory: a batch of texts, a chunk of tokens, 2 * REMEMBERED pieces.
+    other columns are ignored; an empty table gives an empty table. No shuffle. Memory: a batch of texts and the tokens of
+    a chunk (of a text without any stable boundary, such as one long word: the tokens of that text).
     """
     batched(df.sparkSession)
     path = path or public_tokenizers.path("byte_bpe_50k.json")
@@ -106,20 +85,14 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        known = Recall(lambda keys: [len(e.ids) for e in t.encode_batch_fast(keys, add_special_tokens=False)])
         for batch in batches:
             texts = [x or "" for x in batch.column(0).to_pylist()]
-            counts = []
-            split = {k: PIECE.findall(x) for k, x in enumerate(texts) if len(x) <= chunk and not ODD_SPACE.search(x)}
-            known.learn({p for pieces in split.values() for p in pieces})
-            for k, x in enumerate(texts):
-                if k in split:
-                    counts.append(sum(map(known.__getitem__, split[k])))
-                elif len(x) <= chunk:
-                    counts.append(len(t.encode(x, add_special_tokens=False).ids))
-                else:
-                    counts.append(count_huge(x, t, chunk, overlap))
-            known.age()
+            short = [k for k, x in enumerate(texts) if len(x) <= chunk]
+            counts = [count_huge(x, t, chunk, overlap) if len(x) > chunk else 0 for x in texts]
+            for i in range(0, len(short), 64):
+                some = short[i : i + 64]
+                for k, e in zip(some, t.encode_batch([texts[k] for k in some], add_special_tokens=False), strict=True):
+                    counts[k] = len(e)
             sizes = [len(x.encode("utf-8", "surrogatepass")) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
