@@ -121,11 +121,68 @@ def test_mix(docs, rows, empty):
     assert mix(empty).count() == 0
 
 
-def test_mixed_documents(docs, empty):
+def odds_sample(items, rest):
+    """items (size, u as an integer) -> the sizes that Pareto sampling takes: certain ones, then by odds ratio, then one that fits."""
+    certain, open_ = [], sorted(items, key=lambda t: -t[0])
+    while True:
+        c = (rest - sum(certain)) / sum(s * s for s, _ in open_)
+        if c * open_[0][0] <= 1 or open_[0][0] == open_[-1][0]:
+            break
+        top = open_[0][0]
+        certain += [s for s, _ in open_ if s == top]
+        open_ = [t for t in open_ if t[0] != top]
+
+    def ratio(t):
+        u, p = (t[1] + 0.5) / 2**52, min(1.0, c * t[0])
+        return (u / (1 - u)) * (1 - p) / p
+
+    room, left = rest - sum(certain), sorted(open_, key=ratio)
+    while left and left[0][0] <= room:
+        certain.append(left[0][0])
+        room -= left.pop(0)[0]
+    best = min(left, key=lambda t: abs(room - t[0]), default=(0, 0))
+    return certain + ([best[0]] if abs(room - best[0]) < room else [])
+
+
+def test_pareto_sample(spark):
+    """Against the definition: few large documents, many small ones, one size only, repeated rows."""
+    rng = random.Random(11)
+    sizes = {"a": [1000, 1000], "b": [rng.randint(1, 40) for _ in range(300)] + [3000, 2500, 700], "c": [7] * 100, "d": [500]}
+    rows, i = [], 0
+    for s, ns in sizes.items():
+        for n in ns:
+            rows.append((i, " ".join(["w"] * n), s))
+            i += 1
+    rows += [(9999, "x y z", "e")] * 60 + [(10_000 + j, "x", "e") for j in range(20)]
+    sizes["e"] = [3] * 60 + [1] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mix(df).collect()
+    import hashlib
+
+    u = lambda i, n: int(hashlib.md5(f"mix:{i}:{n}".encode()).hexdigest()[:13], 16)
+    for s, ns in sizes.items():
+        own = [g for g in got if g["source_size"] == sum(ns)]
+        target = own[0]["target"]
+        repeats = int(target // sum(ns))
+        more = sorted(g["size"] for g in own for _ in range(g["taken"] // g["size"] - repeats))
+        rest = target - repeats * sum(ns)
+        items = [(len(t.split()), u(i, len(t.split()))) for i, t, x in rows if x == s]
+        want = sorted(odds_sample(items, rest)) if rest > 0 else []
+        assert more == want, s
+        assert abs(sum(g["taken"] for g in own) - target) <= max(ns) / 2
+    # large documents are likelier, in proportion
+    few = mix(spark.createDataFrame([(i, "w " * (1 + 39 * (i % 2)), "z" if i < 4000 else "a") for i in range(4400)], "doc_id long, text string, source string")).where("source_size > 20000").groupBy("size").agg(F.avg((F.col("taken") > 0).cast("int"))).collect()
+    rate = {r[0]: r[1] for r in few}
+    assert rate[40] > 5 * rate[1]
+
+
+def test_mixed_documents(spark, docs, empty):
     out = mixed_documents(docs)
     assert out.columns == docs.columns
     taken = mix(docs).agg(F.sum("taken")).first()[0]
     assert out.agg(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] == pytest.approx(taken, abs=20)
+    same = spark.createDataFrame([(1, "a b c", "s", k) for k in range(50)] + [(2, "a", "t", 0)], "doc_id long, text string, source string, k int")
+    assert mixed_documents(same).count() == mix(same).agg(F.sum(F.col("taken") / F.col("size"))).first()[0]
     assert mixed_documents(empty).count() == 0
 
 

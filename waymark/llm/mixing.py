@@ -1,13 +1,21 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
 
-Each source has a target in words. Every document of it is taken floor(target / source_size) times for certain; what
-remains of the target is a sample of fixed size, drawn in Pareto order: documents are ranked by (u / (1 - u)) divided
-by (p / (1 - p)), where u is a uniform number from a hash of the document and p the inclusion probability, and the
-first ones whose words fill the remainder are taken. p is one number per source (rest / source_size), so within a
-source the odds ratio orders as u does and the rank is taken on the integer behind u.
-
-No source is ever brought together in one task: the place where the running sum crosses the remainder is found by two
-rounds of partial sums over 4096 key ranges, then in the one range of 2^-24 of the keys that holds it.
+Each source has a target in words. Every document of it is taken floor(target / source_size) times for certain, whole.
+What remains of the target, `rest` words, is a sample drawn without replacement with unequal probabilities:
+
+1. Inclusion probabilities go with size, p = c * size, where c makes the expected words of the sample `rest`. Documents for
+   which p would be 1 or more are certain too, so c follows from those below: of all places to cut the sizes, from the
+   largest down, the first at which c * size <= 1, with c = (rest - words above) / (sum of squares from there down).
+2. Documents are ranked by (u / (1 - u)) / (p / (1 - p)), u being a uniform number from a hash of the document. The rank is
+   kept as q / (1 + q), a 52-bit integer, which orders as the ratio q does.
+3. The sample is the documents in order of rank as long as their words stay within what certain documents leave. The
+   place that is left goes to the document that fits it best (by size, then by rank), or stays empty if none comes nearer
+   than nothing. The document at the cut is among them, so a target is missed by half of that document at most.
+
+No source is ever brought together in one task: the place where the running sum crosses is found by partial sums over
+4096 ranges of the rank, then 4096 in the range that holds it, then the ranks of that one; rows that tie in rank (rows
+that repeat an id) are told apart by their place in the table, again by partial sums over its partitions and then in one.
+Two windows see more than that: one row per source, and one per source and distinct size.
 """
 
 from __future__ import annotations
@@ -17,10 +25,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import cut, n_words, small
+from waymark.llm.common import cut, n_words, small, written
 
-#: Bits of the uniform number (13 hex digits) and of each refinement.
-U_BITS, STEP = 52, 12
+#: Bits of the uniform number (13 hex digits) and of the rank, and of each refinement; bits of a place within its partition.
+U_BITS, STEP, ROW_BITS = 52, 12, 33
 
 
 def uniform_key(id_col: Column, size: Column, text: Column, seed: str) -> Column:
@@ -49,52 +57,90 @@ def source_targets(totals: DataFrame, weights: Sequence[int], max_repeats: int)
 
 
 def _crossing(docs: DataFrame, part: Column) -> DataFrame:
-    """Of docs (source, base, rest, u, size): per source the part in which base + running words exceed rest, and the
-    words before it. Sources that stay within rest have none."""
-    sums = docs.groupBy("source", "base", "rest", part.alias("part")).agg(F.sum("size").alias("words"))
+    """Of docs (source, base, room, size): per source the part in which base + running words exceed room, and the words
+    before it. Sources that stay within room have none."""
+    sums = docs.groupBy("source", "base", "room", part.alias("part")).agg(F.sum("size").alias("words"))
     run = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("upto", F.col("base") + F.sum("words").over(run))
-    over = sums.where(F.col("upto") > F.col("rest"))
-    first = over.groupBy("source").agg(F.min("part").alias("part"), F.min(F.struct("part", F.col("upto").alias("upto"), "words")).alias("at"))
-    return first.select("source", "part", (F.col("at.upto") - F.col("at.words")).alias("before"), F.col("at.upto").alias("after"))
+    over = sums.where(F.col("upto") > F.col("room"))
+    return over.groupBy("source").agg(F.min(F.struct("part", (F.col("upto") - F.col("words")).alias("before"))).alias("at")).select("source", F.col("at.part").alias("part"), F.col("at.before").alias("before"))
+
+
+def _draws(open_: DataFrame) -> DataFrame:
+    """open_: source, rest, size (above 0) -> per source: top (larger documents are certain), c, and room (words that
+    the certain ones leave). The window holds a row per distinct size."""
+    sizes = open_.groupBy("source", "rest", "size").agg(F.count("*").alias("n"))
+    down = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    up = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    words, squares = F.col("size") * F.col("n"), (F.col("size") * F.col("size")).cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)")
+    sizes = sizes.withColumn("room", F.col("rest") - F.coalesce(F.sum(words).over(down), F.lit(0))).withColumn("below", F.sum(squares).over(up).cast("double")).withColumn("least", F.row_number().over(up) == 1)
+    sizes = sizes.withColumn("c", F.col("room") / F.col("below"))
+    fit = sizes.where((F.col("c") * F.col("size") <= 1) | F.col("least"))
+    best = fit.groupBy("source").agg(F.max(F.struct("size", "c", "room")).alias("at"))
+    return best.select("source", F.col("at.size").alias("top"), F.col("at.c").alias("c"), F.col("at.room").alias("room"))
+
+
+def odds_rank(u: Column, p: Column) -> Column:
+    """q / (1 + q) as an integer of U_BITS bits, where q = (u / (1 - u)) / (p / (1 - p)). u: integer of U_BITS bits."""
+    x = (u.cast("double") + 0.5) / float(1 << U_BITS)
+    up, down = x * (1 - p), p * (1 - x)
+    return F.least(F.lit((1 << U_BITS) - 1), F.floor(up / (up + down) * float(1 << U_BITS))).cast("long")
+
+
+def _drawn() -> Column:
+    """Whether a document (size) takes part in the draw of its source's plan (top, c)."""
+    return F.col("top").isNotNull() & (F.col("size") > 0) & (F.col("size") <= F.col("top"))
+
+
+def _rank() -> Column:
+    return odds_rank(F.col("u"), F.least(F.lit(1.0), F.col("c") * F.col("size")))
 
 
 def mixing_plan(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats: int = 3) -> DataFrame:
-    """Per source: source_size, target, repeats, cut_u (documents with u < cut_u are taken once more) and extra_u (so is
-    the one with this u). sized: source, size, u; read several times, so it should be materialised."""
+    """Per source: source_size, target, repeats; top and c of the draw; cut_rank and cut_place (documents that come before
+    are drawn; null: all), fill_place (so is the one at this place). sized: source, size, u, place; read several times, so
+    it should be materialised."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = cut(source_targets(totals, weights, max_repeats))
     n = targets.count()
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
 
     def beside(docs: DataFrame, t: DataFrame) -> DataFrame:
-        return docs.join(small(t, n), same(docs, t), "inner").drop(t["source"])
-
-    open_ = beside(sized, targets.where("rest > 0").select("source", "rest")).where("size > 0 and size <= rest").withColumn("base", F.lit(0).cast("long"))
-    one = _crossing(open_, F.shiftrightunsigned("u", U_BITS - STEP)).select("source", F.col("part").alias("part1"), F.col("before").alias("before1"))
-    in1 = beside(open_.drop("base"), one).where(F.shiftrightunsigned("u", U_BITS - STEP) == F.col("part1")).withColumnRenamed("before1", "base")
-    two = _crossing(in1, F.shiftrightunsigned("u", U_BITS - 2 * STEP)).select("source", F.col("part").alias("part2"), F.col("before").alias("before2"))
-    in2 = beside(in1.drop("base"), two).where(F.shiftrightunsigned("u", U_BITS - 2 * STEP) == F.col("part2")).withColumnRenamed("before2", "base")
-    cuts = cut(_crossing(in2, F.col("u")).select("source", F.col("part").alias("cut_u"), "before", "after"))
-    left = beside(open_, cuts).where(F.col("u") >= F.col("cut_u")).withColumn("gap", F.col("rest") - F.col("before"))
-    fill = left.where(F.col("size") <= F.col("gap")).groupBy("source").agg(F.min(F.struct((-F.col("size")).alias("less"), "u")).alias("best")).select("source", F.col("best.u").alias("fill_u"))
-    # identical rows (the same id and size) have the same u and are taken or left together
-    words = beside(left, fill).where(F.col("u") == F.col("fill_u")).groupBy("source", "fill_u").agg(F.sum("size").alias("fill_words"))
-    chosen = cuts.join(words.withColumnRenamed("source", "s"), cuts["source"].eqNullSafe(F.col("s")), "left").drop("s")
-    chosen = chosen.join(targets.select(F.col("source").alias("t"), "rest"), chosen["source"].eqNullSafe(F.col("t")), "inner").drop("t")
-    gap = F.col("rest") - F.col("before")
-    with_fill = F.coalesce(F.abs(gap - F.col("fill_words")), gap + 1)
-    over = F.col("after") - F.col("rest")
-    chosen = chosen.withColumn("extra_u", F.when((over < gap) & (over < with_fill), F.col("cut_u")).when(with_fill < gap, F.col("fill_u")))
-    out = targets.join(chosen.select(F.col("source").alias("c"), "cut_u", "extra_u"), targets["source"].eqNullSafe(F.col("c")), "left").drop("c")
-    return cut(out.select("source", "source_size", "target", "repeats", "rest", "cut_u", "extra_u"))
+        t = t.withColumnRenamed("source", "_source")
+        return docs.join(small(t, n), docs["source"].eqNullSafe(t["_source"]), "inner").drop("_source")
+
+    open_ = beside(sized, targets.where("rest > 0").select("source", "rest")).where("size > 0")
+    draws = cut(_draws(open_))
+    inside = beside(sized, draws).where(_drawn()).select("source", "room", "size", _rank().alias("rank"), "place")
+    base = F.lit(0).cast("long")
+    steps = [F.shiftrightunsigned("rank", U_BITS - STEP), F.shiftrightunsigned("rank", U_BITS - 2 * STEP), F.col("rank"), F.shiftrightunsigned("place", ROW_BITS), F.col("place")]
+    held, cuts = inside.withColumn("base", base), None
+    for k, step in enumerate(steps):
+        at = cut(_crossing(held, step))
+        if k == 2:
+            cuts = at.select("source", F.col("part").alias("cut_rank"))
+        if k + 1 < len(steps):
+            held = beside(held.drop("base"), at).where(step == F.col("part")).withColumn("base", F.col("before")).drop("part", "before")
+    places = at.select(F.col("source").alias("s"), F.col("part").alias("cut_place"), "before")
+    cuts = cuts.join(places, cuts["source"].eqNullSafe(places["s"]), "inner").drop("s")
+    left = beside(inside, cuts).where((F.col("rank") > F.col("cut_rank")) | ((F.col("rank") == F.col("cut_rank")) & (F.col("place") >= F.col("cut_place"))))
+    gap = F.col("room") - F.col("before")
+    miss = F.abs(gap - F.col("size"))
+    fill = left.where(miss < gap).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "rank", "place")).alias("best")).select(F.col("source").alias("f"), F.col("best.place").alias("fill_place"))
+    cuts = cuts.join(fill, cuts["source"].eqNullSafe(fill["f"]), "left").drop("f", "before")
+    out = targets.drop("rest")
+    for more in (draws.drop("room"), cuts):
+        more = more.withColumnRenamed("source", "m")
+        out = out.join(more, out["source"].eqNullSafe(more["m"]), "left").drop("m")
+    return cut(out)
 
 
 def _copies() -> Column:
-    """Times a row is taken, beside the plan of its source. Documents larger than the remainder are never sampled."""
-    fits = (F.col("rest") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
-    drawn = fits & (F.col("cut_u").isNull() | (F.col("u") < F.col("cut_u")) | (F.col("u") == F.coalesce(F.col("extra_u"), F.lit(-1))))
-    return F.col("repeats") + F.when(drawn, 1).otherwise(0)
+    """Times a row (size, u, place) is taken, beside the plan of its source."""
+    rank = _rank()
+    before = F.col("cut_rank").isNull() | (rank < F.col("cut_rank")) | ((rank == F.col("cut_rank")) & (F.col("place") < F.col("cut_place")))
+    drawn = _drawn() & (before | (F.col("place") == F.coalesce(F.col("fill_place"), F.lit(-1))))
+    certain = F.col("top").isNotNull() & (F.col("size") > F.col("top"))
+    return F.col("repeats") + F.when(drawn | certain, 1).otherwise(0)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), max_repeats: int = 3, seed: str = "mix") -> DataFrame:
@@ -103,28 +149,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Sizes are words (null text: 0). Sources in code point order, null last, weigh `weights`, repeating, and share all
     words; no target exceeds max_repeats times its source's size. taken is a multiple of size, at most max_repeats
     times; per source its sum misses the target by at most half of the document at the cut, and mostly by a few words.
-    Empty texts take 0. Rows with the same id and size share one hash, so repeated rows are taken or left together;
-    a null id is hashed by its text. The result depends on rows and seed only: reruns and partitionings agree.
-    An empty table gives an empty table.
+    Empty texts take 0. Rows with the same id and size share one hash, so they tie in rank; where the cut falls among
+    them, as many of them are taken as fit. A null id is hashed by its text. Which of several like rows is taken doesn't
+    show in the result, so it depends on rows and seed only: reruns and partitionings agree. An empty table gives an
+    empty table.
     """
-    size = n_words(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.col(text_col).alias("_text"))
-    sized = cut(base.select("_id", "source", "size", uniform_key(F.col("_id"), F.col("size"), F.col("_text"), seed).alias("u")))
-    plan = mixing_plan(sized, weights, max_repeats)
-    p = small(plan)
-    out = sized.join(p, sized["source"].eqNullSafe(p["source"]), "inner")
+    base = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.col(text_col).alias("_text"))
+    sized = cut(base.select("_id", "source", "size", uniform_key(F.col("_id"), F.col("size"), F.col("_text"), seed).alias("u"), F.monotonically_increasing_id().alias("place")))
+    plan = mixing_plan(sized, weights, max_repeats).withColumnRenamed("source", "_source")
+    out = sized.join(small(plan), sized["source"].eqNullSafe(plan["_source"]), "inner")
     return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), max_repeats: int = 3, seed: str = "mix") -> DataFrame:
     """docs with every row as often as `mix` takes it (a row of an empty text as often as its source's certain copies).
-    Columns and their order are those of docs. Texts aren't shuffled: whether a row is taken follows from its own hash
-    and the plan of its source."""
+    Columns and their order are those of docs; nulls, ties and repeated rows as in `mix`. The rows are written once with
+    their places in the table, which tell rows of the same id apart; texts aren't shuffled: whether a row is taken follows
+    from its own hash and place and the plan of its source."""
     columns = docs.columns
     whole = docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"))
     row = whole.select("_row", n_words(F.col(f"_row.{text_col}")).alias("size"), F.col(f"_row.{source_col}").cast("string").alias("source"))
-    row = row.withColumn("u", uniform_key(F.col(f"_row.{id_col}"), F.col("size"), F.col(f"_row.{text_col}"), seed))
-    plan = mixing_plan(cut(row.select("source", "size", "u")), weights, max_repeats)
-    p = small(plan)
-    out = row.join(p, row["source"].eqNullSafe(p["source"]), "inner").withColumn("_n", _copies().cast("int")).where("_n > 0")
+    row = row.withColumn("u", uniform_key(F.col(f"_row.{id_col}"), F.col("size"), F.col(f"_row.{text_col}"), seed)).withColumn("place", F.monotonically_increasing_id())
+    row = written(row, "mixed")
+    plan = mixing_plan(cut(row.select("source", "size", "u", "place")), weights, max_repeats).withColumnRenamed("source", "_source")
+    out = row.join(small(plan), row["source"].eqNullSafe(plan["_source"]), "inner").withColumn("_n", _copies().cast("int")).where("_n > 0")
     return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col("_row").getField(c).alias(c) for c in columns])

@@ -91,35 +91,42 @@ FROM p LEFT JOIN hit ON p.host = hit.host AND p.path = hit.path
 """
 
 _OP2 = """
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
          coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) AS name FROM documents),
-k AS (SELECT *, ('0x' || substr(md5('mix:' || name || ':' || size::VARCHAR), 1, 13))::BIGINT AS u FROM sized),
-totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
-weighed AS (SELECT *, source_size * 3 AS cap,
-                   [5, 2, 1][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM totals),
-levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))::DOUBLE
-                     / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level
-           FROM weighed WINDOW before AS (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-shares AS (SELECT *, max(level) OVER () * weight AS share FROM levels),
-aims AS (SELECT *, CASE WHEN cap <= share THEN cap::DOUBLE ELSE share END AS target FROM shares),
-plan AS (SELECT *, CASE WHEN cap <= share THEN 3 WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS repeats FROM aims),
-rests AS (SELECT *, greatest(0.0, target - repeats * source_size) AS rest FROM plan),
-open AS (SELECT k.source, u, sum(size)::BIGINT AS words, max(size) AS size, any_value(rest) AS rest
-         FROM k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source WHERE size > 0 AND size <= rest GROUP BY k.source, u),
-run AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY u) AS upto FROM open),
-cuts AS (SELECT source, min(u) AS cut_u, min_by(upto - words, u) AS before, min_by(upto, u) AS after, any_value(rest) AS rest
-         FROM run WHERE upto > rest GROUP BY source),
-fills AS (SELECT o.source, min_by(o.u, (-o.size, o.u)) AS fill_u, min_by(o.words, (-o.size, o.u)) AS fill_words
-          FROM open o JOIN cuts c ON o.source IS NOT DISTINCT FROM c.source
-          WHERE o.u >= c.cut_u AND o.size <= c.rest - c.before GROUP BY o.source),
-chosen AS (SELECT c.source, cut_u, CASE
-             WHEN after - rest < rest - before AND after - rest < coalesce(abs(rest - before - fill_words), rest - before + 1) THEN cut_u
-             WHEN abs(rest - before - fill_words) < rest - before THEN fill_u END AS extra_u
-           FROM cuts c LEFT JOIN fills f ON c.source IS NOT DISTINCT FROM f.source)
-SELECT doc_id, size, r.source_size, r.target,
-       (size * (repeats + CASE WHEN rest > 0 AND size > 0 AND size <= rest AND (cut_u IS NULL OR u < cut_u OR u = coalesce(extra_u, -1)) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source LEFT JOIN chosen c ON k.source IS NOT DISTINCT FROM c.source
+k AS (SELECT *, (('0x' || substr(md5('mix:' || name || ':' || size::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM sized),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+           FROM k GROUP BY source),
+reshare(source, source_size, weight, capped, level, round) AS (
+  SELECT source, source_size, weight, false, NULL::DOUBLE, 0 FROM totals
+  UNION ALL
+  SELECT source, source_size, weight, capped OR coalesce(3 * source_size <= now * weight, false), now, round + 1
+  FROM (SELECT *, (sum(source_size) OVER () - sum(CASE WHEN capped THEN 3 * source_size ELSE 0 END) OVER ())::DOUBLE
+                  / nullif(sum(CASE WHEN capped THEN 0 ELSE weight END) OVER (), 0)::DOUBLE AS now FROM reshare)
+  WHERE round <= (SELECT count(*) FROM totals)),
+aims AS (SELECT source, source_size, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE level * weight END AS target,
+                CASE WHEN capped THEN 3 ELSE coalesce(floor(level * weight / nullif(source_size, 0)), 0) END::BIGINT AS whole
+         FROM reshare WHERE round = (SELECT max(round) FROM reshare)),
+rests AS (SELECT *, greatest(0.0, target - whole * source_size) AS rest FROM aims),
+cand AS (SELECT k.*, r.rest, r.source_size, r.target, r.whole FROM k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source),
+sums AS (SELECT *, rest - coalesce(sum(size) OVER (PARTITION BY source ORDER BY size DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS room,
+                (sum((size * size)::HUGEINT) OVER (PARTITION BY source ORDER BY size))::DOUBLE AS below, min(size) OVER (PARTITION BY source) AS least_size
+         FROM cand WHERE rest > 0 AND size > 0),
+draws AS (SELECT source, max(size) AS top, max_by(room / below, size) AS c, max_by(room, size) AS room
+          FROM sums WHERE room / below * size <= 1 OR size = least_size GROUP BY source),
+odds AS (SELECT doc_id, d.source, size, u, room, least(1.0, c * size) AS p FROM cand JOIN draws d ON cand.source IS NOT DISTINCT FROM d.source
+         WHERE size > 0 AND size <= top),
+ranked AS (SELECT *, least(4503599627370495, floor(u * (1 - p) / (u * (1 - p) + p * (1 - u)) * 4503599627370496.0))::BIGINT AS rank FROM odds),
+run AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM ranked),
+rest_of AS (SELECT *, max(CASE WHEN upto <= room THEN upto ELSE 0 END) OVER (PARTITION BY source) AS within FROM run),
+filled AS (SELECT *, row_number() OVER (PARTITION BY source, upto <= room ORDER BY abs(room - within - size), rank, doc_id) AS place FROM rest_of),
+drawn AS (SELECT doc_id, source, size, count(*) FILTER (WHERE upto <= room OR (place = 1 AND abs(room - within - size) < room - within)) AS more
+          FROM filled GROUP BY doc_id, source, size),
+numbered AS (SELECT c.*, d.top, row_number() OVER (PARTITION BY doc_id, c.source, size) AS copy
+             FROM cand c LEFT JOIN draws d ON c.source IS NOT DISTINCT FROM d.source)
+SELECT n.doc_id, n.size, source_size, target,
+       (n.size * (whole + CASE WHEN n.size > top OR copy <= more THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM numbered n LEFT JOIN drawn ON n.doc_id IS NOT DISTINCT FROM drawn.doc_id AND n.source IS NOT DISTINCT FROM drawn.source AND n.size = drawn.size
 """
 
 _OP3 = """
