@@ -18,7 +18,7 @@ from waymark.llm.hilbert_ann import nearest
 from waymark.llm.language_id import LanguageModel, classify, fit_languages, identify_languages
 from waymark.llm.mixing import mix, mixed_documents
 from waymark.llm.packing import pack, pack_shard
-from waymark.llm.quality_cnn import fit_network, fit_quality, score_quality
+from waymark.llm.quality_cnn import fit_network, fit_quality, passages, score_quality
 from waymark.llm.setsketch import M, _across, banding, estimate, near_duplicates, shingles, sketch
 from waymark.llm.token_count import count_huge, count_tokens, tokenizer
 from waymark.llm.token_store import Reader, Writer, decode_block, encode_block, encoder, store_and_read
@@ -240,6 +240,24 @@ def marked():
     return [(t, 1) for t in good] + [(t, 0) for t in bad]
 
 
+def convolved(net, text):
+    """The score of one text, window by window."""
+    raw = (text or "").encode()
+    found = []
+    for s in net.starts(len(raw)) if raw else []:
+        ids, maxima, at = list(raw[s : s + net.chunk]), [], 0
+        while True:
+            window = [*ids[at : at + net.width], *[256] * (net.width - len(ids[at : at + net.width]))]
+            maxima.append(np.concatenate([net.embed[i] for i in window]) @ net.filters)
+            at += net.stride
+            if at - net.stride + net.width >= len(ids):
+                break
+        pooled = np.maximum(np.max(maxima, 0) + net.bias, 0)
+        z = np.maximum(np.concatenate([pooled, [np.log2(len(ids) + 1) / 5 - 1, 1]]) @ net.dense, 0) @ net.head + net.out
+        found.append(1 / (1 + np.exp(-z)))
+    return np.mean(found) if found else 0.0
+
+
 def test_network(marked):
     train, held = marked[::2], marked[1::2]
     net = fit_network(*zip(*train, strict=True), prior=0.7)
@@ -250,6 +268,11 @@ def test_network(marked):
     assert net.scores([long])[0] == pytest.approx(net.scores([None, long, "x"])[1])
     junk = "#$%& " * 3000
     assert net.scores([held[0][0] * 20 + junk])[0] < 0.7  # the end of a text counts as much as its beginning
+    texts = [t for t, _ in held] + ["", None, "x", "é" * 1025, "#$" * 700, "abc", held[0][0][:9], held[0][0][:8]]
+    together, order = net.scores(texts), np.random.default_rng(1).permutation(len(texts))
+    assert np.abs(net.scores([texts[i] for i in order]) - together[order]).max() < 1e-6  # the rows beside a text don't matter
+    assert max(abs(net.scores([t])[0] - s) for t, s in zip(texts, together, strict=True)) < 1e-6
+    assert max(abs(convolved(net, t) - s) for t, s in zip(texts, together, strict=True)) < 1e-5
     assert fit_network([], []).scores(["x"])[0] == pytest.approx(0.5) and fit_network(["x"], [1]).scores(["y"])[0] > 0.9
 
 
@@ -262,6 +285,27 @@ def test_quality_on_tables(spark, docs, marked, empty):
     assert score_quality(empty, net).count() == 0 and fit_quality(empty, labels.limit(0)).scores(["x"])[0] == pytest.approx(0.5)
 
 
+def test_quality_of_held_out_documents(spark):
+    """op4's query: accuracy and AUC on the fold that it doesn't learn from."""
+    got = {r["doc_id"]: r for r in Q.op4_quality(spark, "/root/testdata/sf0.01").collect()}
+    labels = [(r["quality"], got[r["doc_id"]]) for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect() if r["doc_id"] in got and r["quality"] is not None]
+    held = [(y, r["score"]) for y, r in labels if r["held_out"]]
+    assert len(got) == 1000 and len(held) > 50
+    good, bad = ([s for y, s in held if y == v] for v in (1, 0))
+    assert np.mean([(s > t) + (s == t) / 2 for s in good for t in bad]) > 0.97
+    assert np.mean([(s >= 0.7) == y for y, s in held]) > 0.93
+
+
+def test_quality_learns_from_whole_texts_and_one_row_of_an_id(spark):
+    d = spark.createDataFrame([(i, "w" * 40_000 + ("good " if i % 2 else "#$%& ") * 4000) for i in range(40)] + [(1, "#$%& " * 100)] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    net = fit_quality(d, labels, epochs=30)
+    assert net.scores(["good " * 100])[0] > net.scores(["#$%& " * 100])[0] + 0.2
+    text = "".join(chr(97 + i % 26) for i in range(3000))
+    parts = spark.createDataFrame([(text,), ("short",), ("x" * 64,)], "text string").select(passages(F.col("text"), 4, 16)).collect()
+    assert parts[1][0] == ["short"] and parts[2][0] == ["x" * 16] * 4 and parts[0][0][0] == text[:16] and parts[0][0][-1] == text[-16:]
+
+
 # Tokens
 
 
@@ -379,6 +423,45 @@ def test_classify():
         assert classify(text, names, encoders, m)[0] == want
 
 
+def test_languages_by_definition(spark):
+    """Every prediction and score against sizes from fresh compressors, one dictionary and one block at a time."""
+    import math
+
+    import zstandard
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = fit_languages(d)
+    texts = {r["doc_id"]: r["text"] for r in d.collect()} | {-1: "123 !", -2: None, -3: "A", -4: "Straße ÄÖ " * 900}
+    got = identify_languages(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()
+    form = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY, min_match=4, search_log=4, hash_log=16, chain_log=16, window_log=17, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def size(lang, block):
+        told = zstandard.ZstdCompressionDict(model.dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        told.precompute_compress(compression_params=form)
+        return len(zstandard.ZstdCompressor(dict_data=told, compression_params=form).compress(block))
+
+    for r in got:
+        text = texts[r["doc_id"]]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        raw = text.lower().encode()
+        blocks = [raw[i : i + 4096] for i in range(0, len(raw), 4096)]
+        sizes = {g: sum(size(g, b) for b in blocks) if len(raw) >= 512 else size(g, model.dictionaries[g][-256:] + raw) for g in model.dictionaries}
+        best = min(sizes, key=lambda g: (sizes[g], g))
+        assert r["lang_pred"] == best
+        assert r["score"] == pytest.approx(1 / sum(math.exp(-min(700, (s - sizes[best]) / 4)) for s in sizes.values()))
+        second = sorted(sizes.values())[1]
+        assert r["rejected"] == ((second - sizes[best]) / second < model.min_margin)
+
+
+def test_languages_learn_from_few_rows(spark):
+    rows = [(7, "the very same text", "en")] * 500 + [(8, f"le chat {i}", "fr") for i in range(30)] + [(i, "x y z", f"l{i}") for i in range(100, 140)] + [(1, None, "en"), (2, "t", None), (None, "no id", "en")]
+    model = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_languages=2)
+    assert sorted(model.dictionaries) == ["en", "fr"]
+    assert model.dictionaries["en"].count(b"same text") == 1  # repeated rows count as one
+
+
 # Near-duplicates
 
 

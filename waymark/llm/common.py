@@ -18,9 +18,12 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset (tests), a temporary one is set."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset and everything runs in this process (as
+    in tests), a temporary folder; a cluster without the setting is an error, for no executor sees another's folders."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="waymark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
@@ -46,9 +49,14 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
-def batched(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches that carry whole texts to Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def batched(spark: SparkSession, rows: int = 512, size: int = 16 << 20) -> None:
+    """Bound the Arrow batches that carry whole texts to Python workers, in rows and in bytes, where the session's bounds
+    are wider. A batch is planned when a result is asked for, so the setting stays with the session."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.match(r"-?\d+", spark.conf.get(key))
+        if not now or not 0 < int(now[0]) <= most or not spark.conf.get(key).isdigit():
+            spark.conf.set(key, str(most))
 
 
 def n_words(text: Column) -> Column:

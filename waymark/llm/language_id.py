@@ -60,13 +60,16 @@ def classify(text: str | None, names: list[str], encoders: list[zstandard.ZstdCo
     return names[order[0]], score, margin
 
 
-def fit_languages(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 64, dictionary_bytes: int = 49_152, **options) -> LanguageModel:
+def fit_languages(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 64, dictionary_bytes: int = 49_152, max_languages: int = 256, **options) -> LanguageModel:
     """A model from a bounded sample: about docs_per_language texts per language (those with the smallest hash of id and
-    text; bounded by dictionary_bytes of each text), joined to a dictionary of at most dictionary_bytes. Rows without a
-    text or language are passed over. An empty training table gives a model without languages, which answers `und`.
-    The number of languages is taken to be small (they are collected)."""
-    rows = training.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    text), of each a passage from anywhere in the text, joined to a dictionary of at most dictionary_bytes. Rows without a
+    text or language are passed over; repeated rows count as one. Of more than max_languages languages the most frequent
+    are learned. An empty training table gives a model without languages, which answers `und`. What is collected is bounded
+    by max_languages and docs_per_language, for a row's hash decides whether it is in the sample and a hash comes once."""
+    text = F.col(text_col)
+    rows = training.where(F.col(lang_col).isNotNull() & text.isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"), text.alias("text"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_languages)
+    counts = {r["lang"]: r["n"] for r in counts.collect()}
     if not counts:
         return LanguageModel({}, **options)
     # rows under a threshold of the hash that leaves about twice the wanted number: no sort of a language's rows
@@ -74,7 +77,9 @@ def fit_languages(training: DataFrame, id_col: str = "doc_id", text_col: str = "
     for lang, n in sorted(counts.items()):
         share = min(1.0, 2 * docs_per_language / n + 16 / n)
         limit = F.when(F.col("lang") == lang, F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))).otherwise(limit)
-    sample = rows.where(F.col("h") <= limit).select("lang", "h", F.lower(F.substring("text", 1, dictionary_bytes)).alias("text")).collect()
+    chars = 4 * max(1, dictionary_bytes // docs_per_language)
+    begin = F.pmod(F.hash("h"), F.greatest(F.lit(1), F.char_length("text") - chars + 1)) + 1
+    sample = rows.where(F.col("h") <= limit).select("lang", "h", F.lower(F.substring(F.col("text"), begin, F.lit(chars))).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     dictionaries = {}
     for lang in counts:
         texts = [r["text"] for r in sorted((r for r in sample if r["lang"] == lang), key=lambda r: (r["h"], r["text"]))[:docs_per_language]]
@@ -95,7 +100,7 @@ def identify_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_i
 
     The whole text is encoded. Null, empty and letterless texts give und with score 0 and are rejected; so are texts
     whose margin is below the model's. Of equal sizes the first language in code point order wins. Repeated rows and
-    null ids are answered row by row; other columns are ignored. No shuffle.
+    null ids are answered row by row; other columns are ignored; an empty table gives an empty table. No shuffle.
     """
     batched(df.sparkSession)
     told = df.sparkSession.sparkContext.broadcast(model)
