@@ -12,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.llm import queries as Q
-from waymark.llm.ball_tree import BallTree, quantise, top_k
+from waymark.llm.ball_tree import BallTree, products, quantise, top_k
 from waymark.llm.hilbert import hilbert_keys
-from waymark.llm.hilbert_ann import nearest
+from waymark.llm.hilbert_ann import Curves, nearest, window_plan
 from waymark.llm.language_id import LanguageModel, classify, fit_languages, identify_languages
 from waymark.llm.mixing import mix, mixed_documents
 from waymark.llm.packing import pack, pack_shard
@@ -203,25 +203,46 @@ def embeddings(spark):
     return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + odd, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1)).withColumn("score", F.lit(1))
 
 
+def lists(found, *names):
+    """The lists of each query_id, each as sorted rows; repeated query rows have as many lists."""
+    out = {}
+    for r in found:
+        out.setdefault(r["query_id"], []).append(tuple(r[n] for n in names))
+    return {q: sorted(rows) for q, rows in out.items()}
+
+
 def test_top_k(embeddings):
-    rows = {r["vec_id"]: np.array(r["embedding"]) for r in embeddings.where("vec_id < 400 or vec_id = 1200").collect()}
-    for options in ({}, {"shard_rows": 50, "block_queries": 2}):
-        got = {}
-        for r in top_k(embeddings, **options).collect():
-            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-        assert set(got) == {0, 100, 200, 300, 1200}
-        for q, found in got.items():
-            s = sorted((-int(quantise(rows[q], 1024) @ quantise(v, 1024)), i) for i, v in rows.items() if i != q)[:10]
-            assert sorted(found) == [(k + 1, i, -v) for k, (v, i) in enumerate(s)]
+    """All rows count: those that repeat an id, with the same vector or another."""
+    more = embeddings.sparkSession.createDataFrame([(100, [9.0] * 8), (7, [8.0] * 8), (7, [8.0] * 8), (5, [-1.0] * 8)], "vec_id long, embedding array<float>").withColumn("rank", F.lit(1)).withColumn("score", F.lit(1))
+    table = embeddings.union(more)
+    rows = [(r["vec_id"], np.array(r["embedding"])) for r in table.where("(vec_id < 400 and vec_id >= 0) or vec_id in (1200, 1300)").collect()]
+    want = {}
+    for i, (q, x) in enumerate(rows):
+        if q % 100 == 0:
+            s = sorted((-int(quantise(x, 1024) @ quantise(v, 1024)), j) for n, (j, v) in enumerate(rows) if n != i and len(v) == len(x))[:10]
+            want.setdefault(q, []).extend((k + 1, j, -v) for k, (v, j) in enumerate(s))
+    for options in ({}, {"shard_rows": 20}):
+        assert lists(top_k(table, **options).collect(), "rank", "vec_id", "score") == {q: sorted(r) for q, r in want.items() if r}
     assert top_k(embeddings.limit(0)).count() == 0
     assert top_k(embeddings.where("vec_id in (100, 101)")).count() == 1
+    with pytest.raises(Exception, match="beyond"):
+        top_k(embeddings.sparkSession.createDataFrame([(100, [1e30, 1.0]), (2, [1e30, 2.0])], "vec_id long, embedding array<float>")).collect()
+
+
+def test_exact_products():
+    big = np.array([[2**40, 3]])
+    assert products(big, np.array([[2**20, 1]])).tolist() == [[2**60 + 3]]
+    with pytest.raises(OverflowError):
+        products(np.array([[2**40]]), np.array([[2**40]]))
+    with pytest.raises(OverflowError):
+        quantise(np.array([1e300]), 1024)
 
 
 def test_ball_tree_prunes_nothing_it_needs():
     x = quantise(vectors(3000, 6, 3), 1024)
     ids = np.random.default_rng(1).permutation(3000)
     q = x[:40]
-    s, n = BallTree.build(x, 64).search(ids, q, ids[:40], 5, np.full(40, -(2**63)))
+    s, n = BallTree.build(x, 64).search(ids, ids, q, ids[:40], 5, np.full(40, -(2**63)))
     p = q @ x.T
     p[np.arange(40), np.arange(40)] = -(2**62)
     for i in range(40):
@@ -610,34 +631,56 @@ def test_hilbert():
 
 
 def test_nearest(embeddings):
-    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in embeddings.where("vec_id < 400").collect()}
-    got = {}
-    for r in nearest(embeddings).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert set(got) == {0, 100, 200, 300}
-    hit = 0
-    for q, found in got.items():
-        found.sort()
-        assert all(abs(s - np.sqrt(((rows[i] - rows[q]) ** 2).sum())) < 1e-9 for _, i, s in found)
-        assert [(s, i) for _, i, s in found] == sorted((s, i) for _, i, s in found) and all(i != q for _, i, _ in found)
-        best = sorted(np.sqrt(((v - rows[q]) ** 2).sum()) for i, v in rows.items() if i != q)[9]
-        hit += sum(s <= best + 1e-9 for _, _, s in found)
-    assert hit >= 36
+    more = embeddings.sparkSession.createDataFrame([(100, [9.0] * 8), (7, [0.5] * 8), (7, [0.5] * 8), (1400, [1.0, 2.5]), (1500, [4.0, 2.5])], "vec_id long, embedding array<float>").withColumn("rank", F.lit(1)).withColumn("score", F.lit(1))
+    table = embeddings.union(more)
+    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in table.where("(vec_id < 400 and vec_id >= 0) or vec_id between 1300 and 1500").collect()]
+    for options in ({}, {"task_rows": 16, "task_queries": 1}):  # ranges that are dealt further, by rows and by queries
+        got = lists(nearest(table, **options).collect(), "rank", "score", "vec_id")
+        assert set(got) == {0, 100, 200, 300, 1300, 1400, 1500}
+        hit = all_ = 0
+        for i, (q, x) in enumerate(rows):
+            if q % 100 == 0:
+                best = sorted((np.sqrt(((v - x) ** 2).sum()), j) for n, (j, v) in enumerate(rows) if n != i and len(v) == len(x))[:10]
+                found = [(s, j) for _, s, j in got[q]]
+                hit += len({(round(s, 9), j) for s, j in best} & {(round(s, 9), j) for s, j in found})
+                all_ += len(best)
+        assert hit >= 0.9 * all_
+        assert [r[2] for r in got[1300]] == [1400, 1500] and [r[2] for r in got[1400]] == [1300, 1500]
+        assert len(got[200]) == 20 and {r[1] for r in got[200][:2]} == {0.0}  # a repeated row: two lists, each with the other first
     assert nearest(embeddings.limit(0)).count() == 0
     assert nearest(embeddings.where("vec_id in (100, 101)")).count() == 1
 
 
+def recall_of(spark, x, **options):
+    """Recall against brute force of 1 in 100 rows."""
+    import pyarrow as pa
+
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.astype("f4").ravel(), x.shape[1]).cast(pa.list_(pa.float32()))}))
+    got = nearest(df, **options).toPandas().groupby("query_id")["vec_id"].apply(set)
+    x, hits = x.astype("f4").astype(float), 0
+    for q in range(0, len(x), 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.lexsort((np.arange(len(x)), d))[:10].tolist()))
+    return hits / (10 * len(range(0, len(x), 100)))
+
+
 def test_recall_on_a_table(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = df.select("vec_id", "embedding").toPandas().sort_values("vec_id")
-    x, ids = np.stack(rows["embedding"]).astype(float), rows["vec_id"].to_numpy()
-    got = nearest(df).toPandas().groupby("query_id")["vec_id"].apply(set)
-    hits = 0
-    for q in ids[ids % 100 == 0]:
-        d = ((x - x[ids == q]) ** 2).sum(1)
-        d[ids == q] = np.inf
-        hits += len(got[q] & set(ids[np.lexsort((ids, d))[:10]].tolist()))
-    assert hits >= 0.9 * 10 * (ids % 100 == 0).sum()
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas().sort_values("vec_id")
+    assert recall_of(spark, np.stack(df["embedding"])) >= 0.9
+
+
+def test_recall_and_work_on_many_rows(spark):
+    """50,000 rows without structure, and 50,000 in clusters, whose windows must be a small share of the table."""
+    rng = np.random.default_rng(12)
+    flat = rng.normal(size=(50_000, 32))
+    assert recall_of(spark, flat / np.sqrt((flat**2).sum(1))[:, None]) >= 0.9
+    clusters = rng.normal(size=(500, 32))[rng.integers(0, 500, 50_000)] + rng.normal(size=(50_000, 32)) * 0.05
+    assert recall_of(spark, clusters) >= 0.9
+    sample = clusters[:5000]
+    curves = Curves.fit(sample, 12, 4, 10, 64)
+    used, reach, _ = window_plan(curves, sample, 64, 10, 0.95)
+    assert used >= 2 and used * (2 * reach + 1) / 64 < 0.5
 
 
 # SQL, and the pipeline

@@ -1,23 +1,28 @@
 """Exact top-k by inner product: ball-tree branch and bound per shard.
 
-Candidates are dealt by hash into shards of bounded size and queries into blocks of bounded size; each (shard, block)
-is a task that builds a ball tree over its candidates and searches it for its queries. A node bounds the inner product
-of q with anything in its ball by q . centre + |q| * radius. Nodes are opened in order of this bound, and a query skips
-those that can't reach its kth score. The kth score is shared: a first wave searches one shard for each block, and what
-it finds bounds the search in all other shards from the start.
+Candidates are dealt by hash into shards of bounded size, and for each shard a ball tree is built, once, and written to the
+shared folder. A node bounds the inner product of q with anything in its ball by q . centre + |q| * radius. Nodes are
+opened in order of this bound, and a query skips those that can't reach its kth score.
+
+The kth score is shared: queries go through the shards in waves (of 1, 3, 12, 48, ... shards, each query beginning with
+another one), and the kth best score that a query has after a wave bounds its search in all shards of the next. In a wave a
+task reads a shard's tree and then the queries that come to it, a batch at a time, so it holds a shard and a batch.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import cut, written
+from waymark.llm.common import batched, cut, runs, written
 
 LOWEST = -(2**63)
 
@@ -29,18 +34,24 @@ def usable(vector: Column) -> Column:
 
 
 def quantise(x: np.ndarray, scale: float) -> np.ndarray:
-    """floor(scale * x) in double precision, as integers; beyond 2^52 either way they stay there."""
-    return np.clip(np.floor(scale * x.astype(np.float64)), -(2.0**52), 2.0**52).astype(np.int64)
+    """floor(scale * x) in double precision, as integers. Those beyond 2^62 are an error."""
+    q = np.floor(scale * x.astype(np.float64))
+    if np.abs(q).max(initial=0.0) >= 2.0**62:
+        raise OverflowError("a component times the scale is beyond 2^62")
+    return q.astype(np.int64)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows; those beyond a long stay at its ends."""
+    """Exact inner products of integer rows. Those beyond a long are an error."""
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if top < 2.0**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     if top < 2.0**62:
         return a @ b.T
-    return np.clip((a.astype(object) @ b.astype(object).T), LOWEST, 2**63 - 1).astype(np.int64)
+    whole = a.astype(object) @ b.astype(object).T
+    if whole.size and max(whole.max(), -whole.min()) >= 2**63 - 1:
+        raise OverflowError("an inner product is beyond a long")
+    return whole.astype(np.int64)
 
 
 @dataclass
@@ -81,11 +92,11 @@ class BallTree:
         first, last = np.array(spans).T
         return cls(points[order], order, np.array(centres), np.array(radii), first, last, children)
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, ids), queries x k, best first, ties to the smaller id; LOWEST where there are fewer than k. ids: of
-        the points, before permutation; own: of the queries, which don't find themselves; floor: scores below it needn't
-        be found."""
-        ids = ids[self.order]
+    def search(self, ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids), queries x k, best first, ties to the smaller id; LOWEST where there are fewer than k. ids, rows:
+        of the points, before permutation; own: the row of each query, which doesn't find itself; floor: scores below it
+        needn't be found."""
+        ids, rows = ids[self.order], rows[self.order]
         q = queries.astype(np.float64)
         scores = np.full((len(q), k), LOWEST, np.int64)
         names = np.full((len(q), k), 2**63 - 1, np.int64)
@@ -105,7 +116,7 @@ class BallTree:
                 continue
             i, j = self.first[node], self.last[node]
             found = products(queries[active], self.points[i:j])
-            found[own[active][:, None] == ids[None, i:j]] = LOWEST
+            found[own[active][:, None] == rows[None, i:j]] = LOWEST
             better = (found >= np.maximum(floor[active], scores[active, -1])[:, None]).any(1)
             active, found = active[better], found[better]
             s = np.concatenate((scores[active], found), 1)
@@ -118,48 +129,67 @@ class BallTree:
         return scores, names
 
 
-def top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0, shard_rows: int = 16_384, block_queries: int = 4096) -> DataFrame:
+def shard_trees(rows: DataFrame, shards: int, scale: float) -> DataFrame:
+    """rows: dim, row, id, v -> dim, shard, tree: of each shard the ids, rows and ball tree of its points."""
+
+    def build(key: tuple, points: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values(["id", "row"])
+        tree = BallTree.build(quantise(np.stack(points["v"].to_numpy()), scale))
+        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [pickle.dumps((points["id"].to_numpy(), points["row"].to_numpy(), tree), 5)]})
+
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(shards)).cast("int"))
+    return written(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, tree binary"), "trees")
+
+
+def top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0, shard_rows: int = 16_384) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for every row whose id is divisible by `every` the k rows with the highest
     inner product of floor(scale * component), ties to the smaller id, the row itself left out; all, if fewer.
 
-    Rows with a null id and vectors that are null, empty or hold null or non-finite components take no part. Rows that
-    repeat an id count once (the smallest vector). Vectors of another length than the query's aren't candidates.
-    Other columns are ignored; an empty table gives an empty table. A task holds shard_rows vectors and block_queries
-    queries; the number of tasks grows with the product of both tables, as the stated search does.
+    Rows with a null id and vectors that are null, empty or hold null or non-finite components take no part. Every other
+    row is a candidate, also one that repeats an id, the query's own or another's; and every row with a divisible id is a
+    query, so rows that repeat such an id give as many lists. Vectors of another length than the query's aren't candidates.
+    Components and products beyond a long are an error. Other columns are ignored; an empty table gives an empty table.
+    A task holds shard_rows vectors and a batch of queries; the number of (query, shard) pairs grows with both tables, as
+    the stated search does.
     """
-    rows = df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(vector_col).alias("v"))
-    rows = written(rows.withColumn("dim", F.size("v")), "vectors")
-    asked = rows.where(F.col("id") % every == 0).select(*(F.col(c).alias(c) for c in rows.columns))  # columns of its own: both sides come from rows
-    shards, blocks = max(1, -(-rows.count() // shard_rows)), max(1, -(-asked.count() // block_queries))
-    deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
-    points = rows.withColumn("shard", deal(shards, 1))
-    asked = asked.withColumn("block", deal(blocks, 2))
-    key = ["dim", "shard", "block"]
-
-    def search(key_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series([], dtype="i8"), "vec_id": pd.Series([], dtype="i8"), "score": pd.Series([], dtype="i8")})
-        right = right.sort_values("id")
-        x, q = (quantise(np.stack(p["v"].to_numpy()), scale) for p in (left, right))
-        own = right["id"].to_numpy()
-        s, n = BallTree.build(x).search(left["id"].to_numpy(), q, own, k, right["floor"].to_numpy())
-        there = s != LOWEST
-        return pd.DataFrame({"query_id": np.broadcast_to(own[:, None], s.shape)[there], "vec_id": n[there], "score": s[there]})
-
-    def wave(points: DataFrame, queries: DataFrame) -> DataFrame:
-        return points.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score long")
-
-    home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    spread = points.withColumn("block", each)
-    ask = asked.withColumn("floor", F.lit(LOWEST).cast("long")).withColumn("shard", home)
-    first = cut(wave(spread.where(F.col("shard") == home), ask))
-    out = first
-    if shards > 1:
-        kth = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
-        bound = F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(LOWEST).cast("long"))
-        ask = asked.join(kth, asked["id"] == kth["query_id"], "left").select("id", "v", "dim", "block", F.coalesce(bound, F.lit(LOWEST).cast("long")).alias("floor"))
-        ask = ask.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != home)
-        out = first.union(wave(spread.where(F.col("shard") != home), ask))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    batched(df.sparkSession, 4096, 32 << 20)
+    rows = df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("dim"), F.monotonically_increasing_id().alias("row"))
+    rows = written(rows, "vectors")
+    shards = max(1, -(-rows.count() // shard_rows))
+    trees = shard_trees(rows, shards, scale).select("dim", "shard", F.lit(0).alias("kind"), "tree", *(F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("row", "long"), ("floor", "long"))), F.lit(None).cast(rows.schema["v"].dataType).alias("v"))
+    asked = rows.where(F.col("id") % every == 0)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows come sorted by shard, a shard's tree before its queries."""
+        at, held = None, None
+        for key, part in runs(batches, "dim", "shard", "kind"):
+            if not key[2]:
+                at, held = key[:2], pickle.loads(part.column("tree")[0].as_py())
+            elif key[:2] == at:
+                ids, points, tree = held
+                q = quantise(np.stack(part.column("v").to_numpy(zero_copy_only=False)), scale)
+                own, names = part.column("row").to_numpy(), part.column("id").to_numpy()
+                s, n = tree.search(ids, points, q, own, k, part.column("floor").to_numpy())
+                there = s != LOWEST
+                of = lambda x: np.broadcast_to(x[:, None], s.shape)[there]  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (of(own), of(names), n[there], s[there])], ["row", "query_id", "vec_id", "score"])
+
+    best = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
+    found, begin = None, 0
+    while begin < shards:
+        end = min(shards, max(1, 4 * begin))
+        bound = F.lit(LOWEST).cast("long")
+        wave = asked.withColumn("floor", bound)
+        if found is not None:
+            kth = found.where(F.col("rank") == k).select(F.col("row").alias("r"), F.col("score").alias("kth"))
+            wave = asked.join(kth, asked["row"] == kth["r"], "left").withColumn("floor", F.coalesce("kth", bound))
+        offsets = F.sequence(F.lit(begin), F.lit(end - 1))
+        shard = F.explode(F.transform(offsets, lambda o: F.pmod(F.xxhash64("row", F.lit(2)) + o, F.lit(shards)).cast("int")))
+        wave = wave.select("dim", shard.alias("shard"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("tree"), "id", "row", "floor", "v")
+        dealt = trees.unionByName(wave).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind", "id")
+        hits = dealt.mapInArrow(search, "row long, query_id long, vec_id long, score long")
+        if found is not None:
+            hits = hits.union(found.drop("rank"))
+        found = cut(hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+        begin = end
+    return found.select("query_id", "rank", "vec_id", "score")

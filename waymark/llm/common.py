@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +62,16 @@ def batched(spark: SparkSession, rows: int = 512, size: int = 16 << 20) -> None:
             spark.conf.set(key, str(most))
 
 
+def runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
+    """(key, slice) for each run of equal keys (integer columns called names) in each batch."""
+    for batch in batches:
+        if batch.num_rows:
+            keys = [batch.column(n).to_numpy() for n in names]
+            changes = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            for i, j in zip([0, *changes], [*changes, batch.num_rows], strict=True):
+                yield tuple(int(k[i]) for k in keys), batch.slice(i, j - i)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
