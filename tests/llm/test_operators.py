@@ -613,12 +613,35 @@ def test_pack(docs, rows, empty):
     assert bins.groupby("bin")["n_words"].sum().max() <= 128
     assert (bins.groupby("bin")["n_words"].cumsum() - bins["n_words"] == bins["bin_offset"]).all()
     assert got[got["n_words"] == 0]["bin"].isna().all()
+    # one of a cluster of equal texts and two of a source in a bin, at most; full pieces are alone
+    text, source = {}, {}
+    for i, t, _, s, _ in rows:
+        text[i], source[i] = t, s
+    shared = bins[bins["n_words"] < 128].assign(doc_id=bins["doc_id"].fillna(-1))
+    own = [None if i == -1 else int(i) for i in shared["doc_id"]]
+    shared = shared.assign(text=[text[i] for i in own], source=[str(source[i]) for i in own])
+    shared = shared[shared["doc_id"] != -1]  # two rows share the null id here
+    assert shared.groupby(["bin", "text"]).size().max() == 1 and shared.groupby(["bin", "source"]).size().max() <= 2
     again = pack(docs.repartition(5), capacity=128, shard_docs=64).toPandas()
     key = list(got.columns)
     pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True), again.sort_values(key).reset_index(drop=True))
     assert pack(empty).count() == 0
 
 
+def test_pack_deals_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b c", "s")] * 600 + [(2, "d e", None)] * 30 + [(i, f"w{i} " * 5, "t") for i in range(10, 40)], "doc_id long, text string, source string").repartition(7)
+    got = pack(df, capacity=16, shard_docs=64).toPandas()
+    assert len(got) == 660 and got["n_words"].sum() == 600 * 3 + 30 * 2 + 30 * 5
+    shards = (got["bin"].astype("int64") // 2**32).value_counts()
+    assert len(shards) == 11 and shards.max() < 150  # the copies of one row are in all shards
+    assert got.groupby("bin")["n_words"].sum().max() <= 16
+    assert got.groupby(["bin", "doc_id"]).size().max() == 1  # copies never meet
+    # the clusters that a caller names
+    near = df.withColumn("k", F.when(F.col("doc_id") < 30, 7))
+    packed = pack(near, cluster_col="k", capacity=16, shard_docs=10**6).toPandas()
+    assert packed[packed["doc_id"] < 30].groupby("bin").size().max() == 1 < packed.groupby("bin").size().max()
+
+
 # Nearest neighbours
 
 
@@ -715,3 +738,36 @@ def test_pipeline(spark, sf):
     assert packed["n_words"].sum() == sum(len(texts[i].split()) for i in kept["source_mix"])
     clash = packed[packed["n_words"] > 0].groupby(["bin", "doc_id"])["piece"].apply(lambda p: p.value_counts().max())
     assert clash.max() == 1
+
+
+def test_pipeline_run(spark, tmp_path):
+    """run() on documents with nulls, repeats, an empty text and clashing columns, and on an empty table, against the
+    stages one after another by brute force where they have a form for it."""
+    import corpus_pipeline as P
+
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    first = base.orderBy("doc_id").limit(20)
+    odd = spark.createDataFrame([(None, None, None, None, None), (90001, None, "en", "a", 0), (90002, "", "en", "a", 0), (None, first.collect()[3]["text"], "en", None, 1)], base.schema)
+    table = base.union(first).union(odd).withColumn("score", F.lit("clash")).withColumn("size", F.lit(1)).withColumn("_row", F.lit(2))
+    table.write.parquet(str(tmp_path / "a/documents.parquet"))
+    labels.unionByName(spark.createDataFrame([(None, 1, 0), (777777, None, None)], labels.schema)).write.parquet(str(tmp_path / "a/labels.parquet"))
+    got = P.run(spark, str(tmp_path / "a")).toPandas()
+    again = P.run(spark, str(tmp_path / "a")).toPandas()
+    key = list(got.columns)
+    assert len(got) and got.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+    texts = {r["doc_id"]: r["text"] for r in base.select("doc_id", "text").collect()}
+    whole = got[got["doc_id"].notna()].groupby("doc_id")["n_words"].sum()
+    assert all(w % len(texts[int(i)].split()) == 0 and 1 <= w // len(texts[int(i)].split()) <= 3 for i, w in whole.items())  # each kept document whole, three times at most
+    assert not {90001, 90002} & set(whole.index)
+    docs = spark.read.parquet(str(tmp_path / "a/documents.parquet"))
+    kept = P.near_dedup(spark, docs, "").toPandas()
+    label = components([(i, t) for i, t in texts.items()] + [(90001, None), (90002, "")], 5, 80)
+    assert sorted(kept["doc_id"].dropna().astype(int)) == sorted(i for i in label if label[i] == i) and kept["doc_id"].isna().sum() == 2
+    table.limit(0).write.parquet(str(tmp_path / "b/documents.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "b/labels.parquet"))
+    nothing = P.run(spark, str(tmp_path / "b"))
+    assert nothing.count() == 0 and nothing.columns == key
+    docs = spark.read.parquet(str(tmp_path / "b/documents.parquet"))
+    for _, stage in P.STAGES:
+        assert stage(spark, docs, str(tmp_path / "b")).count() == 0

@@ -27,46 +27,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged. Null urls and those without `://` have an empty host and path and the default verdict; repeated rows,
+    null ids and long urls are answered row by row, ties go to the longer rule, then the earlier one; an empty table gives an
+    empty table; columns of the same names in `pages` are left behind."""
     return filter_urls(table(spark, sf_dir, "pages"), RULES)
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and the words that the mix takes of it. Null texts have size 0 and are taken 0 words; a null source is a
+    source, last; rows that tie at the cut are taken as far as they fit; an empty table gives an empty table."""
     return mix(table(spark, sf_dir, "documents"))
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of every hundredth id. Vectors that are null or hold null or non-finite components, and rows with a null id,
+    take no part; every other row is a candidate, also where it repeats an id; ties go to the smaller id; an empty table
+    gives an empty table."""
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored. Null and empty texts score 0; long texts are read whole; repeated rows and null ids are scored
+    each by its text; null labels are passed over; an empty table gives an empty table, and without labels every text
+    scores one half."""
     docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) == 2
     net = fit_quality(docs, labels.where(~held_out))
     return score_quality(docs, net).withColumn("held_out", held_out).select("doc_id", "held_out", "score", "predicted")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text counted whole. Null and empty texts have 0 bytes and 0 tokens; repeated rows and null ids are counted row by
+    row; an empty table gives an empty table."""
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded, written and read back. Null and empty texts hold the end id alone; null ids come first, rows of the
+    same id in order of a hash of the text; an empty table writes no file and gives an empty table."""
     return store_and_read(table(spark, sf_dir, "documents"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language. Null, empty and letterless texts are `und` with score 0; of equal sizes the first language in
+    code point order wins; repeated rows and null ids are answered row by row; an empty table gives an empty table."""
     docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 0
     model = fit_languages(docs.where(~held_out))
     return identify_languages(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component. Null and empty texts have no shingles and link with nothing; rows with a null id take no part
+    (component null, kept); rows that repeat an id count as one document; an empty table gives an empty table."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and bins; equal texts are the clusters (near-duplicates aren't sought here: pass cluster_col for
+    that). Null and empty texts are one row without a bin; repeated rows are packed each; an empty table gives an empty
+    table."""
     return pack(table(spark, sf_dir, "documents"))
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found of every hundredth id. Vectors that are null, zero or hold null or non-finite components, and rows
+    with a null id, take no part; every other row is indexed and a candidate, also where it repeats an id; ties go to the
+    smaller id; an empty table gives an empty table."""
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
