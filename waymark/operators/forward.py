@@ -22,7 +22,7 @@ from waymark.functions import tags as R
 from waymark.functions.tags import any_of, poi_label
 from waymark.operators.graph import cut
 from waymark.plans.index import fuzzy_expansions, posting_counts, substring_expansions
-from waymark.sources.schema import ADMIN, HOUSE, POI, STREET, TYPE_ALIASES, TYPE_NAMES, GeoDataset
+from waymark.sources.schema import ADMIN, HOUSE, POI, STREET, TYPE_NAMES, GeoDataset, type_number
 
 # Bounds on postings of expanded tokens, and of the planners.
 SINGLE_REFS, MULTI_REFS = 30_000, 250_000
@@ -241,7 +241,7 @@ class Forward:
         if not data.indexed:
             raise QueryError("the text index is missing")
         self.data, self.query, self.limit = data, Query(text), min(max(limit, 1), 100)
-        self.type = TYPE_ALIASES.get((type_ or "").strip().lower(), 0)
+        self.type = type_number(type_)
         self.focus, self.viewport = focus, viewport
         self.query.check()
         self.places = Places(data, self.query.words)

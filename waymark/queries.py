@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -231,19 +232,9 @@ def jn7_parent_per_level(spark: SparkSession, sf: str) -> DataFrame:
     return B.attribute(V.dataset(spark, sf)).admin_parent.select(*map(long, ("idx", "ord", "area_idx")))
 
 
-@query("SELECT n.p_partkey AS point_id, arg_min(h.idx, (d, h.idx)) AS idx, round(min(d), 2) AS metres FROM (SELECT p_partkey, h.idx, " + meters("n.lat, n.lon", "h.lat, h.lon") + " AS d FROM part JOIN nodes n ON n.id = p_partkey, houses h WHERE p_partkey % 20 = 0) n JOIN houses h ON h.idx = n.idx GROUP BY n.p_partkey")
+@query("SELECT n.p_partkey AS point_id, arg_min(h.idx, (d, h.idx)) AS idx, round(min(d), 2) AS metres FROM (SELECT p_partkey, h.idx, " + meters("n.lat, n.lon", "h.lat, h.lon") + " AS d FROM part JOIN nodes n ON n.id = p_partkey, houses h) n JOIN houses h ON h.idx = n.idx GROUP BY n.p_partkey")
 def jn9_nearest_house(spark: SparkSession, sf: str) -> DataFrame:
-    """Of every 20th node, as its SQL compares all pairs; jn9_nearest_house_all answers every node."""
-    return _nearest_house(V.nodes(spark, sf).where("id % 20 = 0"), spark, sf)
-
-
-@query()
-def jn9_nearest_house_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _nearest_house(V.nodes(spark, sf), spark, sf)
-
-
-def _nearest_house(nodes: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
-    q = nodes.withColumnRenamed("id", "point_id")
+    q = V.nodes(spark, sf).withColumnRenamed("id", "point_id")
     return nearest_points(q, V.houses(spark, sf)).select("point_id", long("idx"), F.round("metres", 2).alias("metres"))
 
 
@@ -256,19 +247,9 @@ def jn10_nearest_street(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""SELECT point_id, round(min(least({seg('p.lat', 'p.lon', 'lat0', 'lon0', 'lat0+h', 'lon0')}, CASE level WHEN 8 THEN {seg('p.lat', 'p.lon', 'lat0+h', 'lon0', 'lat0', 'lon0+w')} ELSE least({seg('p.lat', 'p.lon', 'lat0+h', 'lon0', 'lat0+h', 'lon0+w')}, {seg('p.lat', 'p.lon', 'lat0+h', 'lon0+w', 'lat0', 'lon0+w')}) END,
-{seg('p.lat', 'p.lon', 'lat0', 'lon0+w', 'lat0', 'lon0')})), 2) AS metres FROM points p, areas WHERE point_id % 10 = 0 GROUP BY point_id""")
+{seg('p.lat', 'p.lon', 'lat0', 'lon0+w', 'lat0', 'lon0')})), 2) AS metres FROM points p, areas GROUP BY point_id""")
 def jn11_nearest_admin(spark: SparkSession, sf: str) -> DataFrame:
-    """Of every 10th point, as its SQL compares all pairs; jn11_nearest_admin_all answers every point."""
-    return _nearest_admin(V.points(spark, sf).where("point_id % 10 = 0"), spark, sf)
-
-
-@query()
-def jn11_nearest_admin_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _nearest_admin(V.points(spark, sf), spark, sf)
-
-
-def _nearest_admin(points: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
-    return nearest_admin(points, V.dataset(spark, sf)).select("point_id", F.round("metres", 2).alias("metres"))
+    return nearest_admin(V.points(spark, sf), V.dataset(spark, sf)).select("point_id", F.round("metres", 2).alias("metres"))
 
 
 @query(f"SELECT p.idx, round(min({meters('p.lat, p.lon', 'a.lat, a.lon')}), 2) AS metres FROM pois p, pois a WHERE a.idx % 97 = 0 AND a.idx < 97 * 40 GROUP BY p.idx")
@@ -334,21 +315,11 @@ def tx7_prefix(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT q, t, (CASE WHEN q = t THEN 1400 WHEN length(q) < 3 OR length(t) < 3 THEN 0 WHEN starts_with(t, q) THEN greatest(0, 1150 + 25*p - pen) WHEN length(q) >= 4 AND contains(t, q) THEN greatest(0, 820 + 18*p - pen)
 WHEN d <= m AND 620 - 170*d + 55*p - pen - CASE WHEN p < 2 AND length(q) >= 5 THEN 220 ELSE 0 END >= 120 THEN 620 - 170*d + 55*p - pen - CASE WHEN p < 2 AND length(q) >= 5 THEN 220 ELSE 0 END ELSE 0 END)::BIGINT AS quality
 FROM (SELECT q, t, {_PREFIX} AS p, least(220, 18*abs(length(q)-length(t))) AS pen, levenshtein(q, t) AS d, CASE WHEN length(q) <= 5 THEN 1 ELSE 2 END AS m FROM
-(SELECT DISTINCT unnest(string_split(p_name, ' ')) AS q FROM part), (SELECT DISTINCT substr(unnest(string_split(p_name || ' ' || lower(p_type), ' ')), 1, 5) AS t FROM part))""", views=False)
+(SELECT DISTINCT unnest(string_split(p_name, ' ')) AS q FROM part), (SELECT DISTINCT unnest(string_split(p_name || ' ' || lower(p_type), ' ')) AS t FROM part))""", views=False)
 def tx8_quality(spark: SparkSession, sf: str) -> DataFrame:
-    """Against the first 5 characters of tokens, as its SQL; tx8_quality_all takes whole tokens."""
-    return _quality(spark, sf, F.substring("t", 1, 5))
-
-
-@query()
-def tx8_quality_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _quality(spark, sf, F.col("t"))
-
-
-def _quality(spark: SparkSession, sf: str, target: Column) -> DataFrame:
     part = V.table(spark, sf, "part")
     q = part.select(F.explode(F.split("p_name", " ")).alias("q")).distinct()
-    t = part.select(F.explode(F.split(F.concat("p_name", F.lit(" "), F.lower("p_type")), " ")).alias("t")).select(target.alias("t")).distinct()
+    t = part.select(F.explode(F.split(F.concat("p_name", F.lit(" "), F.lower("p_type")), " ")).alias("t")).distinct()
     return q.crossJoin(t).select("q", "t", X.match_quality(F.col("q"), F.col("t")).cast("long").alias("quality"))  # a few words
 
 
@@ -497,20 +468,10 @@ def fg13_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""SELECT point_id, (CASE WHEN hm <= 3 THEN 'house' WHEN sm <= 15 THEN 'street' WHEN sm <= 50 AND sm <= hm THEN 'street' WHEN hm <= 100 THEN 'house' WHEN sm <= 50 THEN 'street' WHEN hm <= 300 THEN 'house' ELSE 'admin_area' END) AS kind
-FROM (SELECT p.id AS point_id, min({meters('p.lat, p.lon', 'h.lat, h.lon')}) AS hm FROM nodes p, houses h WHERE p.id % 40 = 0 GROUP BY p.id) JOIN (SELECT p.id, min({seg('p.lat', 'p.lon', 'y1', 'x1', 'y2', 'x2')}) AS sm FROM nodes p, segments WHERE p.id % 40 = 0 AND y2 IS NOT NULL GROUP BY p.id) ON id = point_id""")
+FROM (SELECT p.id AS point_id, min({meters('p.lat, p.lon', 'h.lat, h.lon')}) AS hm FROM nodes p, houses h GROUP BY p.id) JOIN (SELECT p.id, min({seg('p.lat', 'p.lon', 'y1', 'x1', 'y2', 'x2')}) AS sm FROM nodes p, segments WHERE y2 IS NOT NULL GROUP BY p.id) ON id = point_id""")
 def rv1_reverse(spark: SparkSession, sf: str) -> DataFrame:
-    """Of every 40th node, as its SQL compares all pairs; rv1_reverse_all answers every node."""
-    return _reverse(V.nodes(spark, sf).where("id % 40 = 0"), spark, sf)
-
-
-@query()
-def rv1_reverse_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _reverse(V.nodes(spark, sf), spark, sf)
-
-
-def _reverse(nodes: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
     d = B.attribute(V.dataset(spark, sf))
-    q = nodes.select(F.col("id").alias("point_id"), G.degrees(F.col("lat_e7")).alias("lat"), G.degrees(F.col("lon_e7")).alias("lon"))
+    q = V.nodes(spark, sf).select(F.col("id").alias("point_id"), G.degrees(F.col("lat_e7")).alias("lat"), G.degrees(F.col("lon_e7")).alias("lon"))
     return reverse_geocode(q, d).select("point_id", F.col("result_type").alias("kind"))
 
 
@@ -558,10 +519,22 @@ def ag3_counters(spark: SparkSession, sf: str) -> DataFrame:
     return B.counters(V.dataset(spark, sf)).select(*map(long, ("houses", "streets", "unnamed_streets", "street_points", "pois", "admin_areas")))
 
 
-@query("SELECT c_nationkey::BIGINT AS key, arg_max(c_custkey, (c_acctbal, -c_custkey)) AS idx FROM customer GROUP BY c_nationkey", views=False)
+def _scored(spark: SparkSession, sf: str, factor: int) -> DataFrame:
+    """Every third place as a candidate, with a score."""
+    rows = V.pois(spark, sf).where(F.col("idx") % 3 == factor % 3) if factor else V.pois(spark, sf)
+    return rows.select(F.lit(4).alias("type"), "idx", F.lit(factor).alias("matched"), ((F.col("idx").cast("long") + factor) * 7919 % 1000).cast("int").alias("score"))
+
+
+@query("SELECT 4::BIGINT AS type, idx, CASE WHEN idx % 3 = 1 THEN 1 ELSE 0 END::BIGINT AS matched, greatest(idx * 7919 % 1000, CASE WHEN idx % 3 = 1 THEN (idx + 1) * 7919 % 1000 ELSE 0 END)::BIGINT AS score FROM pois")
 def ag6_best_per_key(spark: SparkSession, sf: str) -> DataFrame:
-    best = F.max(F.struct("c_acctbal", (-F.col("c_custkey")).alias("k")))
-    return V.table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("long").alias("key")).agg(best.alias("b")).select("key", (-F.col("b.k")).alias("idx"))
+    """All places as candidates and a third of them again: the best score of each."""
+    return FW.merge(_scored(spark, sf, 0), _scored(spark, sf, 1), best=True).select(*map(long, ("type", "idx", "matched", "score")))
+
+
+@query("SELECT 4::BIGINT AS type, idx, CASE WHEN idx % 3 = 1 THEN 1 ELSE 0 END::BIGINT AS matched, CASE WHEN idx % 3 = 1 THEN (idx + 1) * 7919 % 1000 ELSE idx * 7919 % 1000 END::BIGINT AS score FROM pois")
+def so4_skip_known(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the places, then all: those that are there stay as they are."""
+    return FW.merge(_scored(spark, sf, 1), _scored(spark, sf, 0)).select(*map(long, ("type", "idx", "matched", "score")))
 
 
 @query("SELECT level::BIGINT AS level, count(*) AS n FROM (SELECT DISTINCT point_id, level FROM inside) GROUP BY level")
@@ -684,18 +657,23 @@ def nl4_category_search(spark: SparkSession, sf: str) -> DataFrame:
     return N.natural_search(V.pois(spark, sf), Intent(CATEGORY, category="bakery"), "bakery", _HERE, exact=True)
 
 
-@query("SELECT c.weight::BIGINT AS weight, count(*) AS n FROM pois JOIN (VALUES ('supermarket', 100), ('convenience', 75)) c(v, weight) ON tag_value = v GROUP BY ALL")
+def _rule_values(rules: dict, tags: int) -> str:
+    """The rules of all names as an SQL table."""
+    return "(VALUES " + ", ".join(f"('{name}', '{k}', '{v}', {w})" for name, rule in rules.items() for k, v, w in rule[tags]) + ") r(name, k, v, weight)"
+
+
+@query(f"SELECT r.name, idx, weight::BIGINT AS weight FROM {_rule_values(K.concepts(), 1)} JOIN pois ON k = 'shop' AND v = tag_value")
 def kg1_concept_table(spark: SparkSession, sf: str) -> DataFrame:
-    rules = K.concept_table(spark).where("name = 'groceries'")
-    hits = V.pois(spark, sf).join(F.broadcast(rules), ["tag_key", "tag_value"])  # four rules
-    return hits.groupBy(long("weight")).agg(F.count("*").alias("n"))
+    """Every rule of every concept on all places."""
+    hits = V.pois(spark, sf).withColumnRenamed("name", "poi").join(F.broadcast(K.concept_table(spark)), ["tag_key", "tag_value"])  # a fixed table
+    return hits.select("name", long("idx"), long("weight"))
 
 
-@query("SELECT f.weight::BIGINT AS weight, count(*) AS n FROM pois JOIN (VALUES ('chemist', 100), ('supermarket', 65)) f(v, weight) ON tag_value = v GROUP BY ALL")
+@query(f"SELECT r.name, idx, weight::BIGINT AS weight FROM {_rule_values(K.families(), 2)} JOIN pois ON k = 'shop' AND v = tag_value")
 def kg2_family_table(spark: SparkSession, sf: str) -> DataFrame:
-    rules = K.family_table(spark).where("name = 'hair_body_care'")
-    hits = V.pois(spark, sf).join(F.broadcast(rules), ["tag_key", "tag_value"])  # four rules
-    return hits.groupBy(long("weight")).agg(F.count("*").alias("n"))
+    """Every rule of every family on all places."""
+    hits = V.pois(spark, sf).withColumnRenamed("name", "poi").join(F.broadcast(K.family_table(spark)), ["tag_key", "tag_value"])  # a fixed table
+    return hits.select("name", long("idx"), long("weight"))
 
 
 # Tags
@@ -731,26 +709,35 @@ def prj6_labels(spark: SparkSession, sf: str) -> DataFrame:
 # Sinks
 
 
-@query("SELECT 'houses' AS name, count(*) AS n FROM customer UNION ALL SELECT 'pois', count(*) FROM part UNION ALL SELECT 'admin_areas', 30")
-def snk1_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    """Written to the shared folder, and read back."""
+def _written(spark: SparkSession, sf: str) -> str:
+    """A snapshot of the dataset in the shared folder."""
     cut(spark.range(1))  # sets a folder where there is none
     at = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/snapshot-{uuid.uuid4().hex}"
-    d = V.dataset(spark, sf)
-    for name in ("houses", "pois", "admin_areas"):
-        d.tables[name].write.parquet(f"{at}/{name}")
-    read = [spark.read.schema(snapshot.BUILT[n]).parquet(f"{at}/{n}").agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in ("houses", "pois", "admin_areas")]
-    return read[0].unionByName(read[1]).unionByName(read[2])
+    snapshot.write_snapshot(B.attribute(V.dataset(spark, sf)), at)
+    return at
 
 
-@query("SELECT kind::BIGINT AS kind, count(*) AS n FROM (SELECT 1 AS kind FROM (SELECT 1 FROM customer LIMIT 500) UNION ALL SELECT 2 FROM (SELECT idx FROM streets ORDER BY idx LIMIT 200) UNION ALL SELECT 3 FROM areas) GROUP BY kind")
-def snk2_geojson(spark: SparkSession, sf: str) -> DataFrame:
-    """With smaller limits than the export's own, as its SQL; snk2_geojson_all has the export's own."""
-    return export.features(V.dataset(spark, sf), 500, 200, 500).groupBy(long("kind")).agg(F.count("*").alias("n"))
+@query("SELECT 'houses' AS name, count(*) AS n FROM customer UNION ALL SELECT 'pois', count(*) FROM part UNION ALL SELECT 'admin_areas', 30 UNION ALL SELECT 'admin_rings', 30 UNION ALL SELECT 'streets', count(DISTINCT idx) FROM street_points UNION ALL SELECT 'house_admin', count(*) FROM inside UNION ALL SELECT 'admin_parent', 25")
+def snk1_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the tables that a snapshot holds."""
+    at = _written(spark, sf)
+    names = ("houses", "pois", "admin_areas", "admin_rings", "streets", "house_admin", "admin_parent")
+    read = [spark.read.schema(snapshot.BUILT[n]).parquet(f"{at}/{n}").agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in names]
+    return reduce(DataFrame.unionByName, read)
 
 
-@query()
-def snk2_geojson_all(spark: SparkSession, sf: str) -> DataFrame:
+@query("SELECT 'house' AS kind, idx, lat, lon, house_number || ' ' || street AS label FROM houses UNION ALL SELECT 'poi', idx, lat, lon, name || ' ' || brand FROM pois UNION ALL SELECT 'area', idx, lat0, lon0, name || ' ' || level FROM areas")
+def src2_load(spark: SparkSession, sf: str) -> DataFrame:
+    """What a snapshot gives back."""
+    d = snapshot.load_snapshot(spark, _written(spark, sf))
+    at = lambda lat, lon: [F.col("idx").cast("long").alias("idx"), F.col(lat).cast("long").alias("lat"), F.col(lon).cast("long").alias("lon")]
+    rows = d.houses.select(F.lit("house").alias("kind"), *at("lat_e7", "lon_e7"), F.concat_ws(" ", "house_number", "street").alias("label"))
+    rows = rows.unionByName(d.pois.select(F.lit("poi").alias("kind"), *at("lat_e7", "lon_e7"), F.concat_ws(" ", "name", "brand").alias("label")))
+    return rows.unionByName(d.admin_areas.select(F.lit("area").alias("kind"), *at("min_lat", "min_lon"), F.concat_ws(" ", "name", F.col("admin_level").cast("string")).alias("label")))
+
+
+@query("SELECT kind::BIGINT AS kind, count(*) AS n FROM (SELECT 1 AS kind FROM (SELECT 1 FROM customer LIMIT 25000) UNION ALL SELECT 2 FROM (SELECT idx FROM streets ORDER BY idx LIMIT 5000) UNION ALL SELECT 3 FROM areas) GROUP BY kind")
+def snk2_geojson(spark: SparkSession, sf: str) -> DataFrame:
     return export.features(V.dataset(spark, sf)).groupBy(long("kind")).agg(F.count("*").alias("n"))
 
 

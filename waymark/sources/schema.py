@@ -42,6 +42,11 @@ TYPE_NAMES = {HOUSE: "house", STREET: "street", ADMIN: "admin_area", POI: "poi"}
 TYPE_ALIASES = {"house": HOUSE, "houses": HOUSE, "address": HOUSE, "addresses": HOUSE, "street": STREET, "streets": STREET, "road": STREET, "roads": STREET, "admin": ADMIN, "admin_area": ADMIN, "area": ADMIN, "poi": POI, "pois": POI, "place": POI, "places": POI}
 
 
+def type_number(name: str | None) -> int:
+    """The type that a name stands for; 0 (all types) if it is none."""
+    return TYPE_ALIASES.get((name or "").strip().lower(), 0)
+
+
 def with_box(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     return df.withColumn("_b", bbox(F.col(geometry))).select("*", "_b.min_lat", "_b.max_lat", "_b.min_lon", "_b.max_lon").drop("_b")
 
