@@ -78,13 +78,18 @@ def nearest_shapes(queries: DataFrame, shapes: DataFrame, metres: Callable[[Colu
     box touches a cell at most `rings` cells away; none beyond. Ties by `tie`, then the smaller idx; distances that
     differ by less than `within` metres are ties.
 
-    The 3 x 3 cells around a query come first; only queries that they don't settle look at all (2 rings + 1)^2."""
-    cells = shapes.select("idx", F.explode(G.cells_of_box(F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon"), size)).alias("c")).select("idx", "c.lat_cell", "c.lon_cell")
-
-    def look(q: DataFrame, reach: int) -> DataFrame:
-        around = lambda c: F.sequence(G.cell(F.col(c), size) - reach, G.cell(F.col(c), size) + reach)
-        q = q.withColumn("lat_cell", F.explode(around("lat_e7"))).withColumn("lon_cell", F.explode(around("lon_e7")))
-        pairs = q.join(cells, ["lat_cell", "lon_cell"]).select("point_id", "lat_e7", "lon_e7", "idx").distinct()
+    The 3 x 3 cells around a query come first. Queries that they don't settle look as far as the distance found there, or
+    where there is none as far as `rings` cells. A query and a shape that share several cells meet in the first of them
+    only, so that no pair has to be removed again."""
+    corner = lambda c: G.cell(F.col(c), size)
+    cells = shapes.select("idx", corner("min_lat").alias("s_lat"), corner("min_lon").alias("s_lon"), F.explode(G.cells_of_box(F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon"), size)).alias("c"))
+    cells = cells.select("idx", "s_lat", "s_lon", F.col("c.lat_cell").alias("c_lat"), F.col("c.lon_cell").alias("c_lon"))
+
+    def look(q: DataFrame, reach: Column) -> DataFrame:
+        q = q.withColumn("q_lat", corner("lat_e7") - reach).withColumn("q_lon", corner("lon_e7") - reach).withColumn("_n", 2 * reach)
+        q = q.withColumn("lat_cell", F.explode(F.sequence("q_lat", F.col("q_lat") + F.col("_n")))).withColumn("lon_cell", F.explode(F.sequence("q_lon", F.col("q_lon") + F.col("_n"))))
+        first = (F.col("lat_cell") == F.greatest("q_lat", "s_lat")) & (F.col("lon_cell") == F.greatest("q_lon", "s_lon"))
+        pairs = q.join(cells, (F.col("lat_cell") == F.col("c_lat")) & (F.col("lon_cell") == F.col("c_lon")) & first).select("point_id", "lat_e7", "lon_e7", "idx")
         pairs = pairs.join(shapes, "idx").where(F.size("geometry") > 0)
         # a shape is no nearer than its box and no farther than its first vertex: most are ruled out by that
         k = F.greatest(F.lit(0.01), F.abs(F.cos(F.radians(G.degrees(F.col("lat_e7"))))))
@@ -94,16 +99,24 @@ def nearest_shapes(queries: DataFrame, shapes: DataFrame, metres: Callable[[Colu
         high = flat(F.col("lat_e7") - F.col("geometry")[0]["lat_e7"], F.col("lon_e7") - F.col("geometry")[0]["lon_e7"]) * 1.01 + within
         pairs = pairs.withColumn("low", low).withColumn("high", high)
         bound = pairs.groupBy("point_id").agg(F.min("high").alias("bound"))
-        pairs = pairs.join(bound, "point_id").where(F.col("low") <= F.col("bound")).withColumn("metres", metres(F.col("lat_e7"), F.col("lon_e7"))).where("metres is not null")
+        pairs = pairs.join(bound, "point_id").where(F.col("low") <= F.col("bound")).withColumn("metres", metres(F.col("lat_e7"), F.col("lon_e7")))
         rank = F.round(F.col("metres") / within) if within else F.col("metres")
         key = F.struct(rank.alias("r"), *[t.alias(f"t{i}") for i, t in enumerate(tie or [])], F.col("metres").alias("metres"), F.col("idx").alias("idx"))
-        return pairs.groupBy("point_id").agg(F.min(key).alias("best")).select("point_id", "best.idx", "best.metres")
-
-    near = look(queries, 1)
-    sure = size / G.SCALE * (G.EARTH_M * 3.141592653589793 / 180) * F.cos(F.radians(F.least(F.lit(89.9), F.abs(G.degrees(F.col("lat_e7"))) + size / G.SCALE)))
-    tried = cut(queries.select("point_id", "lat_e7", "lon_e7").join(near, "point_id", "left").withColumn("settled", F.coalesce(F.col("metres") + within < sure, F.lit(False))))
-    rest = tried.where("not settled").select("point_id", "lat_e7", "lon_e7")
-    return tried.where("settled").select("point_id", "idx", "metres").unionByName(look(rest, rings))
+        # null metres are passed over here, not by a filter, which would be moved before the join that rules pairs out
+        best = pairs.groupBy("point_id").agg(F.min(F.when(F.col("metres").isNotNull(), key)).alias("best")).where("best is not null")
+        return best.select("point_id", "best.idx", "best.metres")
+
+    # distances are the work here, so the queries are dealt over all cores however small their table is
+    spark = queries.sparkSession
+    queries = queries.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "point_id")
+    near = look(queries.select("point_id", "lat_e7", "lon_e7"), F.lit(1))
+    # metres that a cell covers for certain, as far towards the pole as a query may look
+    sure = lambda far: size / G.SCALE * (G.EARTH_M * 3.141592653589793 / 180) * F.cos(F.radians(F.least(F.lit(89.9), F.abs(G.degrees(F.col("lat_e7"))) + far * size / G.SCALE)))
+    tried = cut(queries.select("point_id", "lat_e7", "lon_e7").join(near, "point_id", "left").withColumn("settled", F.coalesce(F.col("metres") + within < sure(1), F.lit(False))))
+    far = F.least(F.lit(rings), F.coalesce(F.ceil((F.col("metres") + 1.01 * within + 1) / sure(rings)).cast("int"), F.lit(rings)))
+    rest = tried.where("not settled").select("point_id", "lat_e7", "lon_e7", far.alias("reach"))
+    again = look(rest, F.col("reach"))
+    return tried.where("settled").select("point_id", "idx", "metres").unionByName(again)
 
 
 def in_viewport(shapes: DataFrame, box: tuple[int, int, int, int], size: int, exact: Column | None = None) -> DataFrame:
