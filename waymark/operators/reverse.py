@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geometry as G
 from waymark.functions import tags as R
 from waymark.operators.graph import cut
-from waymark.operators.spatial import nearest_points, nearest_shapes, points_in_areas
+from waymark.operators.spatial import nearest_lines, nearest_points, nearest_shapes, points_in_areas
 from waymark.sources.schema import GeoDataset
 
 # Distances in metres that decide between results, and rings of cells that are searched.
@@ -64,7 +64,7 @@ def reverse_geocode(points: DataFrame, data: GeoDataset) -> DataFrame:
     renamed = lambda df, k: df.select("point_id", F.col("idx").alias(f"{k}_idx"), F.col("metres").alias(f"{k}_m"))
     house = renamed(nearest_points(q, data.houses), "house")
     lines = data.streets.select("idx", "geometry", "min_lat", "max_lat", "min_lon", "max_lon")
-    street = renamed(nearest_shapes(q, lines, lambda a, b: G.street_m(a, b, F.col("geometry")), STREET_RINGS, G.STREET_CELL), "street")
+    street = renamed(nearest_lines(q, lines, STREET_RINGS, G.STREET_CELL), "street")
     inside = cut(containing_areas(q, data))
     areas = data.admin_areas.select(F.col("idx").alias("area_idx"), "admin_level", "osm_id", "min_lat", "max_lat", "min_lon", "max_lon")
     score = G.box_score(F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon"))

@@ -119,6 +119,37 @@ def nearest_shapes(queries: DataFrame, shapes: DataFrame, metres: Callable[[Colu
     return tried.where("settled").select("point_id", "idx", "metres").unionByName(again)
 
 
+def nearest_lines(queries: DataFrame, lines: DataFrame, rings: int, size: int) -> DataFrame:
+    """As nearest_shapes, for lines (idx, geometry, box): segment by segment, each in the cells of its own small box, with
+    plain arithmetic instead of functions over arrays. The few queries whose nearest segment may lie beyond `rings` cells
+    (or that find none) go by the boxes of whole lines."""
+    corner = lambda c: G.cell(F.col(c), size)
+    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size("geometry") - 1, F.lit(1))), lambda i: F.struct(F.get("geometry", i - 1).alias("a"), F.coalesce(F.get("geometry", i), F.get("geometry", i - 1)).alias("b")))
+    seg = lines.where(F.size("geometry") > 0).select("idx", (F.size("geometry") == 1).alias("one"), F.explode(ends).alias("e")).select("idx", "one", *[F.col(f"e.{p}.{c}_e7").alias(f"{p}_{c}") for p in "ab" for c in ("lat", "lon")])
+    seg = seg.withColumn("y0", F.least("a_lat", "b_lat")).withColumn("y1", F.greatest("a_lat", "b_lat")).withColumn("x0", F.least("a_lon", "b_lon")).withColumn("x1", F.greatest("a_lon", "b_lon"))
+    seg = seg.withColumn("s_lat", corner("y0")).withColumn("s_lon", corner("x0")).withColumn("c_lat", F.explode(F.sequence(corner("y0"), corner("y1")))).withColumn("c_lon", F.explode(F.sequence(corner("x0"), corner("x1"))))
+
+    def look(q: DataFrame, reach: Column) -> DataFrame:
+        q = q.withColumn("q_lat", corner("lat_e7") - reach).withColumn("q_lon", corner("lon_e7") - reach).withColumn("_n", 2 * reach)
+        q = q.withColumn("lat_cell", F.explode(F.sequence("q_lat", F.col("q_lat") + F.col("_n")))).withColumn("lon_cell", F.explode(F.sequence("q_lon", F.col("q_lon") + F.col("_n"))))
+        first = (F.col("lat_cell") == F.greatest("q_lat", "s_lat")) & (F.col("lon_cell") == F.greatest("q_lon", "s_lon"))
+        pairs = q.join(seg, (F.col("lat_cell") == F.col("c_lat")) & (F.col("lon_cell") == F.col("c_lon")) & first)
+        at = [F.col(c) for c in ("lat_e7", "lon_e7", "a_lat", "a_lon", "b_lat", "b_lon")]
+        return pairs.groupBy("point_id").agg(F.min(F.struct(F.when(F.col("one"), G.distance_m(*at[:4])).otherwise(G.segment_m(*at)).alias("metres"), F.col("idx").alias("idx"))).alias("best")).select("point_id", "best.idx", "best.metres")
+
+    spark = queries.sparkSession
+    q = queries.select("point_id", "lat_e7", "lon_e7").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "point_id")
+    sure = lambda far: size / G.SCALE * (G.EARTH_M * 3.141592653589793 / 180) * F.cos(F.radians(F.least(F.lit(89.9), F.abs(G.degrees(F.col("lat_e7"))) + far * size / G.SCALE)))
+    tried = cut(q.join(look(q, F.lit(1)), "point_id", "left").withColumn("cells", F.when(F.col("metres") < sure(1), 0).otherwise(F.coalesce(F.ceil((F.col("metres") + 1) / sure(rings)).cast("int"), F.lit(rings + 1)))))
+    out = tried.where("cells = 0").select("point_id", "idx", "metres")
+    left = tried.where("cells > 0").groupBy().agg(F.max("cells")).first()[0]
+    if left is not None:
+        out = out.unionByName(look(tried.where(F.col("cells").between(1, rings)).select("point_id", "lat_e7", "lon_e7", F.col("cells").alias("reach")), F.col("reach")))
+        if left > rings:
+            out = out.unionByName(nearest_shapes(tried.where(F.col("cells") > rings).select("point_id", "lat_e7", "lon_e7"), lines, lambda a, b: G.street_m(a, b, F.col("geometry")), rings, size))
+    return out
+
+
 def in_viewport(shapes: DataFrame, box: tuple[int, int, int, int], size: int, exact: Column | None = None) -> DataFrame:
     """Shapes (with boxes) whose box meets `box` = (min_lat, max_lat, min_lon, max_lon), with first_lat and first_lon: the
     first cell, in row order, that both touch. The filter on boxes reaches the scan; `exact` is applied after."""

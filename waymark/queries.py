@@ -19,7 +19,7 @@ from waymark.operators import natural as N
 from waymark.operators import viewport as VP
 from waymark.operators.graph import cut
 from waymark.operators.reverse import admin_chain, choose, containing_areas, nearest_admin, reverse_geocode
-from waymark.operators.spatial import in_viewport, nearest_points, nearest_shapes, points_in_areas
+from waymark.operators.spatial import in_viewport, nearest_lines, nearest_points, points_in_areas
 from waymark.operators.streets import connect_streets, street_components
 from waymark.plans import build as B
 from waymark.plans import index as IX
@@ -242,7 +242,7 @@ def jn9_nearest_house(spark: SparkSession, sf: str) -> DataFrame:
 def jn10_nearest_street(spark: SparkSession, sf: str) -> DataFrame:
     q = V.points(spark, sf).where("point_id % 50 = 0")
     lines = V.streets(spark, sf).select("idx", "geometry", "min_lat", "max_lat", "min_lon", "max_lon")
-    found = nearest_shapes(q, lines, lambda a, b: G.street_m(a, b, F.col("geometry")), 8, G.STREET_CELL)
+    found = nearest_lines(q, lines, 8, G.STREET_CELL)
     return found.select("point_id", F.round("metres", 2).alias("metres"))
 
 
