@@ -13,6 +13,7 @@ from waymark.functions import text as X
 from waymark.operators.graph import connected_components
 from waymark.operators.spatial import nearest_points, points_in_areas
 from waymark.operators.streets import assemble_rings, chains
+from waymark.plans.index import expansions, fuzzy_expansions, substring_expansions
 from waymark.sources.pbf import decode, fields, packed
 from waymark.sources.schema import with_box
 
@@ -27,6 +28,29 @@ def test_normalize(spark):
     assert [r[1] for r in rows] == [X.tokens_py(t or "") for t in texts]
 
 
+def test_words_of_odd_texts(spark):
+    texts = ["Str. strasze xstr str1 str-a", "str", "Str STR straße", "İstanbul K\u212a", "a\u0301 str\u0308 x", "\u0131ß", "strasse strassen strasz", "\x00 \t\n str\r"]
+    rows = spark.createDataFrame([(t, t[::-1], None) for t in texts], "t string, u string, n string")
+    t, u, n = F.col("t"), F.col("u"), F.col("n")
+    for r in rows.select("t", "u", X.ordered_tokens(t).alias("o"), X.tokens(t, n, u).alias("b"), X.tokens(n).alias("e")).collect():
+        assert r["o"] == X.ordered_tokens_py(r["t"])
+        assert r["b"] == sorted({*X.ordered_tokens_py(r["t"]), *X.ordered_tokens_py(r["u"])})
+        assert r["e"] == []
+
+
+def test_expansions_in_one_pass(spark):
+    words = ["lane", "lanes", "plane", "lame", "land", "strasse", "strase", "hauptstrasse", "main", "mains", "a", "ab", "remain", "domain"]
+    vocab = spark.createDataFrame([(w,) for w in words], "token string")
+    for most in ((2, 1), (96, 24)):
+        want = []
+        for spelling in ("lane", "main", "strasse", "ab", "zzzz"):
+            for fuzzy, df in ((False, substring_expansions(vocab, spelling, most[0])), (True, fuzzy_expansions(vocab, spelling, most[1]))):
+                want += [(spelling, fuzzy, k, r["token"]) for k, r in enumerate(df.collect(), 1)]
+        assert sorted(map(tuple, expansions(vocab, ["lane", "main", "strasse", "ab", "zzzz"], *most).collect())) == sorted(want)
+        assert any(w[1] for w in want)
+    assert expansions(vocab, [], 96, 24).collect() == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
 def test_normalize_is_idempotent(t):

@@ -18,21 +18,25 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def normalize(text: Column) -> Column:
-    """Lower-case ASCII words with single spaces between; umlauts spelled out, combining marks dropped. Null: empty."""
-    spelled = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), SPELLED.items(), F.coalesce(text, F.lit("")))
-    lowered = F.regexp_replace(F.translate(spelled, UPPER, LOWER), r"[\x{0300}-\x{033F}]", "")
+    """Lower-case ASCII words with single spaces between; umlauts spelled out, combining marks dropped. Null: empty. Only
+    texts with a character beyond ASCII (more bytes than characters) go through the replacements."""
+    raw = F.coalesce(text, F.lit(""))
+    spelled = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), SPELLED.items(), raw)
+    plain = F.translate(F.regexp_replace(spelled, r"[\x{0300}-\x{033F}]", ""), UPPER, LOWER)
+    lowered = F.when(F.octet_length(raw) == F.char_length(raw), F.lower(raw)).otherwise(plain)
     return F.trim(F.regexp_replace(lowered, "[^a-z0-9]+", " "))
 
 
 def ordered_tokens(text: Column) -> Column:
     """Words in order, repeats kept, street words unified."""
-    words = F.filter(F.split(normalize(text), " "), lambda t: t != "")
-    return F.transform(words, lambda t: F.when(t.isin(*STREET_WORDS), F.lit("strasse")).otherwise(t))
+    norm = normalize(text)
+    unified = F.when(F.contains(norm, F.lit("str")), F.regexp_replace(norm, rf"\b(?:{'|'.join(STREET_WORDS)})\b", "strasse")).otherwise(norm)
+    return F.array_remove(F.split(unified, " "), "")
 
 
 def tokens(*texts: Column) -> Column:
-    """The distinct words of all texts, sorted."""
-    return F.array_sort(F.array_distinct(F.concat(*[ordered_tokens(t) for t in texts])))
+    """The distinct words of all texts, sorted. The texts are normalized as one: no rule looks past a space."""
+    return F.sort_array(F.array_distinct(ordered_tokens(texts[0] if len(texts) == 1 else F.concat_ws(" ", *texts))))
 
 
 def numbers(toks: Column) -> Column:

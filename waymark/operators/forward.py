@@ -21,14 +21,13 @@ from waymark.functions import text as X
 from waymark.functions import tags as R
 from waymark.functions.tags import any_of, poi_label
 from waymark.operators.graph import cut
-from waymark.plans.index import fuzzy_expansions, posting_counts, substring_expansions
+from waymark.plans.index import expansions, posting_counts
 from waymark.sources.schema import ADMIN, HOUSE, POI, STREET, TYPE_NAMES, GeoDataset, type_number
 
 # Bounds on postings of expanded tokens, and of the planners.
 SINGLE_REFS, MULTI_REFS = 30_000, 250_000
-PLACE_ANCHOR, STREET_ANCHOR, STREET_VISITED = 250_000, 250_000, 6_000
-SEMANTIC_ANCHOR, SEMANTIC_VISITED = 500_000, 100_000
-BRAND_ANCHOR, BRAND_VISITED, ALIAS_ANCHOR, ALIAS_VISITED = 1_200_000, 90_000, 250_000, 8_000
+STREET_ANCHOR, STREET_VISITED = 250_000, 6_000
+SEMANTIC_ANCHOR, ALIAS_VISITED = 500_000, 8_000
 BROAD_QUERIES = ("strasse", "strasze", "street", "road", "weg", "gasse", "place", "poi")
 MESSAGES = {
     "exact_house": "Exact house point found.",
@@ -125,24 +124,22 @@ def token_plan(data: GeoDataset, query: Query, postings: DataFrame) -> dict[str,
     def counts(toks: Sequence[str]) -> dict[str, int]:
         return {r["token"]: r["n"] for r in posting_counts(postings.where(F.col("token").isin(list(toks)))).collect()} if toks else {}
 
-    def expand(tok: str, substrings: int, fuzzy: int) -> list[str]:
-        return [r["token"] for df in (substring_expansions(data.vocabulary, tok, substrings), fuzzy_expansions(data.vocabulary, tok, fuzzy)) for r in df.collect()]
-
     have = counts(every)
+    spread = {t for t in query.tokens if single or t not in have}
+    # a token without postings, or the only one, is expanded in all spellings; of others, those spellings without postings
+    wanted = {t: [a for a in spelled[t] if t in spread or (a != t and a not in have)] for t in query.tokens}
+    found: dict[str, list[tuple[bool, int, str]]] = {}
+    for r in expansions(data.vocabulary, sorted({a for w in wanted.values() for a in w}), 96, 24).collect():
+        found.setdefault(r["spelling"], []).append((r["fuzzy"], r["rank"], r["token"]))
+    expanded: dict[str, set[str]] = {}
+    for t in query.tokens:
+        substrings, fuzzy = (96, 24) if t in spread else (64, 12)
+        expanded[t] = {e for a in wanted[t] for near, rank, e in found.get(a, []) if rank <= (fuzzy if near else substrings)}
+    more = counts(sorted(set().union(*expanded.values())))
     plan: dict[str, list[str]] = {}
     for t in query.tokens:
-        spread = single or t not in have
-        expanded = sorted({e for a in spelled[t] for e in expand(a, 96, 24)} - set(spelled[t])) if spread else []
-        if not spread:  # an alternative without postings stands for what it expands to
-            for a in spelled[t]:
-                if a != t and a not in have:
-                    expanded += expand(a, 64, 12)
-        more = counts(sorted(set(expanded)))
-        allowed = [e for e in more if not spread or more[e] <= bound]
-        plan[t] = sorted({a for a in spelled[t] if a in have} | set(allowed))
-        if not plan[t]:
-            last = counts(sorted(set(expand(t, 64, 12))))
-            plan[t] = sorted(e for e, n in last.items() if n <= bound)
+        fit = {e for e in expanded[t] if e in more and (t not in spread or (e not in spelled[t] and more[e] <= bound))}
+        plan[t] = sorted({a for a in spelled[t] if a in have} | fit)
         if not plan[t]:
             return None
     return plan

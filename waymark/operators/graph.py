@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,11 +10,14 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in spark.checkpoint.dir (a temporary folder where that is unset, as in tests)."""
+    """df, computed once and kept in spark.checkpoint.dir. Where that is unset and everything runs in this process (as in
+    tests), in a temporary folder; on a cluster without the setting it is an error."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="waymark-")
-        spark.sparkContext.setCheckpointDir(at)
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="waymark-"))
     return df.checkpoint(eager=True)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,9 @@ def _placed(df: DataFrame, links: DataFrame, areas: DataFrame) -> DataFrame:
 
 
 def explode_tokens(df: DataFrame, toks: Column) -> DataFrame:
-    """type, idx and their tokens -> token, type, idx, each once."""
-    return df.select(F.explode(toks).alias("token"), F.col("type").cast("byte").alias("type"), "idx").distinct()
+    """type, idx (a key of df) and their distinct tokens -> token, type, idx. As a row's tokens are distinct, each posting
+    stands once without a shuffle."""
+    return df.select(F.explode(toks).alias("token"), F.col("type").cast("byte").alias("type"), "idx")
 
 
 def posting_counts(postings: DataFrame) -> DataFrame:
@@ -38,10 +41,11 @@ def posting_counts(postings: DataFrame) -> DataFrame:
 
 
 def and_match(postings: DataFrame, toks: list[str]) -> DataFrame:
-    """type, idx of records that have all of toks. The tokens are pushed to the scan of the postings."""
+    """type, idx of records that have all of toks. The tokens are pushed to the scan of the postings, which hold each
+    (token, type, idx) once."""
     if not toks:
         return postings.select("type", "idx").where("false")
-    found = postings.where(F.col("token").isin(toks)).groupBy("type", "idx").agg(F.count_distinct("token").alias("n"))
+    found = postings.where(F.col("token").isin(toks)).groupBy("type", "idx").agg(F.count("*").alias("n"))
     return found.where(F.col("n") == len(set(toks))).select("type", "idx")
 
 
@@ -58,58 +62,103 @@ def suffixes(vocab: DataFrame) -> DataFrame:
     return vocab.where(F.length("token") >= 3).select("token", F.explode(s).alias("s")).select("token", "s.offset", "s.suffix")
 
 
-def substring_expansions(vocab: DataFrame, token: str, most: int) -> DataFrame:
-    """Up to `most` tokens that contain `token` (3 letters or more), those that start with it first, then the nearest in
-    length, then in order."""
+def _contains(token: str) -> tuple[Column, list[Column]]:
+    """Which vocabulary tokens contain `token` (3 letters or more), and their order."""
     t = F.lit(token)
-    out = vocab.where(F.contains("token", t) if len(token) >= 3 else F.lit(False))
-    return out.orderBy(~F.startswith("token", t), F.abs(F.length("token") - len(token)), "token").limit(most)
+    keys = [F.when(F.startswith("token", t), 0).otherwise(1), F.abs(F.length("token") - len(token)), F.length("token")]
+    return F.contains("token", t) if len(token) >= 3 else F.lit(False), keys
 
 
-def fuzzy_expansions(vocab: DataFrame, token: str, most: int) -> DataFrame:
-    """Up to `most` tokens within edit distance 1 (2 for more than 5 letters) of `token` (4 letters or more) that share a
-    seed with it, by (distance, longer common prefix, length, order)."""
+def _near(token: str) -> tuple[Column, list[Column]]:
+    """Which vocabulary tokens are near `token` (4 letters or more) and share a seed with it, and their order."""
     if len(token) < 4:
-        return vocab.where("false")
+        return F.lit(False), [F.length("token")] * 3
     most_edits = 1 if len(token) <= 5 else 2
     n = max(3, min(5, len(token) // (most_edits + 1)))
     seeds = sorted({token[i : i + n] for i in range(len(token) - n + 1)})
-    t, d = F.lit(token), F.levenshtein(F.col("token"), F.lit(token), most_edits)
+    d = F.levenshtein(F.col("token"), F.lit(token), most_edits)
     shares = R.any_of([F.contains("token", F.lit(s)) for s in seeds])
-    out = vocab.where((F.abs(F.length("token") - len(token)) <= most_edits) & shares).withColumn("d", d).where("d >= 0")
-    return out.orderBy("d", -X.common_prefix(F.col("token"), t), F.length("token"), "token").limit(most).select("token")
+    return (F.abs(F.length("token") - len(token)) <= most_edits) & shares & (d >= 0), [d, -X.common_prefix(F.col("token"), F.lit(token)), F.length("token")]
+
+
+def substring_expansions(vocab: DataFrame, token: str, most: int) -> DataFrame:
+    """Up to `most` tokens that contain `token` (3 letters or more), those that start with it first, then the nearest in
+    length, then in order."""
+    found, keys = _contains(token)
+    return vocab.where(found).orderBy(*keys, "token").limit(most)
+
+
+def fuzzy_expansions(vocab: DataFrame, token: str, most: int) -> DataFrame:
+    """Up to `most` tokens within edit distance 1 (2 for more than 5 letters) of `token` (4 letters or more) that share a
+    seed with it, by (distance, longer common prefix, length, order)."""
+    found, keys = _near(token)
+    return vocab.where(found).orderBy(*keys, "token").limit(most).select("token")
+
+
+def expansions(vocab: DataFrame, spellings: list[str], substrings: int, fuzzy: int) -> DataFrame:
+    """spelling, fuzzy, rank (from 1), token: for each spelling what substring_expansions and fuzzy_expansions give, all in
+    one pass over the vocabulary. Each partition keeps only its best before they meet."""
+    hits = []
+    for spelling in spellings:
+        for near, (found, keys) in ((False, _contains(spelling)), (True, _near(spelling))):
+            hits.append(F.when(found, F.struct(F.lit(spelling).alias("spelling"), F.lit(near).alias("fuzzy"), *[k.cast("int").alias(f"k{i}") for i, k in enumerate(keys)])))
+    if not hits:
+        return vocab.select(F.lit("").alias("spelling"), F.lit(False).alias("fuzzy"), F.lit(0).alias("rank"), "token").where("false")
+    rows = vocab.select("token", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("token", "h.*")
+    rank = F.row_number().over(Window.partitionBy("spelling", "fuzzy").orderBy("k0", "k1", "k2", "token"))
+    top = rows.withColumn("rank", rank).where(F.col("rank") <= max(substrings, fuzzy))
+    return top.where(F.col("rank") <= F.when(F.col("fuzzy"), fuzzy).otherwise(substrings)).select("spelling", "fuzzy", "rank", "token")
+
+
+#: Which houses and streets are indexed.
+_HOUSE, _STREET = "street != '' or house_number != ''", "name != ''"
+
+
+def primary_postings(data: GeoDataset) -> DataFrame:
+    """token, type, idx of the words of every indexed entity's own fields. They need no areas, hence neither join nor shuffle."""
+    own = {
+        HOUSE: (data.houses.where(_HOUSE), ("street", "house_number", "postcode")),
+        STREET: (data.streets.where(_STREET), ("name",)),
+        ADMIN: (data.admin_areas, ("name",)),
+        POI: (data.pois, ("name", "brand", "category", "tag_value")),
+    }
+    parts = [explode_tokens(df.select(F.lit(kind).alias("type"), "idx", *fields), X.tokens(*(F.col(f) for f in fields))) for kind, (df, fields) in own.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def search_docs(data: GeoDataset) -> DataFrame:
-    """One row per entity with its prepared texts (see BUILT); unused fields are empty."""
+    """One row per indexed entity with its prepared texts (see BUILT) and its context tokens; unused fields are empty."""
     areas, none, text = data.admin_areas, F.array().cast("array<string>"), F.lit("")
-    houses = _placed(data.houses, data.house_admin, areas).where("street != '' or house_number != ''")
-    streets = _placed(data.streets, data.street_admin, areas).where("name != ''")
+    houses = _placed(data.houses, data.house_admin, areas).where(_HOUSE)
+    streets = _placed(data.streets, data.street_admin, areas).where(_STREET)
     pois = _placed(data.pois, data.poi_admin, areas)
     admin = _placed(areas, data.admin_parent, areas)
     name = X.tokens(F.col("name"))
     label = X.normalize(R.poi_label(F.col("name"), F.col("brand"), F.col("category")))
 
     def row(df: DataFrame, kind: int, **given: Column) -> DataFrame:
-        columns = {"name_norm": text, "label_norm": text, "brand_norm": text, "name_tokens": none, "number_tokens": none, "number_norm": text, "street_norm": text, "postcode_tokens": none, "city_tokens": none, "own_tokens": none, "brand_tokens": none, "admin_tokens": X.tokens(F.col("_all")), "context": none, "primary": none}
+        columns = {"name_norm": text, "label_norm": text, "brand_norm": text, "name_tokens": none, "number_tokens": none, "number_norm": text, "street_norm": text, "postcode_tokens": none, "city_tokens": none, "own_tokens": none, "brand_tokens": none, "admin_tokens": X.tokens(F.col("_all")), "context": none}
         return df.select(F.lit(kind).cast("byte").alias("type"), "idx", *[(given.get(c) if c in given else d).alias(c) for c, d in columns.items()])
 
     h = [F.col(c) for c in ("street", "house_number", "postcode", "city", "country", "_deep")]
     rows = row(houses, HOUSE, name_tokens=X.tokens(h[0]), number_tokens=X.tokens(h[1]), number_norm=X.normalize(h[1]), street_norm=X.normalize(h[0]), postcode_tokens=X.tokens(h[2]), city_tokens=X.tokens(h[3]), own_tokens=X.tokens(h[0]), context=X.tokens(*h), primary=X.tokens(*h[:3]))
     n = F.col("name")
-    rows = rows.unionByName(row(streets, STREET, name_norm=X.normalize(n), name_tokens=name, own_tokens=name, context=X.tokens(n, F.col("_deep")), primary=name))
-    rows = rows.unionByName(row(admin, ADMIN, name_norm=X.normalize(n), name_tokens=name, own_tokens=name, context=X.tokens(n, F.col("_deep")), primary=name))
+    rows = rows.unionByName(row(streets, STREET, name_norm=X.normalize(n), name_tokens=name, own_tokens=name, context=X.tokens(n, F.col("_deep"))))
+    rows = rows.unionByName(row(admin, ADMIN, name_norm=X.normalize(n), name_tokens=name, own_tokens=name, context=X.tokens(n, F.col("_deep"))))
     p = [F.col(c) for c in ("name", "brand", "category", "tag_value")]
     own = X.tokens(*p)
-    rows = rows.unionByName(row(pois, POI, name_norm=X.normalize(p[0]), label_norm=label, brand_norm=X.normalize(p[1]), name_tokens=X.tokens(p[0], p[1]), own_tokens=own, brand_tokens=X.tokens(p[1]), context=X.tokens(*p, F.col("_deep")), primary=own))
+    rows = rows.unionByName(row(pois, POI, name_norm=X.normalize(p[0]), label_norm=label, brand_norm=X.normalize(p[1]), name_tokens=X.tokens(p[0], p[1]), own_tokens=own, brand_tokens=X.tokens(p[1]), context=X.tokens(*p, F.col("_deep"))))
     return rows
 
 
 def add_index(data: GeoDataset) -> GeoDataset:
     """data with postings_context, postings_primary, vocabulary and search_docs. name_is_place: some area's name has all
     words of the name; has_place_token: some area's name has one of them."""
+    # every query meets the links again, so that they are computed here once
+    links = {n: cut(data.tables[n]) for n in ("house_admin", "street_admin", "poi_admin", "admin_parent")}
+    data = GeoDataset(data.tables | links, data.language)
     docs = cut(search_docs(data))
-    context, primary = (cut(explode_tokens(docs, F.col(c))) for c in ("context", "primary"))
+    context, primary = cut(explode_tokens(docs, F.col("context"))), cut(primary_postings(data))
     pairs = F.create_map(*[F.lit(x) for a, b in X.PLACE_PAIRS for x in (a, b, b, a)])
     names = docs.where(F.col("type") == STREET).select("name_tokens").distinct()
     area_words = docs.where(F.col("type") == ADMIN).select("idx", F.explode("name_tokens").alias("token")).distinct()
@@ -120,7 +169,7 @@ def add_index(data: GeoDataset) -> GeoDataset:
     words = names.select("name_tokens", F.explode("name_tokens").alias("token"))
     touched = words.join(area_words.select("token").distinct(), "token", "left_semi").select("name_tokens").union(names.where(alias)).distinct().withColumn("has_place_token", F.lit(True))
     flags = names.join(together, "name_tokens", "left").join(touched, "name_tokens", "left").withColumn("type", F.lit(STREET).cast("byte"))
-    flagged = docs.drop("context", "primary").join(flags, ["type", "name_tokens"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("name_is_place", "has_place_token")})
+    flagged = docs.drop("context").join(flags, ["type", "name_tokens"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("name_is_place", "has_place_token")})
     order = ["type", "idx", "name_norm", "label_norm", "brand_norm", "name_tokens", "number_tokens", "number_norm", "street_norm", "postcode_tokens", "city_tokens", "own_tokens", "brand_tokens", "admin_tokens", "name_is_place", "has_place_token"]
     tables = {"postings_context": context, "postings_primary": primary, "vocabulary": cut(vocabulary(context, primary)), "search_docs": cut(flagged.select(*order))}
     return GeoDataset(data.tables | tables, data.language)

@@ -340,7 +340,7 @@ def tx12_street_like(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT token, type, idx FROM (SELECT unnest({toks("street || ' ' || house_number || ' ' || postcode")}) AS token, 1::BIGINT AS type, idx FROM houses
 UNION SELECT unnest({toks('name')}), 2, idx FROM streets UNION SELECT unnest({toks('name')}), 3, idx FROM areas UNION SELECT unnest({toks("name || ' ' || brand || ' shop ' || tag_value")}), 4, idx FROM pois)""")
 def ix1_postings_primary(spark: SparkSession, sf: str) -> DataFrame:
-    return _indexed(spark, sf).postings_primary.select("token", long("type"), long("idx"))
+    return IX.primary_postings(V.dataset(spark, sf)).select("token", long("type"), long("idx"))
 
 
 @query(f"SELECT unnest({toks('text')}) AS token, count(*) AS n FROM documents GROUP BY 1", views=False)
