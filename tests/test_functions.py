@@ -13,6 +13,7 @@ from waymark.functions import text as X
 from waymark.operators.graph import connected_components
 from waymark.operators.spatial import nearest_points, points_in_areas
 from waymark.operators.streets import assemble_rings, chains
+from waymark.operators.viewport import even_sample
 from waymark.plans.index import expansions, fuzzy_expansions, substring_expansions
 from waymark.sources.pbf import decode, fields, packed
 from waymark.sources.schema import with_box
@@ -108,6 +109,40 @@ def test_rings():
     assert [len(r) for r in assemble_rings([[a, b, c, a], [(5, 5), (5, 6), (6, 6), (6, 5), (5, 5)]])] == [5, 4]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 1)), max_size=4), max_size=9))
+def test_rings_by_trial(parts):
+    unused, rings = [p for p in parts if len(p) > 1], []
+    while unused:
+        ring = unused.pop(0)
+        while ring[0] != ring[-1]:
+            fits = [k for k, p in enumerate(unused) if {p[0], p[-1]} & {ring[0], ring[-1]}]
+            if not fits:
+                break
+            p = unused.pop(fits[0])
+            if ring[-1] in (p[0], p[-1]):
+                ring = ring + (p if p[0] == ring[-1] else p[::-1])[1:]
+            else:
+                ring = (p if p[-1] == ring[0] else p[::-1])[:-1] + ring
+        if len(ring) > 3 and ring[0] == ring[-1]:
+            rings.append(ring)
+    assert assemble_rings(parts) == sorted(rings, key=len, reverse=True)
+
+
+def test_many_ways_make_one_ring():
+    n = 20_000
+    ways = [[(i, 0), ((i + 1) % n, 0)] for i in range(n)]
+    random.Random(5).shuffle(ways)
+    assert [len(r) for r in assemble_rings(ways)] == [n + 1]
+
+
+def test_even_sample_by_ranges(spark):
+    for n, limit in ((1000, 37), (41, 40), (40, 40), (7, 1)):
+        got = even_sample(spark.range(n).repartition(3), limit, F.col("id")).select("id", "ord").collect()
+        want = range(n) if n <= limit else [int((i + 0.5) * n / limit) for i in range(limit)]
+        assert sorted(map(tuple, got)) == [(k, k) for k in want]
+
+
 def test_chains():
     got = chains([(5, [(0, 0), (0, 1)]), (3, [(0, 2), (0, 1)]), (9, [(0, 2), (0, 3)]), (7, [(0, 2), (1, 2)])])
     assert sorted((i, len(p)) for i, p in got) == [(3, 3), (7, 2), (9, 2)]

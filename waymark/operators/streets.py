@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,31 +14,39 @@ Point = tuple[int, int]
 
 
 def assemble_rings(parts: list[list[Point]]) -> list[list[Point]]:
-    """Closed rings from ways: each chain starts with the first unused way and takes any way that fits its end, else its
+    """Closed rings from ways: each chain starts with the first unused way and takes the first one that fits its end or its
     start, either way round, until none does. Chains that don't close, or have fewer than 4 points, are dropped; the
-    rings come by falling number of points."""
-    unused, rings = [p for p in parts if len(p) >= 2], []
-    while unused:
-        chain = list(unused.pop(0))
-        grown = True
-        while grown and chain[0] != chain[-1]:
-            grown = False
-            for i, p in enumerate(unused):
-                if p[0] == chain[-1]:
-                    chain += p[1:]
-                elif p[-1] == chain[-1]:
-                    chain += p[-2::-1]
-                elif p[-1] == chain[0]:
-                    chain = p[:-1] + chain
-                elif p[0] == chain[0]:
-                    chain = p[:0:-1] + chain
-                else:
-                    continue
-                unused.pop(i)
-                grown = True
-                break
+    rings come by falling number of points. Ways are looked up by end point, so that a relation of many ways costs what
+    it holds."""
+    ways = [p for p in parts if len(p) >= 2]
+    meeting: defaultdict[Point, list[int]] = defaultdict(list)  # the ways that end at a point, the last one first
+    for i in reversed(range(len(ways))):
+        for point in {ways[i][0], ways[i][-1]}:
+            meeting[point].append(i)
+    free, rings = [True] * len(ways), []
+
+    def first_at(point: Point) -> int:
+        left = meeting[point]
+        while left and not free[left[-1]]:
+            left.pop()
+        return left[-1] if left else len(ways)
+
+    for start, way in enumerate(ways):
+        if not free[start]:
+            continue
+        free[start], chain = False, deque(way)
+        while chain[0] != chain[-1] and (i := min(first_at(chain[-1]), first_at(chain[0]))) < len(ways):
+            free[i], p = False, ways[i]
+            if p[0] == chain[-1]:
+                chain.extend(p[1:])
+            elif p[-1] == chain[-1]:
+                chain.extend(p[-2::-1])
+            elif p[-1] == chain[0]:
+                chain.extendleft(p[-2::-1])
+            else:
+                chain.extendleft(p[1:])
         if len(chain) >= 4 and chain[0] == chain[-1]:
-            rings.append(chain)
+            rings.append(list(chain))
     return sorted(rings, key=len, reverse=True)
 
 

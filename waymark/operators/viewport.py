@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geometry as G
 from waymark.operators.spatial import in_viewport
+from waymark.sources.schema import numbered
 
 Box = tuple[int, int, int, int]  # min_lat, max_lat, min_lon, max_lon, in degrees * 1e7
 
@@ -19,11 +20,12 @@ def box_of(min_lat: float, max_lat: float, min_lon: float, max_lon: float) -> Bo
 
 
 def even_sample(df: DataFrame, limit: int, *order: Column, n: int | None = None) -> DataFrame:
-    """All rows with `ord` if there are at most limit; else those at places floor((i + 0.5) * n / limit) of the order."""
+    """All rows with `ord` if there are at most limit; else those at places floor((i + 0.5) * n / limit) of the order. Places
+    are counted by ranges, so that no task sorts more than its own."""
     n = df.count() if n is None else n
     if n <= limit:
         return df.withColumn("ord", F.row_number().over(Window.orderBy(*order)) - 1)
-    ranked = df.withColumn("ord", F.row_number().over(Window.orderBy(*order)) - 1)
+    ranked = numbered(df, *order, name="ord", kind="long")
     # place p is taken if some i has floor((i + 0.5) * n / limit) = p
     i = F.ceil(F.col("ord") * F.lit(limit) / F.lit(float(n)) - 0.5)
     return ranked.where((i >= 0) & (i < limit) & (F.floor((i + 0.5) * F.lit(float(n)) / F.lit(limit)) == F.col("ord")))

@@ -51,7 +51,7 @@ def with_box(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     return df.withColumn("_b", bbox(F.col(geometry))).select("*", "_b.min_lat", "_b.max_lat", "_b.min_lon", "_b.max_lon").drop("_b")
 
 
-def numbered(df: DataFrame, *order: Column, name: str = "idx") -> DataFrame:
+def numbered(df: DataFrame, *order: Column, name: str = "idx", kind: str = "int") -> DataFrame:
     """df with a dense number from 0 in the given order. Rows are range-partitioned and counted per partition; no task
     holds more than its range."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
@@ -59,7 +59,7 @@ def numbered(df: DataFrame, *order: Column, name: str = "idx") -> DataFrame:
     run = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first")).withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0)))
     out = ranged.join(F.broadcast(counts), "_p")  # a row per partition
-    return out.withColumn(name, (F.col("_before") + F.col("_m") - F.col("_first")).cast("int")).drop("_p", "_m", "_n", "_first", "_before")
+    return out.withColumn(name, (F.col("_before") + F.col("_m") - F.col("_first")).cast(kind)).drop("_p", "_m", "_n", "_first", "_before")
 
 
 @dataclass
