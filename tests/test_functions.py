@@ -11,6 +11,7 @@ from waymark.functions import intent as I
 from waymark.functions import rules as K
 from waymark.functions import text as X
 from waymark.operators.graph import connected_components
+from waymark.operators import spatial
 from waymark.operators.spatial import nearest_points, points_in_areas
 from waymark.operators.streets import assemble_rings, chains
 from waymark.operators.viewport import even_sample
@@ -95,6 +96,25 @@ def test_nearest_points(spark):
     assert nearest_points(q, h.limit(0)).count() == 0
 
 
+def test_nearest_points_in_a_dense_place(spark, monkeypatch):
+    """Cells follow the density, copies at one place count once, and no repeated table is broadcast."""
+    random.seed(5)
+    houses = [(i, 480000000 + random.randrange(3000), 90000000 + random.randrange(3000)) for i in range(4000)] + [(5000 + i, 480001000, 90001000) for i in range(3000)]
+    asked = [(i, 480000000 + random.randrange(3000), 90000000 + random.randrange(3000)) for i in range(500)] + [(500, 480001000, 90001000), (501, 481000000, 90000000), (502, None, 1)]
+    h = spark.createDataFrame(houses, "idx int, lat_e7 int, lon_e7 int")
+    q = spark.createDataFrame(asked, "point_id int, lat_e7 int, lon_e7 int")
+    size, n = spatial.fitted_cell(h.select("lat_e7", "lon_e7").distinct(), G.POINT_CELL)
+    assert size < 200 and n <= 4001
+    plans, kept = [], spatial.cut
+    monkeypatch.setattr(spatial, "cut", lambda df: (plans.append(df._jdf.queryExecution().toString()), kept(df))[1])
+    got = {r["point_id"]: (r["idx"], r["metres"]) for r in nearest_points(q, h).collect()}
+    assert plans and not any("BroadcastHashJoin" in p or "BroadcastExchange" in p for p in plans)
+    d = G.distance_m(F.col("a"), F.col("b"), F.col("lat_e7"), F.col("lon_e7"))
+    pairs = q.where("lat_e7 is not null").crossJoin(h.select("idx", F.col("lat_e7").alias("a"), F.col("lon_e7").alias("b")))
+    want = {r["point_id"]: (r["m"]["idx"], r["m"]["d"]) for r in pairs.groupBy("point_id").agg(F.min(F.struct(d.alias("d"), "idx")).alias("m")).collect()}
+    assert got == want and len(got) == 502 and got[500][1] == 0
+
+
 def test_house_way_point(spark):
     big = [(480000000, 90000000), (481000000, 90000000), (481000000, 93000000), (480000000, 93000000), (480000000, 90000000)]
     df = spark.createDataFrame([([{"lat_e7": a, "lon_e7": b} for a, b in g],) for g in (big, big[:3], [])], f"g {LINE}")
