@@ -1,6 +1,7 @@
 """Functions against plain Python."""
 
 import random
+import threading
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,8 +11,8 @@ from waymark.functions import geometry as G
 from waymark.functions import intent as I
 from waymark.functions import rules as K
 from waymark.functions import text as X
-from waymark.operators.graph import connected_components
 from waymark.operators import spatial
+from waymark.operators.graph import connected_components
 from waymark.operators.spatial import nearest_points, points_in_areas
 from waymark.operators.streets import assemble_rings, chains
 from waymark.operators.viewport import even_sample
@@ -115,6 +116,36 @@ def test_nearest_points_in_a_dense_place(spark, monkeypatch):
     assert got == want and len(got) == 502 and got[500][1] == 0
 
 
+def _lines(spark, rows):
+    return with_box(spark.createDataFrame([(i, [{"lat_e7": a, "lon_e7": b} for a, b in g]) for i, g in rows], f"idx int, geometry {LINE}"))
+
+
+def _nearest_lines_by_force(q, lines):
+    m = G.street_m(F.col("lat_e7"), F.col("lon_e7"), F.col("geometry"))
+    rows = q.crossJoin(lines.where(F.size("geometry") > 0).select("idx", "geometry")).groupBy("point_id").agg(F.min(F.struct(m.alias("m"), "idx")).alias("m")).collect()
+    return {r["point_id"]: (r["m"]["idx"], r["m"]["m"]) for r in rows}
+
+
+def test_nearest_lines_with_long_segments(spark, monkeypatch):
+    """Lines whose boxes touch hundreds of thousands of cells each, in several blocks of places and of segments."""
+    random.seed(6)
+    monkeypatch.setattr(spatial, "PLACES", 40)
+    monkeypatch.setattr(spatial, "SEGMENTS", 900)
+    spot = lambda: (random.randint(300000000, 700000000), random.randint(-200000000, 200000000))
+    rows = [(i, [spot() for _ in range(3)]) for i in range(1500)]
+    asked = [(i, *spot()) for i in range(100)] + [(100 + i, *rows[i][1][1]) for i in range(20)] + [(200, *rows[0][1][1]), (201, None, 1)]
+    lines, q = _lines(spark, rows), spark.createDataFrame(asked, "point_id int, lat_e7 int, lon_e7 int")
+    late = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = {r["point_id"]: (r["idx"], r["metres"]) for r in spatial.nearest_lines(q, lines, 8, G.STREET_CELL).collect()}
+    finally:
+        late.cancel()
+    want = _nearest_lines_by_force(q.where("lat_e7 is not null"), lines)
+    assert len(want) == 121 and got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+
+
 def test_house_way_point(spark):
     big = [(480000000, 90000000), (481000000, 90000000), (481000000, 93000000), (480000000, 93000000), (480000000, 90000000)]
     df = spark.createDataFrame([([{"lat_e7": a, "lon_e7": b} for a, b in g],) for g in (big, big[:3], [])], f"g {LINE}")
