@@ -67,14 +67,17 @@ def houses_in(houses: DataFrame, box: Box, limit: int = 1500) -> DataFrame:
     return _per_cell(found, box, limit, inside).withColumn("truncated", F.lit(n > limit))
 
 
-def streets_in(streets: DataFrame, box: Box, limit: int = 2000) -> DataFrame:
-    """Streets with a vertex in a box, their geometry clipped to such vertices, with ord and truncated."""
-    limit = min(max(limit, 1), 20_000)
+def streets_in(streets: DataFrame, box: Box, limit: int | None = 2000) -> DataFrame:
+    """Streets with a vertex in a box, their geometry clipped to such vertices, with ord and truncated: all, or an even
+    sample of at most limit and 20,000 (None: all, however many)."""
     inside = lambda p: G.in_box(p["lat_e7"], p["lon_e7"], *box)
-    found = in_viewport(streets, box, G.STREET_CELL, F.exists("geometry", inside))
+    found = in_viewport(streets, box, G.STREET_CELL, F.exists("geometry", inside)).withColumn("geometry", F.filter("geometry", inside))
+    order = F.col("first_lat"), F.col("first_lon"), F.col("idx")
+    if limit is None:
+        return numbered(found, *order, name="ord").withColumn("truncated", F.lit(False))
+    limit = min(max(limit, 1), 20_000)
     n = found.count()
-    found = even_sample(found, limit, F.col("first_lat"), F.col("first_lon"), F.col("idx"), n=n)
-    return found.withColumn("geometry", F.filter("geometry", inside)).withColumn("truncated", F.lit(n > limit))
+    return even_sample(found, limit, *order, n=n).withColumn("truncated", F.lit(n > limit))
 
 
 def areas_in(areas: DataFrame, box: Box, limit: int = 300, min_level: int = 2, max_level: int = 10, max_points: int | None = 500) -> DataFrame:
