@@ -146,6 +146,20 @@ def test_nearest_lines_with_long_segments(spark, monkeypatch):
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
 
 
+def test_nearest_lines_of_points_copies_and_far_places(spark):
+    random.seed(7)
+    spot = lambda: (480000000 + random.randint(0, 2000000), 90000000 + random.randint(0, 2000000))
+    rows = [(i, [spot() for _ in range(random.choice((1, 2, 4)))]) for i in range(1, 80)] + [(0, [])]
+    rows += [(100 + i, rows[5][1]) for i in range(30)]  # copies: the smallest idx counts
+    asked = [(i, *spot()) for i in range(60)] + [(60, *rows[5][1][0]), (61, 482500000, 93000000), (62, 100000000, 90000000)]
+    lines, q = _lines(spark, rows), spark.createDataFrame(asked, "point_id int, lat_e7 int, lon_e7 int")
+    got = {r["point_id"]: (r["idx"], r["metres"]) for r in spatial.nearest_lines(q, lines, 8, G.STREET_CELL).collect()}
+    want = _nearest_lines_by_force(q.where("point_id < 62"), lines)  # 62 lies far beyond 8 cells
+    assert got.keys() == want.keys() and got[60][1] == 0
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+    assert spatial.nearest_lines(q, lines.limit(0), 8, G.STREET_CELL).count() == 0
+
+
 def test_house_way_point(spark):
     big = [(480000000, 90000000), (481000000, 90000000), (481000000, 93000000), (480000000, 93000000), (480000000, 90000000)]
     df = spark.createDataFrame([([{"lat_e7": a, "lon_e7": b} for a, b in g],) for g in (big, big[:3], [])], f"g {LINE}")
