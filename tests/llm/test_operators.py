@@ -21,7 +21,7 @@ from waymark.llm.packing import pack, pack_shard
 from waymark.llm.quality_cnn import fit_network, fit_quality, passages, score_quality
 from waymark.llm.setsketch import M, _across, banding, estimate, near_duplicates, shingles, sketch
 from waymark.llm.token_count import count_huge, count_tokens, tokenizer
-from waymark.llm.token_store import Reader, Writer, decode_block, encode_block, encoder, store_and_read
+from waymark.llm.token_store import PieceEncoder, PieceTable, Reader, Writer, decode_block, encode_block, encoder, split_pieces, store_and_read
 from waymark.llm.url_filter import Rule, ShiftAnd, filter_urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -391,6 +391,29 @@ def test_piece_encoder():
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
 
 
+def test_piece_table(monkeypatch):
+    """Pieces that are known need no step of Python each; a table that is full forgets, and gives the same ids again."""
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = tokenizer(path)
+    texts = [*odd_texts(200), None, "", " \t\n ", "a\x0bb\x0cc d", "The THE the, \x85Ä\xa0ä", *(f"w{i} v{i % 7}" for i in range(300))]
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+    encode = encoder.__wrapped__(path, 2)
+    plain = [np.frombuffer(b, "<u4").tolist() for b in encode(texts)]
+    monkeypatch.setattr(PieceEncoder, "learn", lambda *_: pytest.fail("these pieces were known"))
+    again = [np.frombuffer(b, "<u4").tolist() for b in encode(pa.array(texts))]
+    assert plain == again == want and encode([]) == []
+    monkeypatch.undo()
+    table = PieceTable(path, 2, most=40)
+    for _ in range(2):
+        for x, ids in zip(texts, want, strict=True):
+            rows = table.rows(split_pieces(pa.array([x or ""], pa.large_string()))[1])
+            assert table.ids_of(np.append(rows, 0)).tolist() == ids
+            table.age()
+            assert len(table.names) <= 40
+
+
 def test_special_tokens_in_mixed_case(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = tokenizer(path)

@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import public_tokenizers
 import zstandard
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import ODD_SPACE, batched, cut, like, shared_dir
+from waymark.llm.common import batched, cut, like, shared_dir
 from waymark.llm.token_count import tokenizer
 
 MAGIC, BLOCK = b"WMPLANE1", 65_536
@@ -161,11 +162,13 @@ class Reader:
 WORD_ALONE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: ASCII marks after a word are a pre-token of their own: but not apostrophes ('s), nor what begins special tokens.
 MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
-BEYOND_LATIN = re.compile("[^\x00-\xff]")
+BEYOND_LATIN = "[^\\x{00}-\\x{ff}]"
 #: How the special tokens begin.
 SPECIAL = "<|"
 #: Pieces that a worker remembers in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Pieces that a worker remembers in columns, at some 50 bytes each; bytes of texts that it looks up at once.
+TABLED, TOGETHER = 1_000_000, 8 << 20
 
 
 class PieceEncoder:
@@ -229,39 +232,111 @@ class PieceEncoder:
             self.older, self.known = self.known, {}
 
 
-def pieces_of(text: str) -> list[str]:
-    """What stands between spaces, tabs and line ends. The tokenizer lower-cases character by character; where Python's
-    lower does the same, it is done first, so that fewer pieces differ. But the tokenizer looks for its special tokens
-    before it lower-cases, so pieces that may hold one (or something like one) stay as they are."""
-    latin = not BEYOND_LATIN.search(text)
-    special = SPECIAL in text
-    if latin and not special:
-        text = text.lower()
-    if not ODD_SPACE.search(text):
-        pieces = text.split()
-    else:
-        pieces = [p for p in text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if p]
-    return [p if SPECIAL in p else p.lower() for p in pieces] if latin and special else pieces
+def lowered(pieces: pa.Array) -> pa.Array:
+    """The tokenizer lower-cases character by character; where Arrow does the same, it is done first, so that fewer pieces
+    differ. But the tokenizer looks for its special tokens before it lower-cases, so pieces that may hold one (or something
+    like one) stay as they are."""
+    kept = pc.or_(pc.match_substring(pieces, SPECIAL), pc.match_substring_regex(pieces, BEYOND_LATIN))
+    return pc.if_else(kept, pieces, pc.utf8_lower(pieces))
+
+
+def split_pieces(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """What stands between spaces, tabs and line ends: (number of pieces in each text, all pieces); empty pieces may occur.
+    Vertical tabs and form feeds, at which ascii_split_whitespace splits too, don't end a piece."""
+    odd = any(pc.any(pc.match_substring(texts, c)).as_py() for c in "\x0b\x0c")
+    lists = pc.split_pattern_regex(texts, "[ \t\n\r]+") if odd else pc.ascii_split_whitespace(texts)
+    return pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+
+
+class PieceTable:
+    """Ids of pieces in columns, for many pieces at a time: each distinct piece of a call is looked up once, those not in the
+    table are learned from a PieceEncoder. Beyond `most` rows the half used last stays. Row 0 is no piece but the end id."""
+
+    def __init__(self, path: str, end_id: int | None, most: int = TABLED):
+        self.encoder, self.most, self.calls = PieceEncoder(path), most, 0
+        self.names = pa.array([""], pa.large_string()).slice(1)
+        self.ids = np.array([] if end_id is None else [end_id], "<u4")
+        self.start, self.n, self.used = np.zeros(1, np.int64), np.full(1, len(self.ids)), np.zeros(1, np.int64)
+
+    def rows(self, pieces: pa.Array) -> np.ndarray:
+        """The row of each piece."""
+        self.calls += 1
+        coded = pieces.dictionary_encode()
+        low = lowered(coded.dictionary).dictionary_encode()
+        distinct = low.dictionary
+        at = pc.index_in(distinct, value_set=self.names)
+        new = distinct.filter(at.is_null())
+        row = at.fill_null(-1).to_numpy().astype(np.int64) + 1
+        if len(new):
+            row[row == 0] = len(self.n) + np.arange(len(new))
+            self._add(new)
+        self.used[row] = self.calls
+        return row[low.indices.to_numpy()][coded.indices.to_numpy()]
+
+    def _add(self, new: pa.Array) -> None:
+        pieces = new.to_pylist()
+        known = self.encoder.learn(set(pieces))
+        raw = [known[p] for p in pieces]
+        self.encoder.age()
+        n = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(n) - n))
+        self.n, self.used = np.concatenate((self.n, n)), np.concatenate((self.used, np.zeros(len(n), np.int64)))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(raw), "<u4")))
+        self.names = pa.concat_arrays([self.names, new])
+
+    def ids_of(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of these rows, one after another."""
+        n = self.n[rows]
+        return self.ids[np.repeat(self.start[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    def age(self) -> None:
+        if len(self.names) > self.most:
+            kept = 1 + np.sort(np.argsort(self.used[1:], kind="stable")[-(self.most // 2) :])
+            rows = np.concatenate(([0], kept))
+            self.ids, self.names = self.ids_of(rows), self.names.take(pa.array(kept - 1))
+            self.n, self.used = self.n[rows], self.used[rows]
+            self.start = np.cumsum(self.n) - self.n
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str, end_id: int | None):
-    """texts -> their ids (with end_id), as bytes of little-endian 32-bit integers. The tokenizer drops white space, so a
-    text's ids are those of its pieces, and each worker process encodes every distinct piece once while it remembers it,
-    from task to task."""
-    pieces_known = PieceEncoder(path)
-    end = b"" if end_id is None else struct.pack("<I", end_id)
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        pieces = [pieces_of(x or "") for x in texts]
-        known = pieces_known.learn(set().union(*pieces))
-        out = [b"".join(map(known.__getitem__, ps)) + end for ps in pieces]
-        pieces_known.age()
+    """texts (a list or an Arrow array) -> their ids (with end_id), as bytes of little-endian 32-bit integers. The tokenizer
+    drops white space, so a text's ids are those of its pieces, and each worker process encodes every distinct piece once
+    while it remembers it, from task to task. What it remembers is found for all pieces of many texts at once, not by a step
+    of Python for each."""
+    table = PieceTable(path, end_id)
+
+    def encode(texts: list[str | None] | pa.Array) -> list[bytes]:
+        whole = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        whole = whole.fill_null("")
+        share = np.cumsum(pc.binary_length(whole).to_numpy()) // TOGETHER
+        cuts = np.flatnonzero(share[1:] != share[:-1]) + 1 if len(share) else share
+        out: list[bytes] = []
+        for i, j in zip([0, *cuts], [*cuts, len(whole)], strict=True):
+            pieces, flat = split_pieces(whole.slice(i, j - i))
+            ends = np.cumsum(pieces)
+            rows = np.insert(table.rows(flat), ends, 0)
+            upto = np.cumsum(table.n[rows])[ends + np.arange(len(ends))] * 4
+            raw = table.ids_of(rows).tobytes()
+            out += [raw[a:b] for a, b in zip([0, *upto.tolist()], upto.tolist(), strict=False)]
+            table.age()
         return out
 
     return encode
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in batches of about `size` bytes or more, without empty ones."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held += [batch] * bool(batch.num_rows)
+        if sum(b.nbytes for b in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def write_tokens(df: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int | None = 2) -> DataFrame:
     """Encode every text, write the ids in ascending id order to files `to`/part-<n>.wmp, and return the manifest: a row
     per file with its number, path, documents, tokens, and start (the ids in all files before it).
@@ -282,16 +357,14 @@ def write_tokens(df: DataFrame, to: str, id_col: str = "doc_id", text_col: str =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer, tokens = encoder(path, end_id), None, 0
         fs, top = pa.fs.FileSystem.from_uri(to)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in gathered(batches):
             if writer is None:
                 part = batch.column(2)[0].as_py()
                 draft, final = f"{top}/_{part}-{uuid.uuid4().hex}", f"{top}/part-{part:06d}.wmp"
                 sink = fs.open_output_stream(draft)
                 writer = Writer(sink)
             kind = batch.column(0).type
-            for name, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            for name, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 writer.add(name, np.frombuffer(raw, "<u4"))
                 tokens += len(raw) // 4
         if writer is not None:
