@@ -3,6 +3,7 @@
 import random
 import threading
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from waymark.functions import geometry as G
 from waymark.functions import intent as I
 from waymark.functions import rules as K
 from waymark.functions import text as X
-from waymark.operators import spatial
+from waymark.operators import segments, spatial
 from waymark.operators.graph import connected_components
 from waymark.operators.spatial import nearest_points, points_in_areas
 from waymark.operators.streets import assemble_rings, chains
@@ -146,6 +147,32 @@ def test_nearest_lines_with_long_segments(spark, monkeypatch):
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
 
 
+def test_segments_run_through_few_strips(monkeypatch):
+    """Places that the nearest segment passes at no distance, and long segments of all directions: exact, and far fewer steps
+    than strips and places beside a segment that lies as it happens."""
+    rng = np.random.default_rng(3)
+    y, x = rng.integers(470_000_000, 478_000_000, 20_000), rng.integers(90_000_000, 98_000_000, 20_000)
+    y[:50], x[50:100] = y[0], x[50]
+    a, b = rng.integers(0, 20_000, 60_000), rng.integers(0, 20_000, 60_000)
+    a[:2], b[:2] = (0, 50), (1, 51)
+    b[2:4] = a[2:4]  # without length
+    k, within, idx = np.cos(np.radians(y / 1e7)), np.full(20_000, 1e-6), rng.permutation(60_000) // 2
+    steps, spread = [], segments._spread
+    monkeypatch.setattr(segments, "_spread", lambda n, first: steps.append(int(n.sum())) or spread(n, first))
+    who, metres = segments.nearest_segments(y, x, k, within, idx, y[a], x[a], y[b], x[b])
+    assert sum(steps) < 80 * 60_000
+    for i in [*range(100), *rng.integers(0, 20_000, 100)]:
+        m = segments.segment_m(*(float(v[i]) for v in (y, x, k)), *(v.astype(float) for v in (y[a], x[a], y[b], x[b])))
+        near = m.min() if m.min() <= 1e-6 else np.inf
+        assert (metres[i], who[i]) == (near, idx[m == near].min() if near < 1 else -1)
+    who, metres = segments.nearest_segments(y, x, k, within, idx, y[a] + 10**8, x[a], y[b] + 10**8, x[b])
+    assert (who == -1).all() and np.isinf(metres).all()
+
+
+def test_segments_dealt_by_direction():
+    assert spatial._dealt([(1, 5), (0, 4), (2, 30), (3, 2), (5, 9)], 10) == [(0, 0, 1), (1, 0, 1), (2, 1, 3), (3, 4, 1), (5, 5, 1)]
+
+
 def test_nearest_lines_of_points_copies_and_far_places(spark):
     random.seed(7)
     spot = lambda: (480000000 + random.randint(0, 2000000), 90000000 + random.randint(0, 2000000))
