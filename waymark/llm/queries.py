@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.llm import corpus_queries
 from waymark.llm.ball_tree import top_k
 from waymark.llm.common import fold
 from waymark.llm.hilbert_ann import nearest
@@ -97,7 +98,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_url_filter, op2_source_mix, op3_exact_top_k, op4_quality, op5_token_counts, op6_token_store, op7_language, op8_near_duplicates, op9_packing, op10_nearest]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | corpus_queries.queries()
 
 
 _OP1 = """
@@ -180,4 +181,4 @@ FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_i
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1, "op2_source_mix": _OP2, "op3_exact_top_k": _OP3, "op8_near_duplicates": _OP8}
+    return {"op1_url_filter": _OP1, "op2_source_mix": _OP2, "op3_exact_top_k": _OP3, "op8_near_duplicates": _OP8} | corpus_queries.oracle_sql()
