@@ -5,11 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from waymark.llm.common import fold
 from waymark.llm.divergence import audit
+from waymark.llm.kneser_ney import fit_bigrams, score_texts
 from waymark.llm.prefix_trie import trie, turns_of, with_shared_heads
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the model of those outside its held-out fold. Null texts are empty; empty ones are an end alone;
+    long texts are read whole; repeated rows and null ids are scored each by its text; an empty table gives an empty table."""
+    docs, held_out = spark.read.parquet(f"{sf_dir}/documents.parquet"), fold(F.col("doc_id"), 7) == 2
+    scored = score_texts(docs, fit_bigrams(docs.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source of every language against the others, and its outstanding terms. Null lang, source and text are empty; every
     row is a document, repeated or not; groups without terms have pairs alone; ties go to the smaller item; an empty table
@@ -25,7 +36,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op12_divergence, op13_prefix_trie)}
+    return {f.__name__: f for f in (op11_language_model, op12_divergence, op13_prefix_trie)}
 
 
 _OP12 = """
