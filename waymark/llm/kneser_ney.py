@@ -139,7 +139,7 @@ def discounts(seen: list[int]) -> tuple[float, float, float]:
     if not all(seen):
         return 0.5, 1.0, 1.5
     y = seen[0] / (seen[0] + 2 * seen[1])
-    return tuple(min(max(k + 1 - (k + 1) * y * seen[k] / seen[k - 1], 0.0), float(k)) for k in (1, 2, 3))
+    return tuple(min(max(k - (k + 1) * y * seen[k] / seen[k - 1], 0.0), float(k)) for k in (1, 2, 3))
 
 
 def discounted(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
