@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 SPELLED = {"Ä": "ae", "ä": "ae", "Ö": "oe", "ö": "oe", "Ü": "ue", "ü": "ue", "ß": "ss", "É": "e", "é": "e"}
 STREET_WORDS = ("str", "strasse", "strasze")
 PLACE_PAIRS = (("vienna", "wien"), ("zurich", "zuerich"), ("munich", "muenchen"), ("cologne", "koeln"), ("nuremberg", "nuernberg"), ("nice", "nizza"))
+PLACE_NAMES = tuple(p for pair in PLACE_PAIRS for p in pair)
 STREET_TOKENS = ("str", "avenue", "ave", "boulevard", "lane", "drive", "square")
 STREET_ENDINGS = ("str", "strasse", "strasze", "street", "road", "weg", "gasse", "allee", "platz", "ring")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -116,6 +117,50 @@ def same_street(query: list[str], toks: Column) -> Column:
     return (F.size(toks) == len(query)) & reduce(lambda a, b: a & b, [F.coalesce(p, F.lit(False)) for p in pairs], F.lit(bool(query)))
 
 
+_FORMS = ("street", *STREET_WORDS)
+
+
+def same_street_as(query: Column, toks: Column) -> Column:
+    """same_street for query words in a column."""
+    same = F.zip_with(query, toks, lambda q, t: (q == t) | (q.isin(*_FORMS) & t.isin(*_FORMS)))
+    return (F.size(query) > 0) & (F.size(query) == F.size(toks)) & F.forall(same, lambda x: F.coalesce(x, F.lit(False)))
+
+
+def other_name(token: Column) -> Column:
+    """A place's name in the other language; null for other words."""
+    return F.create_map(*[F.lit(x) for a, b in PLACE_PAIRS for x in (a, b, b, a)])[token]
+
+
+def place_variants_of(toks: Column) -> Column:
+    """place_variants of tokens in a column."""
+    other = other_name(F.get(toks, F.lit(0)))
+    return F.when((F.size(toks) == 1) & other.isNotNull(), F.array(toks, F.array(other))).otherwise(F.array(toks))
+
+
+def word_variants_of(toks: Column) -> Column:
+    """The words, and the words with each place name exchanged for its other name."""
+    exchanged = F.transform(toks, lambda w, i: F.when(other_name(w).isNotNull(), F.transform(toks, lambda x, j: F.when(i == j, other_name(x)).otherwise(x))))
+    return F.concat(F.array(toks), F.array_compact(exchanged))
+
+
+def inserted_e_of(token: Column) -> Column:
+    """inserted_e of a token in a column."""
+    n = F.length(token)
+    at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(token, i, F.lit(1)).isin("a", "o", "u") & (F.substr(token, i + 1, F.lit(1)) != "e"))
+    spelled = F.transform(F.slice(at, 1, 4), lambda i: F.concat(F.substr(token, F.lit(1), i), F.lit("e"), F.substr(token, i + 1)))
+    return F.when(n.between(4, 32), spelled).otherwise(F.array().cast("array<string>"))
+
+
+def street_forms_of(token: Column) -> Column:
+    """street_forms of a token in a column, sorted."""
+    return F.when(token.isin(*_FORMS), F.array(*map(F.lit, sorted(_FORMS)))).otherwise(F.array(token))
+
+
+def alternatives_of(token: Column) -> Column:
+    """alternatives of a token in a column."""
+    return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(token, other_name(token))), inserted_e_of(token), street_forms_of(token))))
+
+
 # The same for one query on the driver.
 
 

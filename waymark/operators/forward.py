@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geometry as G
-from waymark.functions import rules as K
 from waymark.functions import text as X
 from waymark.functions import tags as R
 from waymark.functions.tags import any_of, poi_label
+from waymark.operators import scores as S
 from waymark.operators.graph import cut
+from waymark.operators.scores import admin_importance, lits  # noqa: F401
 from waymark.plans.index import expansions, posting_counts
 from waymark.sources.schema import ADMIN, HOUSE, POI, STREET, TYPE_NAMES, GeoDataset, type_number
 
@@ -45,14 +46,6 @@ class QueryError(ValueError):
     """A query that is answered with an error."""
 
 
-def lits(values: Sequence[str]) -> Column:
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
-
-
-def _points(condition: Column, n: int | Column) -> Column:
-    return F.when(condition, n).otherwise(0)
-
-
 @dataclass
 class Query:
     """A query text taken apart."""
@@ -154,54 +147,25 @@ def candidates(postings: DataFrame, plan: dict[str, list[str]]) -> DataFrame:
     return hits.where(F.col("matched") == len(plan))
 
 
+def asked(query: Query, alternatives: Sequence[str] = (), qualities: Sequence[str] = (), known_place: bool = False) -> S.Asked:
+    """One query as literal columns."""
+    variants = _word_variants(query.words)
+    places = [" ".join(v) for v in X.place_variants(query.words)]
+    return S.Asked(lits(query.numbers), lits(query.postcodes), lits(query.words), F.lit(len(query.tokens)), F.lit(query.norm), lits(alternatives), lits(qualities), F.array(*map(lits, variants)), lits(places), F.lit(known_place))
+
+
 def house_score(query: Query, matched: Column) -> Column:
     """Null for houses that the query doesn't ask for."""
-    words = lits(query.words)
-    number = F.arrays_overlap("number_tokens", lits(query.numbers))
-    postcode = F.arrays_overlap("postcode_tokens", lits(query.postcodes)) if query.postcodes else F.lit(True)
-    score = 120 + 15 * matched + 80 + (45 if query.postcodes else 0) + 25 * X.matches(words, F.col("name_tokens")) + 12 * (X.matches(words, F.col("city_tokens")) + X.matches(words, F.col("admin_tokens")))
-    return F.when(F.lit(bool(query.numbers)) & number & postcode, score)
+    return S.house(asked(query), matched)
 
 
 def street_score(query: Query, matched: Column, alternatives: Sequence[str], qualities: Sequence[str]) -> Column:
     """alternatives: all that the single token stands for; qualities: its spellings, for the quality of the match."""
-    toks, words, single = F.col("name_tokens"), lits(query.words), len(query.tokens) == 1
-    quality = X.best_quality(lits(qualities), toks) if single else F.lit(0)
-    phrase = X.has_phrase(F.lit(query.norm), F.col("name_norm"))
-    found = X.matches(words, toks)
-    placelike = (len(query.words) > F.size(toks)) & (F.col("name_is_place") | ((F.size(toks) == 1) & toks[0].isin(*[p for ab in X.PLACE_PAIRS for p in ab])))
-    mostly = (len(query.words) > found) & ~phrase & F.col("has_place_token")
-    score = (35 if query.numbers else 95) + 15 * matched + 25 * found + 10 * X.matches(words, F.col("admin_tokens"))
-    score = score + _points(F.col("name_norm") == query.norm, 50) + _points(X.same_street(query.words, toks), 1100) + _points(phrase, 620 + 240 * F.size(toks))
-    score = score + 3 * quality - _points(placelike, 420) - _points(mostly, 420)
-    return F.when((quality > 0) | F.arrays_overlap(toks, lits(alternatives)), score) if single else score
-
-
-def admin_importance(level: Column, box: dict[str, Column]) -> Column:
-    lat, lon = (box["max_lat"].cast("long") - box["min_lat"]), (box["max_lon"].cast("long") - box["min_lon"])
-    spread = F.when((lat > 0) & (lon > 0), F.floor(F.least(F.lit(900.0), F.sqrt(G.degrees(lat) * G.degrees(lon)) * 360.0))).otherwise(0)
-    return F.greatest(F.lit(0), 14 - level.cast("int")) * 90 + F.coalesce(spread, F.lit(0)).cast("int")
+    return S.street(asked(query, alternatives, qualities), matched)
 
 
 def admin_score(query: Query, matched: Column, known_place: bool, qualities: Sequence[str]) -> Column:
-    toks, single = F.col("name_tokens"), len(query.tokens) == 1
-    level = F.col("admin_level").cast("int")
-    variants = [lits(v) for v in _word_variants(query.words)]
-    best = lambda t: F.greatest(F.lit(0), *[X.matches(v, t) for v in variants]) if len(variants) > 1 else X.matches(variants[0], t)
-    quality = X.best_quality(lits(qualities), toks) if single else F.lit(0)
-    exact = (F.col("name_norm") == query.norm) | F.col("name_norm").isin(*[" ".join(v) for v in X.place_variants(query.words)])
-    names, parents = best(toks), best(F.col("admin_tokens"))
-    boost = F.when(level <= 8, 2600).otherwise(1700) if not single else F.when(level <= 6, 2600).when(level <= 8, 1700).otherwise(200)
-    score = (10 if query.numbers else 135 if single else 75) + 15 * matched + 25 * names + 8 * parents + 3 * F.greatest(F.lit(0), 14 - level) + _points(exact, boost)
-    if single:
-        by_level = F.when(level == 0, 0).when(level <= 6, 2600).when(level == 7, 1150).when(level == 8, 200).when(level == 9, -900).otherwise(-3200)
-        box = {c: F.col(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")}
-        score = score + 4 * quality + _points(F.size(toks) == 1, 850) + F.least(admin_importance(level, box), F.when(exact, 1000).otherwise(700)) + by_level
-    if known_place:
-        score = score + _points(exact & (level <= 8), 900) + _points((names == len(query.words)) & (level <= 8), 900)
-    if single and (not query.plain or not query.words):
-        return F.when(quality > 0, score)
-    return F.when((quality > 0) & ~F.lit(X.street_like_py(query.words[0])), score) if single else score
+    return S.admin(asked(query, (), qualities, known_place), matched)
 
 
 def _word_variants(words: Sequence[str]) -> list[list[str]]:
@@ -213,22 +177,7 @@ def _word_variants(words: Sequence[str]) -> list[list[str]]:
 
 
 def poi_score(query: Query, matched: Column, alternatives: Sequence[str], qualities: Sequence[str], known_place: bool, focus: tuple[int, int] | None, viewport: tuple[int, int, int, int] | None) -> Column:
-    own, words, single = F.col("own_tokens"), lits(query.words), len(query.tokens) == 1
-    quality = X.best_quality(lits(qualities), own) if single else F.lit(0)
-    variants = _word_variants(query.words)
-    in_admin = F.greatest(F.lit(0), *[X.matches(lits(v), F.col("admin_tokens")) for v in variants]) if len(variants) > 1 else X.matches(words, F.col("admin_tokens"))
-    named = any_of([(F.length(c) >= 3) & X.has_phrase(F.lit(query.norm), F.col(c)) for c in ("name_norm", "brand_norm")])
-    score = (20 if query.numbers else 105) + 15 * matched + 30 * X.matches(words, own) + 12 * in_admin + _points(F.col("label_norm") == query.norm, 55) + _points(named, 1100)
-    score = score + K.text_relevance(F.col("name"), F.col("brand"), F.col("label"), F.col("category"), F.col("tag_value"), words, F.lit(query.norm)) + K.type_score(F.col("tag_key"), F.col("tag_value"), words)
-    if focus:
-        d = G.distance_m(F.lit(focus[0]), F.lit(focus[1]), F.col("lat_e7"), F.col("lon_e7"))
-        score = score + F.greatest(F.lit(0), 180 - F.floor(F.least(F.lit(180.0), d / 250)).cast("int"))
-    if viewport:
-        score = score + _points(G.in_box(F.col("lat_e7"), F.col("lon_e7"), *viewport), 160)
-    score = score + 2 * quality
-    if known_place:
-        score = score + F.when(in_admin > 0, 420).otherwise(-1900)
-    return F.when((quality > 0) | F.arrays_overlap(own, lits(alternatives)), score) if single else score
+    return S.poi(asked(query, alternatives, qualities, known_place), matched, focus, viewport)
 
 
 class Forward:
@@ -318,10 +267,7 @@ class Forward:
             rows = rows.where(F.col("same") | F.col("formed")).where(F.col("in_place") == F.size("place"))
         rows = rows.join(self._nearness(rows.select("idx", "split", "place")), ["idx", "split"], "left")
         full = X.matches(lits(q.words), F.col("name_tokens")) + F.col("in_place")
-        phrase = X.has_phrase(F.lit(q.norm), F.col("name_norm"))
-        placelike = (len(q.words) > F.size("name_tokens")) & F.col("name_is_place")
-        score = 170 + 38 * F.size("street") + 28 * F.col("in_place") + 6 * full + _points(F.col("same"), 30) + F.when(F.col("named"), 240).otherwise(-110)
-        score = score + _points(F.col("near").isNotNull(), 900) + F.coalesce("near", F.lit(0)) + F.col("rarity") + _points(phrase, 220 + 160 * F.size("name_tokens")) - _points(placelike, 360)
+        score = S.street_place(lits(q.words), F.lit(q.norm), F.col("street"), F.col("named"), F.col("rarity"))
         best = rows.select("idx", "split", full.alias("matched"), score.cast("int").alias("score")).groupBy("idx").agg(F.max(F.struct("score", (-F.col("split")).alias("s"), "matched")).alias("b"))
         out = best.select(F.lit(STREET).cast("byte").alias("type"), "idx", F.col("b.matched").alias("matched"), F.col("b.score").alias("score"))
         return out.orderBy(F.desc("score"), "idx").limit(4 * self.limit)
@@ -366,15 +312,9 @@ class Forward:
         docs = self._of(POI).select("idx", "name_norm", "brand_norm", "brand_tokens", "admin_tokens").join(self.data.pois.select("idx", label.alias("label"), X.tokens(F.col("name"), F.col("brand"), F.col("category")).alias("own")), "idx")
         found = []
         for brand, place in parts:
-            phrase, toks = " ".join(brand), lits(brand)
-            rows = docs.where(X.has_all(F.col("own"), toks))
-            variants = [X.matches(lits(v), F.col("admin_tokens")) for v in _word_variants(place)]
-            in_place = F.greatest(F.lit(0), *variants) if len(variants) > 1 else variants[0]
-            field_ = X.has_all(F.col("brand_tokens"), toks)
-            score = 520 + 70 * len(brand) + 180 * in_place + _points(field_, 420) + _points(X.has_phrase(F.col("label"), F.lit(phrase)), 130)
-            score = score + _points((F.col("name_norm") == phrase) | (F.col("brand_norm") == phrase), 1200) - _points(in_place == 0, 260)
-            if len(brand) == 1:
-                score = score - _points(~field_ & (F.size("own") > 3), 220)
+            toks = lits(brand)
+            in_place = S.best_of(F.array(*map(lits, _word_variants(place))), F.col("admin_tokens"))
+            rows, score = docs.where(X.has_all(F.col("own"), toks)), S.brand_place(toks, in_place)
             found.append(rows.select("idx", (len(brand) + in_place).alias("matched"), score.cast("int").alias("score")))
         best = reduce(DataFrame.unionByName, found).groupBy("idx").agg(F.max(F.struct("score", "matched")).alias("b"))
         out = best.select(F.lit(POI).cast("byte").alias("type"), "idx", F.col("b.matched").alias("matched"), F.col("b.score").alias("score"))
@@ -439,7 +379,7 @@ class Forward:
             streets = self._of(STREET).select("type", "idx", "name_tokens")
             aliases = lits([p for ab in X.PLACE_PAIRS for p in ab])
             bad = F.coalesce((len(q.words) > X.matches(lits(q.words), F.col("name_tokens"))) & F.arrays_overlap("name_tokens", aliases), F.lit(False))
-            results = results.join(streets, ["type", "idx"], "left").withColumn("score", F.col("score") - _points(bad, 600)).select(*RESULT)
+            results = results.join(streets, ["type", "idx"], "left").withColumn("score", F.col("score") - S.points(bad, 600)).select(*RESULT)
         return ranked(results, self.limit, self.type)
 
     def labelled(self) -> DataFrame:
