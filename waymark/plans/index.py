@@ -110,6 +110,48 @@ def expansions(vocab: DataFrame, spellings: list[str], substrings: int, fuzzy: i
     return top.where(F.col("rank") <= F.when(F.col("fuzzy"), fuzzy).otherwise(substrings)).select("spelling", "fuzzy", "rank", "token")
 
 
+def _grams(letters: int = 3) -> Column:
+    """The distinct runs of letters of `token`."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - letters + 1, F.lit(1))), lambda i: F.substr(F.col("token"), i, F.lit(letters))))
+
+
+def substring_join(vocab: DataFrame, wanted: DataFrame, most: int | None = None) -> DataFrame:
+    """token (of wanted), found, rank: for every wanted token what substring_expansions gives, all if most is None. A token
+    meets the vocabulary at the rarest three of its letters, and is sought only in words that have these."""
+    index = cut(vocab.where(F.length("token") >= 3).select(F.col("token").alias("found"), F.explode(_grams()).alias("gram")))
+    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = wanted.select("token").distinct().where(F.length("token") >= 3)
+    grams = asked.select("token", F.explode(_grams()).alias("gram")).join(counts, "gram", "left")
+    rarest = grams.groupBy("token").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.max(F.col("n").isNull()).alias("gap")).where("not gap")
+    pairs = rarest.select("token", "gram").join(index, "gram").where(F.contains("found", "token")).select("token", "found")
+    keys = [F.when(F.startswith("found", "token"), 0).otherwise(1), F.abs(F.length("found") - F.length("token")), F.length("found")]
+    return _ranked(pairs, most, *keys)
+
+
+def fuzzy_join(vocab: DataFrame, wanted: DataFrame, most: int | None = None) -> DataFrame:
+    """token (of wanted), found, rank: for every wanted token what fuzzy_expansions gives, all if most is None. Tokens meet words
+    of a fitting length that have three of their letters, as any that shares a seed does; only those are compared."""
+    index = vocab.select(F.col("token").alias("found"), F.length("token").alias("len"), F.explode(_grams()).alias("gram"))
+    n = F.length("token")
+    edits = F.when(n <= 5, 1).otherwise(2)
+    seed = F.greatest(F.lit(3), F.least(F.lit(5), F.floor(n / (edits + 1)).cast("int")))
+    asked = wanted.select("token").distinct().where(n >= 4).withColumns({"edits": edits, "seed": seed})
+    seeds = F.array_distinct(F.transform(F.sequence(F.lit(1), n - F.col("seed") + 1), lambda i: F.substr(F.col("token"), i, F.col("seed"))))
+    asked = asked.withColumn("seeds", seeds)
+    starts = F.array_distinct(F.transform("seeds", lambda s: F.left(s, F.lit(3))))
+    grams = asked.select("*", F.explode(starts).alias("gram")).select("*", F.explode(F.sequence(n - F.col("edits"), n + F.col("edits"))).alias("len"))
+    pairs = grams.join(index, ["gram", "len"]).select("token", "edits", "seeds", "found").distinct()
+    near = pairs.where(F.exists("seeds", lambda s: F.contains(F.col("found"), s)))
+    d = F.when(F.col("edits") == 1, X.edit_distance(F.col("token"), F.col("found"), 1)).otherwise(X.edit_distance(F.col("token"), F.col("found"), 2))
+    near = near.withColumn("d", d).where("d <= edits")
+    return _ranked(near, most, F.col("d"), -X.common_prefix(F.col("found"), F.col("token")), F.length("found"))
+
+
+def _ranked(pairs: DataFrame, most: int | None, *keys: Column) -> DataFrame:
+    rows = pairs.select("token", "found", F.row_number().over(Window.partitionBy("token").orderBy(*keys, "found")).alias("rank"))
+    return rows if most is None else rows.where(F.col("rank") <= most)
+
+
 #: Which houses and streets are indexed.
 _HOUSE, _STREET = "street != '' or house_number != ''", "name != ''"
 
