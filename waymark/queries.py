@@ -443,16 +443,6 @@ def fg4_poi_relevance(spark: SparkSession, sf: str) -> DataFrame:
     return V.pois(spark, sf).select(long("idx"), r.cast("long").alias("relevance"))
 
 
-@query()
-def fg6_street_place(spark: SparkSession, sf: str) -> DataFrame:
-    return FW.Forward(_indexed(spark, sf), "weg africa").street_place("weg africa").select(long("type"), long("idx"), long("matched"), long("score"))
-
-
-@query()
-def fg10_address(spark: SparkSession, sf: str) -> DataFrame:
-    return FW.Forward(_indexed(spark, sf), "Buildingstraße 7 Africa").labelled()
-
-
 @query()
 def fg13_geocode(spark: SparkSession, sf: str) -> DataFrame:
     return FW.Forward(_indexed(spark, sf), "blue bolt").labelled()

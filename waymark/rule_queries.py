@@ -198,17 +198,18 @@ def _every_word(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT token, CASE WHEN length(token) BETWEEN 4 AND 32 THEN array_to_string(list_transform(list_filter(range(1, length(token) + 1), lambda i: substr(token, i, 1) IN ('a', 'o', 'u') AND substr(token, i + 1, 1) <> 'e')[1:4],
 lambda i: left(token, i) || 'e' || substr(token, i + 1)), ' ') ELSE '' END AS variants FROM {_EVERY_WORD}""", views=False)
 def tx9_inserted_e(spark: SparkSession, sf: str) -> DataFrame:
-    return told(_every_word(spark, sf), "token string, variants string", variants=lambda t: " ".join(X.inserted_e(t)))
+    return _every_word(spark, sf).select("token", F.array_join(X.inserted_e_of(F.col("token")), " ").alias("variants"))
 
 
 @query(f"SELECT token, CASE WHEN token IN ('str', 'strasse', 'strasze', 'street') THEN 'str strasse strasze street' ELSE token END AS forms FROM {_EVERY_WORD}", views=False)
 def tx10_street_forms(spark: SparkSession, sf: str) -> DataFrame:
-    return told(_every_word(spark, sf), "token string, forms string", forms=lambda t: " ".join(sorted(X.street_forms(t))))
+    return _every_word(spark, sf).select("token", F.array_join(X.street_forms_of(F.col("token")), " ").alias("forms"))
 
 
 @query(f"SELECT token, token || coalesce(' ' || other, '') AS variants, other IS NOT NULL AS alias FROM {_EVERY_WORD} LEFT JOIN {values([*X.PLACE_PAIRS, *[p[::-1] for p in X.PLACE_PAIRS]])} p(own, other) ON token = own", views=False)
 def tx11_place_variants(spark: SparkSession, sf: str) -> DataFrame:
-    return told(_every_word(spark, sf), "token string, variants string, alias boolean", variants=lambda t: " ".join(v[0] for v in X.place_variants([t])), alias=X.is_place_alias)
+    other = X.other_name(F.col("token"))
+    return _every_word(spark, sf).select("token", F.concat_ws(" ", "token", other).alias("variants"), other.isNotNull().alias("alias"))
 
 
 @query(f"SELECT doc_id, list_has_all(t, ['and', 'the']) AS every, list_has_any(t, ['der', 'la']) AS some FROM (SELECT doc_id, {toks('text')} AS t FROM documents)", views=False)
