@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from osm_fixture import raw
 from waymark.api import GeoEngine, clamp, coordinate
@@ -121,6 +122,14 @@ def test_snapshot_and_geojson(engine, spark, tmp_path):
     assert again.geocode("Rosengarten").rows.first()["label"] == "Rosengarten"
     with pytest.raises(ValueError):
         GeoEngine.load(spark, str(tmp_path / "nothing"))
+    # a second save that fails leaves the first; one of the snapshot itself goes through
+    broken = GeoDataset(engine.data.tables | {"pois": engine.data.pois.withColumn("name", F.raise_error(F.lit("lost")))}, "de")
+    with pytest.raises(Exception, match="lost"):
+        GeoEngine(broken).save(str(tmp_path / "snap"))
+    again = GeoEngine.load(spark, str(tmp_path / "snap"))
+    assert again.data.pois.count() == 4 and again.data.houses.count() == 3
+    GeoEngine(GeoDataset(again.data.tables | {"houses": again.data.houses.limit(1)}, "de")).save(str(tmp_path / "snap"))
+    assert GeoEngine.load(spark, str(tmp_path / "snap")).data.houses.count() == 1
     engine.export_geojson(str(tmp_path / "geo"))
     collection = json.loads(spark.read.text(str(tmp_path / "geo"), wholetext=True).first()[0])
     kinds = [f["geometry"]["type"] for f in collection["features"]]

@@ -710,9 +710,9 @@ def _written(spark: SparkSession, sf: str) -> str:
 @query("SELECT 'houses' AS name, count(*) AS n FROM customer UNION ALL SELECT 'pois', count(*) FROM part UNION ALL SELECT 'admin_areas', 30 UNION ALL SELECT 'admin_rings', 30 UNION ALL SELECT 'streets', count(DISTINCT idx) FROM street_points UNION ALL SELECT 'house_admin', count(*) FROM inside UNION ALL SELECT 'admin_parent', 25")
 def snk1_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the tables that a snapshot holds."""
-    at = _written(spark, sf)
+    saved = snapshot.load_snapshot(spark, _written(spark, sf)).tables
     names = ("houses", "pois", "admin_areas", "admin_rings", "streets", "house_admin", "admin_parent")
-    read = [spark.read.schema(snapshot.BUILT[n]).parquet(f"{at}/{n}").agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in names]
+    read = [saved[n].agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in names]
     return reduce(DataFrame.unionByName, read)
 
 
