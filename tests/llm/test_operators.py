@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -415,6 +416,14 @@ def test_piece_table(monkeypatch):
             assert len(table.names) <= 40
 
 
+def test_other_tokenizers_get_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello big  world", " lead", "tail ", "a\n\nB <|endoftext|> c", "", None, "ÜBER \u00a0 x" * 50]
+    t = tokenizer(path)
+    want = [np.array(t.encode(x or "", add_special_tokens=False).ids + [7], "<u4").tobytes() for x in texts]
+    assert encoder(path, 7)(texts) == want and encoder(path, 7)(pa.array(texts)) == want
+
+
 def test_special_tokens_in_mixed_case(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = tokenizer(path)
@@ -461,6 +470,28 @@ def test_languages(spark, docs, empty):
     assert {r["lang_pred"] for r in identify_languages(docs, nothing).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"text number {i} of its own language {chr(0x4E00 + i)} " * 3, f"l{i:03}", "a", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert len(fit_languages(docs).dictionaries) == 300
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        fit_languages(docs, model_bytes=100_000)
+
+
+@pytest.mark.parametrize("length", [255, 511, 512, 513, 4095, 4096, 4097, 9000])
+def test_one_rule_for_texts_of_any_length(length):
+    """Blocks are sized one by one and added up, below and above what used to be a border."""
+    rng = random.Random(length)
+    model = LanguageModel({g: " ".join(rng.choice(w) for _ in range(900)).encode() for g, w in (("a", ["the", "and", "then", "of"]), ("b", ["der", "und", "dann", "von"]))})
+    names, encoders = model.encoders()
+    text = (" ".join(rng.choice(["the", "und", "then", "von", "x"]) for _ in range(length)))[:length]
+    parts = [text[i : i + model.block].encode() for i in range(0, length, model.block)]
+    sizes = [sum(len(e.compress(model.dictionaries[n][-model.lead :] + b)) for b in parts) for n, e in zip(names, encoders, strict=True)]
+    lang, _, margin = classify(text, names, encoders, model)
+    low, high = sorted(sizes)
+    assert lang == names[sizes.index(low)] and margin == (high - low) / high
+
+
 def test_classify():
     m = LanguageModel({"a": b"the cat sat on the mat and the dog " * 30, "b": b"le chat est sur le tapis et le chien " * 30})
     names, encoders = m.encoders()
@@ -492,7 +523,7 @@ def test_languages_by_definition(spark):
             continue
         raw = text.lower().encode()
         blocks = [raw[i : i + 4096] for i in range(0, len(raw), 4096)]
-        sizes = {g: sum(size(g, b) for b in blocks) if len(raw) >= 512 else size(g, model.dictionaries[g][-256:] + raw) for g in model.dictionaries}
+        sizes = {g: sum(size(g, model.dictionaries[g][-256:] + b) for b in blocks) for g in model.dictionaries}
         best = min(sizes, key=lambda g: (sizes[g], g))
         assert r["lang_pred"] == best
         assert r["score"] == pytest.approx(1 / sum(math.exp(-min(700, (s - sizes[best]) / 4)) for s in sizes.values()))
@@ -502,8 +533,8 @@ def test_languages_by_definition(spark):
 
 def test_languages_learn_from_few_rows(spark):
     rows = [(7, "the very same text", "en")] * 500 + [(8, f"le chat {i}", "fr") for i in range(30)] + [(i, "x y z", f"l{i}") for i in range(100, 140)] + [(1, None, "en"), (2, "t", None), (None, "no id", "en")]
-    model = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_languages=2)
-    assert sorted(model.dictionaries) == ["en", "fr"]
+    model = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(model.dictionaries) == ["en", "fr", *[f"l{i}" for i in range(100, 140)]]
     assert model.dictionaries["en"].count(b"same text") == 1  # repeated rows count as one
 
 

@@ -2,8 +2,9 @@
 
 Every language has a raw-content zstandard dictionary made of its training texts. A text belongs to the language whose
 dictionary encodes it in the fewest bytes. Texts are lower-cased and encoded in blocks, each from the dictionary alone,
-so that a long text doesn't come to teach the encoder its own language. Short texts follow a few words of the dictionary:
-alone they would be stored as they are, in as many bytes for every language.
+so that a long text doesn't come to teach the encoder its own language. Every block, whatever its length and its text's,
+follows the last words of the dictionary: a short one alone would be stored as it is, in as many bytes for every language.
+A text's size is the sum of its blocks' sizes.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ class LanguageModel:
 
     dictionaries: dict[str, bytes]
     block: int = 4096
-    short: int = 512
+    lead: int = 256
     min_margin: float = 0.001
 
     def encoders(self) -> tuple[list[str], list[zstandard.ZstdCompressor]]:
@@ -48,11 +49,8 @@ def classify(text: str | None, names: list[str], encoders: list[zstandard.ZstdCo
     if not text or not any(map(str.isalpha, text)) or not names:
         return UNDETERMINED, 0.0, 0.0
     raw = text.lower().encode("utf-8", "surrogatepass")
-    if len(raw) < model.short:
-        sizes = [len(e.compress(model.dictionaries[n][-256:] + raw)) for n, e in zip(names, encoders, strict=True)]
-    else:
-        blocks = [raw[i : i + model.block] for i in range(0, len(raw), model.block)]
-        sizes = [sum(len(e.compress(b)) for b in blocks) for e in encoders]
+    blocks = [raw[i : i + model.block] for i in range(0, len(raw), model.block)]
+    sizes = [sum(len(e.compress(lead + b)) for b in blocks) for e, lead in ((e, model.dictionaries[n][-model.lead :]) for n, e in zip(names, encoders, strict=True))]
     order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
     best = sizes[order[0]]
     score = 1 / sum(math.exp(-min(700.0, (s - best) / 4)) for s in sizes)
@@ -60,16 +58,20 @@ def classify(text: str | None, names: list[str], encoders: list[zstandard.ZstdCo
     return names[order[0]], score, margin
 
 
-def fit_languages(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 64, dictionary_bytes: int = 49_152, max_languages: int = 256, **options) -> LanguageModel:
+def fit_languages(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 64, dictionary_bytes: int = 49_152, model_bytes: int = 256 << 20, **options) -> LanguageModel:
     """A model from a bounded sample: about docs_per_language texts per language (those with the smallest hash of id and
     text), of each a passage from anywhere in the text, joined to a dictionary of at most dictionary_bytes. Rows without a
-    text or language are passed over; repeated rows count as one. Of more than max_languages languages the most frequent
-    are learned. An empty training table gives a model without languages, which answers `und`. What is collected is bounded
-    by max_languages and docs_per_language, for a row's hash decides whether it is in the sample and a hash comes once."""
+    text or language are passed over; repeated rows count as one. Every language is learned; where the dictionaries of all would
+    be more than model_bytes, so that a worker couldn't hold them, it is an error and none is left out. An empty training
+    table gives a model without languages, which answers `und`. What is collected is bounded by model_bytes, for a row's
+    hash decides whether it is in the sample and a hash comes once."""
+    most = max(1, model_bytes // dictionary_bytes)
     text = F.col(text_col)
     rows = training.where(F.col(lang_col).isNotNull() & text.isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"), text.alias("text"))
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_languages)
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(most + 1)
     counts = {r["lang"]: r["n"] for r in counts.collect()}
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages: their dictionaries would take over {model_bytes} bytes; raise model_bytes or lower dictionary_bytes")
     if not counts:
         return LanguageModel({}, **options)
     # rows under a threshold of the hash that leaves about twice the wanted number: no sort of a language's rows

@@ -91,7 +91,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             counts = [count_huge(x, t, chunk, overlap) if len(x) > chunk else 0 for x in texts]
             for i in range(0, len(short), 64):
                 some = short[i : i + 64]
-                for k, e in zip(some, t.encode_batch([texts[k] for k in some], add_special_tokens=False), strict=True):
+                for k, e in zip(some, t.encode_batch_fast([texts[k] for k in some], add_special_tokens=False), strict=True):
                     counts[k] = len(e)
             sizes = [len(x.encode("utf-8", "surrogatepass")) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])

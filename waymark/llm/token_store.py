@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import struct
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
 import public_tokenizers
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -298,8 +300,38 @@ class PieceTable:
             self.start = np.cumsum(self.n) - self.n
 
 
+def by_piece(path: str) -> bool:
+    """Whether a text's ids are those of its lower-cased pieces between white space, as the tokenizer's own file says: it
+    lower-cases, makes white space single spaces, and keeps of a text only what a pattern finds that can't hold a space."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    steps = lambda x, many: x.get(many, [x]) if x else []
+    norms, first = steps(said.get("normalizer"), "normalizers"), next(iter(steps(said.get("pre_tokenizer"), "pretokenizers")), {})
+    kinds = {n["type"] for n in norms}
+    spaces = any(n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in norms)
+    words = first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and "Regex" in first["pattern"]
+    return bool(kinds <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in kinds and spaces and words and not regex.search(first["pattern"]["Regex"], " "))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, end_id: int | None):
+    """texts (a list or an Arrow array) -> their ids (with end_id), as bytes of little-endian 32-bit integers: by pieces where
+    the tokenizer allows it, else by the library on whole texts."""
+    if by_piece(path):
+        return piece_encoder(path, end_id)
+    t, end = tokenizer(path), np.array([] if end_id is None else [end_id], "<u4").tobytes()
+
+    def whole(texts: list[str | None] | pa.Array) -> list[bytes]:
+        given = [x or "" for x in (texts if isinstance(texts, list) else texts.to_pylist())]
+        out: list[bytes] = []
+        for i in range(0, len(given), 64):
+            out += [np.array(e.ids, "<u4").tobytes() + end for e in t.encode_batch_fast(given[i : i + 64], add_special_tokens=False)]
+        return out
+
+    return whole
+
+
+def piece_encoder(path: str, end_id: int | None):
     """texts (a list or an Arrow array) -> their ids (with end_id), as bytes of little-endian 32-bit integers. The tokenizer
     drops white space, so a text's ids are those of its pieces, and each worker process encodes every distinct piece once
     while it remembers it, from task to task. What it remembers is found for all pieces of many texts at once, not by a step
