@@ -9,6 +9,7 @@ from osm_fixture import raw
 from waymark.api import GeoEngine, clamp, coordinate
 from waymark.operators.forward import QueryError
 from waymark.sources.schema import GeoDataset
+from waymark.sources.snapshot import stored_bytes
 
 
 @pytest.fixture(scope="module")
@@ -117,6 +118,9 @@ def test_viewport(engine):
 
 def test_snapshot_and_geojson(engine, spark, tmp_path):
     engine.save(str(tmp_path / "snap"))
+    held = {r["name"]: (r["files"], r["bytes"]) for r in stored_bytes(spark, str(tmp_path / "snap")).collect()}
+    on_disk = {n: sorted((tmp_path / "snap").glob(f"0*/{n}/*.parquet")) for n in engine.data.tables}
+    assert held == {n: (len(files), sum(f.stat().st_size for f in files)) for n, files in on_disk.items()}
     again = GeoEngine.load(spark, str(tmp_path / "snap"))
     assert again.stats().first().asDict() == engine.stats().first().asDict()
     assert again.geocode("Rosengarten").rows.first()["label"] == "Rosengarten"

@@ -137,6 +137,11 @@ def place_variants_of(toks: Column) -> Column:
     return F.when((F.size(toks) == 1) & other.isNotNull(), F.array(toks, F.array(other))).otherwise(F.array(toks))
 
 
+def equals_place(text: Column, norm: Column, words: Column) -> Column:
+    """Whether a normalized text is a query's own (norm), or what its words are called as a place, in either language."""
+    return (text == norm) | F.array_contains(F.transform(place_variants_of(words), lambda v: F.array_join(v, " ")), text)
+
+
 def word_variants_of(toks: Column) -> Column:
     """The words, and the words with each place name exchanged for its other name."""
     exchanged = F.transform(toks, lambda w, i: F.when(other_name(w).isNotNull(), F.transform(toks, lambda x, j: F.when(i == j, other_name(x)).otherwise(x))))

@@ -150,8 +150,7 @@ def candidates(postings: DataFrame, plan: dict[str, list[str]]) -> DataFrame:
 def asked(query: Query, alternatives: Sequence[str] = (), qualities: Sequence[str] = (), known_place: bool = False) -> S.Asked:
     """One query as literal columns."""
     variants = _word_variants(query.words)
-    places = [" ".join(v) for v in X.place_variants(query.words)]
-    return S.Asked(lits(query.numbers), lits(query.postcodes), lits(query.words), F.lit(len(query.tokens)), F.lit(query.norm), lits(alternatives), lits(qualities), F.array(*map(lits, variants)), lits(places), F.lit(known_place))
+    return S.Asked(lits(query.numbers), lits(query.postcodes), lits(query.words), F.lit(len(query.tokens)), F.lit(query.norm), lits(alternatives), lits(qualities), F.array(*map(lits, variants)), F.lit(known_place))
 
 
 def house_score(query: Query, matched: Column) -> Column:

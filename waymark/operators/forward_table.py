@@ -192,11 +192,10 @@ class ForwardTable:
         none = S.lits([])
         q = self.active.join(single, "query_id", "left").select(
             "query_id", "numbers", "postcodes", "words", F.size("tokens").alias("n_tokens"), "norm", "known", F.coalesce("alternatives", none).alias("alternatives"),
-            F.when(F.size("words") == 1, X.alternatives_of(F.get("words", F.lit(0)))).otherwise(none).alias("qualities"), X.word_variants_of(F.col("words")).alias("variants"),
-            F.transform(X.place_variants_of(F.col("words")), lambda v: F.array_join(v, " ")).alias("places"))
+            F.when(F.size("words") == 1, X.alternatives_of(F.get("words", F.lit(0)))).otherwise(none).alias("qualities"), X.word_variants_of(F.col("words")).alias("variants"))
         q = small(cut(q.select("query_id", F.struct(*[c for c in q.columns if c != "query_id"]).alias("a"))))
         part = lambda c: F.col("a")[c]
-        a = S.Asked(*(part(c) for c in ("numbers", "postcodes", "words", "n_tokens", "norm", "alternatives", "qualities", "variants", "places", "known")))
+        a = S.Asked(*(part(c) for c in ("numbers", "postcodes", "words", "n_tokens", "norm", "alternatives", "qualities", "variants", "known")))
         matched = a.n_tokens
         areas = self.data.admin_areas.select("idx", "admin_level", "min_lat", "max_lat", "min_lon", "max_lon")
         pois = self.data.pois.select("idx", "lat_e7", "lon_e7", "name", "brand", "category", "tag_key", "tag_value", poi_label(F.col("name"), F.col("brand"), F.col("category")).alias("label"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geometry as G
 from waymark.functions import tags as R
 from waymark.operators.graph import cut
-from waymark.operators.spatial import nearest_lines, nearest_points, nearest_shapes, points_in_areas
+from waymark.operators.spatial import nearest_lines, nearest_points, nearest_shapes, points_in_areas, smallest_per_level
 from waymark.sources.schema import GeoDataset
 
 # Distances in metres that decide between results, and rings of cells that are searched.
@@ -97,7 +97,7 @@ def result_areas(points: DataFrame, results: DataFrame, data: GeoDataset) -> Dat
     q = points.select("point_id", G.quantize(F.col("lat")).alias("lat_e7"), G.quantize(F.col("lon")).alias("lon_e7"))
     results = cut(results)
     chain = cut(admin_chain(containing_areas(q, data), data))
-    level = data.admin_areas.select(F.col("idx").alias("area_idx"), "admin_level", "osm_id", "min_lat", "max_lat", "min_lon", "max_lon")
+    level = data.admin_areas.select(F.col("idx").alias("area_idx"), "admin_level")
     of = lambda kind, idx, links: results.where(kind).select("point_id", F.col(idx).alias("idx")).join(links.select("idx", "area_idx"), "idx").select("point_id", "area_idx")
     houses = of("result_type = 'house'", "house_idx", data.house_admin)
     street = F.col("result_type") == "street"
@@ -111,10 +111,8 @@ def result_areas(points: DataFrame, results: DataFrame, data: GeoDataset) -> Dat
     others = results.where(rest | (F.col("result_type") == "admin_area"))
     chained = chain.join(others.select("point_id"), "point_id", "left_semi")
     alone = others.join(in_chain, "point_id", "left_anti")
-    street_own = alone.where(street).select("point_id", F.col("street_idx").alias("idx")).join(data.street_admin.select("idx", "area_idx"), "idx").select("point_id", "area_idx").join(level, "area_idx")
-    score = G.box_score(F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon"))
-    one = Window.partitionBy("point_id", "admin_level").orderBy(score, "osm_id")
-    coherent = street_own.withColumn("rn", F.row_number().over(one)).where("rn = 1").select("point_id", "area_idx")
+    street_own = alone.where(street).select("point_id", F.col("street_idx").alias("idx")).join(data.street_admin.select("idx", "area_idx"), "idx").select("point_id", "area_idx")
+    coherent = smallest_per_level(street_own, "point_id", data.admin_areas)
     bare = alone.join(coherent.select("point_id").distinct(), "point_id", "left_anti").where("admin_idx is not null").select("point_id", F.col("admin_idx").alias("area_idx"))
     parts = [houses, house_part, own, chained, coherent, anchor_chain(bare, data)]
     out = parts[0]

@@ -32,7 +32,7 @@ def best_of(variants: Column, toks: Column) -> Column:
 class Asked:
     """The parts of a query: its numbers, postcodes and other words, its number of tokens and its normalized text; for one token,
     all that stands for it (alternatives); for one word, its spellings (qualities); the words with each place name exchanged
-    (variants), the names of places that they are (places), and whether they name an area (known)."""
+    (variants), and whether they name an area (known)."""
 
     numbers: Column
     postcodes: Column
@@ -42,7 +42,6 @@ class Asked:
     alternatives: Column
     qualities: Column
     variants: Column
-    places: Column
     known: Column
 
     @property
@@ -91,7 +90,7 @@ def admin_importance(level: Column, box: dict[str, Column]) -> Column:
 def admin(a: Asked, matched: Column) -> Column:
     toks, level, n = F.col("name_tokens"), F.col("admin_level").cast("int"), F.size(a.words)
     quality = a.quality(toks)
-    exact = (F.col("name_norm") == a.norm) | F.array_contains(a.places, F.col("name_norm"))
+    exact = X.equals_place(F.col("name_norm"), a.norm, a.words)
     names, parents = best_of(a.variants, toks), best_of(a.variants, F.col("admin_tokens"))
     boost = F.when(a.single, F.when(level <= 6, 2600).when(level <= 8, 1700).otherwise(200)).otherwise(F.when(level <= 8, 2600).otherwise(1700))
     score = F.when(a.numbered, 10).when(a.single, 135).otherwise(75) + 15 * matched + 25 * names + 8 * parents + 3 * F.greatest(F.lit(0), 14 - level) + points(exact, boost)

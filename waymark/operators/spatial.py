@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -246,3 +246,10 @@ def in_viewport(shapes: DataFrame, box: tuple[int, int, int, int], size: int, ex
     first = lambda c, lo: F.greatest(G.cell(F.col(c), size), F.lit(lo // size))
     return out.withColumn("first_lat", first("min_lat", lo_lat)).withColumn("first_lon", first("min_lon", lo_lon))
 
+
+def smallest_per_level(links: DataFrame, key: str, areas: DataFrame) -> DataFrame:
+    """key, area_idx: of the areas that links (key, area_idx) ties to each key, on each level the one with the smallest box; ties
+    go to the smaller osm_id, then idx."""
+    level = areas.select(F.col("idx").alias("area_idx"), "admin_level", "osm_id", G.box_score(F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon")).alias("_size"))
+    first = Window.partitionBy(key, "admin_level").orderBy("_size", "osm_id", "area_idx")
+    return links.join(level, "area_idx").withColumn("_n", F.row_number().over(first)).where("_n = 1").select(key, "area_idx")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geometry as G
 from waymark.functions import tags as R
 from waymark.operators.graph import cut
-from waymark.operators.spatial import points_in_areas
+from waymark.operators.spatial import points_in_areas, smallest_per_level
 from waymark.operators.streets import connect_streets, relation_rings
 from waymark.sources.schema import NODE, RELATION, WAY, GeoDataset, numbered, with_box
 
@@ -138,10 +138,8 @@ def attribute(data: GeoDataset) -> GeoDataset:
 
     vertices = data.streets.select("idx", F.explode("geometry").alias("p")).select("idx", "p.lat_e7", "p.lon_e7")
     inner = cut(areas.select("idx", "admin_level", G.admin_interior_point(F.col("outer")).alias("p"))).select("idx", "admin_level", "p.lat_e7", "p.lon_e7")
-    up = links(inner).join(inner.select("idx", F.col("admin_level").alias("own")), "idx").join(areas.select(F.col("idx").alias("area_idx"), "admin_level", "osm_id", "min_lat", "max_lat", "min_lon", "max_lon"), "area_idx").where("admin_level < own")
-    score = G.box_score(F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon"))
-    one = Window.partitionBy("idx", "admin_level").orderBy(score, "osm_id", "area_idx")
-    parents = up.withColumn("rn", F.row_number().over(one)).where("rn = 1").select("idx", "area_idx")
+    up = links(inner).join(inner.select("idx", F.col("admin_level").alias("own")), "idx").join(areas.select(F.col("idx").alias("area_idx"), "admin_level"), "area_idx").where("admin_level < own")
+    parents = smallest_per_level(up.select("idx", "area_idx"), "idx", areas)
     tables = {
         "house_admin": _ordered_links(links(data.houses), areas),
         "street_admin": _ordered_links(links(vertices), areas),

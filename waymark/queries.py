@@ -19,7 +19,7 @@ from waymark.operators import natural as N
 from waymark.operators import viewport as VP
 from waymark.operators.graph import cut
 from waymark.operators.reverse import admin_chain, choose, containing_areas, nearest_admin, reverse_geocode
-from waymark.operators.spatial import in_viewport, nearest_lines, nearest_points, points_in_areas
+from waymark.operators.spatial import in_viewport, nearest_lines, nearest_points, points_in_areas, smallest_per_level
 from waymark.operators.streets import connect_streets, street_components
 from waymark.plans import build as B
 from waymark.plans import index as IX
@@ -414,12 +414,11 @@ def fg1_house_score(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select(long("idx"), FW.house_score(q, F.lit(3)).cast("long").alias("score")).where("score is not null")
 
 
-@query(f"""SELECT idx, (95 + 30 + 25*len(list_intersect(t, ['weg', 'africa'])) + 10*coalesce(len(list_intersect(w, ['weg', 'africa'])), 0) - CASE WHEN 2 > len(t) AND t = ['weg'] AND false THEN 420 ELSE 0 END)::BIGINT AS score
-FROM (SELECT idx, {toks('name')} AS t FROM streets WHERE name <> '') s LEFT JOIN (SELECT s2.idx AS sid, list_distinct(flatten(list({toks('a.name')}))) AS w FROM (SELECT DISTINCT s.idx, a.idx AS area FROM street_points s JOIN areas a ON s.lat BETWEEN lat0 AND lat0 + h AND s.lon BETWEEN lon0 AND lon0 + w AND (level = 4 OR (s.lat - lat0) + (s.lon - lon0) <= 1600000)) s2 JOIN areas a ON a.idx = s2.area GROUP BY s2.idx) x ON sid = idx
-WHERE NOT EXISTS (SELECT 1 FROM areas a WHERE list_has_any({toks('a.name')}, t))""")
+@query(f"""SELECT idx, (95 + 30 + 25*len(list_intersect(t, ['weg', 'africa'])) + 10*coalesce(len(list_intersect(w, ['weg', 'africa'])), 0) - CASE WHEN 2 > len(list_intersect(t, ['weg', 'africa'])) AND EXISTS (SELECT 1 FROM areas a WHERE list_has_any({toks('a.name')}, t)) THEN 420 ELSE 0 END)::BIGINT AS score
+FROM (SELECT idx, {toks('name')} AS t FROM streets WHERE name <> '') s LEFT JOIN (SELECT s2.idx AS sid, list_distinct(flatten(list({toks('a.name')}))) AS w FROM (SELECT DISTINCT s.idx, a.idx AS area FROM street_points s JOIN areas a ON s.lat BETWEEN lat0 AND lat0 + h AND s.lon BETWEEN lon0 AND lon0 + w AND (level = 4 OR (s.lat - lat0) + (s.lon - lon0) <= 1600000)) s2 JOIN areas a ON a.idx = s2.area GROUP BY s2.idx) x ON sid = idx""")
 def fg2_street_score(spark: SparkSession, sf: str) -> DataFrame:
     d = _indexed(spark, sf)
-    docs = d.search_docs.where("type = 2 and not has_place_token")
+    docs = d.search_docs.where("type = 2")
     return docs.select(long("idx"), FW.street_score(FW.Query("weg africa"), F.lit(2), [], []).cast("long").alias("score"))
 
 
@@ -527,12 +526,10 @@ def so4_skip_known(spark: SparkSession, sf: str) -> DataFrame:
     return FW.merge(_scored(spark, sf, 1), _scored(spark, sf, 0)).select(*map(long, ("type", "idx", "matched", "score")))
 
 
-@query("SELECT level::BIGINT AS level, count(*) AS n FROM (SELECT DISTINCT point_id, level FROM inside) GROUP BY level")
+@query("SELECT point_id, area_idx FROM inside JOIN areas ON areas.idx = area_idx QUALIFY row_number() OVER (PARTITION BY point_id, areas.level ORDER BY h::DOUBLE * w, area_idx) = 1")
 def ag7_best_per_level(spark: SparkSession, sf: str) -> DataFrame:
     d = V.dataset(spark, sf)
-    hits = points_in_areas(V.points(spark, sf), d.admin_areas, d.admin_rings).join(d.admin_areas.select(F.col("idx").alias("area_idx"), "admin_level"), "area_idx")
-    one = hits.withColumn("rn", F.row_number().over(Window.partitionBy("point_id", "admin_level").orderBy("area_idx"))).where("rn = 1")
-    return one.groupBy(F.col("admin_level").cast("long").alias("level")).agg(F.count("*").alias("n"))
+    return smallest_per_level(points_in_areas(V.points(spark, sf), d.admin_areas, d.admin_rings), "point_id", d.admin_areas).select("point_id", long("area_idx"))
 
 
 @query("SELECT count(DISTINCT (floor(lat/200000.0), floor(lon/200000.0))) AS cells FROM points")

@@ -212,6 +212,20 @@ def tx11_place_variants(spark: SparkSession, sf: str) -> DataFrame:
     return _every_word(spark, sf).select("token", F.concat_ws(" ", "token", other).alias("variants"), other.isNotNull().alias("alias"))
 
 
+_PLACE_AT = f"{listed(X.PLACE_NAMES)}[length(token) % {len(X.PLACE_NAMES)} + 1]"
+
+
+@query(f"SELECT token, asked, token = asked OR coalesce(token = other, false) AS same FROM (SELECT token, CASE WHEN token IN (SELECT unnest({listed(X.PLACE_NAMES)})) THEN token ELSE {_PLACE_AT} END AS asked FROM {_EVERY_WORD}) LEFT JOIN {values([*X.PLACE_PAIRS, *[p[::-1] for p in X.PLACE_PAIRS]])} p(own, other) ON asked = own UNION ALL SELECT other, own, true FROM {values([*X.PLACE_PAIRS, *[p[::-1] for p in X.PLACE_PAIRS]])} p(own, other)", views=False)
+def tx18_equals_place(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word against a place name; and every place name against its other name."""
+    token = F.col("token")
+    at = F.when(token.isin(*X.PLACE_NAMES), token).otherwise(F.element_at(F.array(*map(F.lit, X.PLACE_NAMES)), F.length(token) % len(X.PLACE_NAMES) + 1))
+    rows = _every_word(spark, sf).select("token", at.alias("asked"))
+    names = rows.where(token.isin(*X.PLACE_NAMES)).select(X.other_name(token).alias("token"), token.alias("asked"))
+    rows = rows.unionByName(names)
+    return rows.select("token", "asked", X.equals_place(token, F.col("asked"), F.array("asked")).alias("same"))
+
+
 @query(f"SELECT doc_id, list_has_all(t, ['and', 'the']) AS every, list_has_any(t, ['der', 'la']) AS some FROM (SELECT doc_id, {toks('text')} AS t FROM documents)", views=False)
 def tx16_contains(spark: SparkSession, sf: str) -> DataFrame:
     t = X.tokens(F.col("text"))

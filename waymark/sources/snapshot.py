@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.sources.schema import BUILT, GeoDataset
@@ -60,3 +60,13 @@ def load_snapshot(spark: SparkSession, path: str) -> GeoDataset:
 def sizes(data: GeoDataset) -> dict[str, int]:
     """Rows of each table."""
     return {n: df.agg(F.count("*")).first()[0] for n, df in data.tables.items()}
+
+
+def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """name, files, bytes of the tables of the newest save. The listing tells; no file is read."""
+    mark = next(iter(_marks(spark, path)), None)
+    if mark is None:
+        raise ValueError(f"no snapshot at {path}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{path}/{mark['folder']}").select("path", "length")
+    name = F.element_at(F.split("path", "/"), -2)
+    return files.groupBy(name.alias("name")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
