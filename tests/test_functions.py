@@ -1,5 +1,6 @@
 """Functions against plain Python."""
 
+import math
 import random
 import threading
 
@@ -17,6 +18,7 @@ from waymark.operators.graph import connected_components
 from waymark.operators.spatial import nearest_points, points_in_areas
 from waymark.operators.streets import assemble_rings, chains
 from waymark.operators.viewport import even_sample
+from waymark.plans.build import place_inner_rings
 from waymark.plans.index import expansions, fuzzy_expansions, substring_expansions
 from waymark.sources.pbf import decode, fields, packed
 from waymark.sources.schema import with_box
@@ -85,6 +87,67 @@ def test_points_in_polygons_with_holes(spark):
     assert got == {i for i, y, x in pts if odd(y, x, outer) and not odd(y, x, hole)}
 
 
+def _ring_rows(spark, rings):
+    return spark.createDataFrame([(a, n, r, [{"lat_e7": int(p), "lon_e7": int(q)} for p, q in g]) for a, n, r, g in rings], f"area_idx int, ring_no int, role int, geometry {LINE}")
+
+
+def _wavy(lat, lon, radius, n, waves):
+    turn = [2 * math.pi * i / n for i in range(n)]
+    ring = [(lat + radius * (0.8 + 0.2 * math.sin(waves * t)) * math.sin(t), lon + radius * (0.8 + 0.2 * math.sin(waves * t)) * math.cos(t)) for t in turn]
+    return [(round(a), round(b)) for a, b in ring + ring[:1]]
+
+
+def test_cover_settles_most_points_and_agrees_with_edges(spark, monkeypatch):
+    random.seed(5)
+    stairs = [(480000000 + 5_000 * ((i + 1) // 2), 95000000 + 7_000 * (i // 2)) for i in range(400)]
+    stairs += [(480000000, stairs[-1][1]), stairs[0]]
+    rings = [(0, 0, 0, _wavy(480000000, 90000000, 4_000_000, 4000, 7)), (0, 1, 1, _wavy(480100000, 90200000, 900_000, 600, 3)), (1, 0, 0, stairs)]
+    rings += [(2, 0, 0, [(479000000, 89000000), (479000000, 91000000), (481000000, 91000000), (481000000, 89000000), (479000000, 89000000)])]
+    rings += [(3, 0, 0, [(a + 3_000_000, b) for a, b in rings[0][3][:-1]])]  # not closed: no cover
+    rings += [(4, 0, 0, [(480000000 + i % 2, 90000000 + i) for i in range(300)] + [(480000030, 90000150), (480000000, 90000000)])]  # cells of some units
+    df = _ring_rows(spark, rings)
+    areas = with_box(df.where("role = 0").select(F.col("area_idx").alias("idx"), "geometry"))
+    pts = [(random.randint(475500000, 488000000), random.randint(85500000, 97000000)) for _ in range(20_000)]
+    pts += [p for _, _, _, g in rings for p in g[::5]] + [(a + random.randint(-2, 2), b + random.randint(-2, 2)) for _, _, _, g in rings for a, b in g[::7]]
+    pts += [(480000000 + y, 90000000 + x) for y in range(-1, 32) for x in range(-2, 303, 3)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "point_id int, lat_e7 int, lon_e7 int")
+    answer = lambda: {tuple(r) for r in points_in_areas(points, areas, df).collect()}
+    found = answer()
+    near = points.limit(20_000).join(areas.where("idx = 0").withColumnRenamed("idx", "area_idx"), G.in_box(F.col("lat_e7"), F.col("lon_e7"), F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon")))
+    sure = dict(tuple(r) for r in spatial.covered(near, spatial.cell_cover(areas, df)).groupBy(F.col("sure").isNotNull()).count().collect())
+    assert sure[False] <= 0.15 * sure[True]
+    assert {r["area_idx"] for r in spatial.cell_cover(areas, df).select("area_idx").distinct().collect()} == {0, 1, 4}
+    monkeypatch.setattr(spatial, "COVERED", 1 << 60)
+    assert spatial.cell_cover(areas, df).count() == 0
+    assert found == answer() and {a for _, a in found} == {0, 1, 2, 3, 4}
+    assert points_in_areas(points.limit(0), areas, df).count() == points_in_areas(points, areas.limit(0), df.limit(0)).count() == 0
+
+
+def test_inner_rings_of_a_large_relation(spark):
+    """5,000 inner rings and 500 outer ones in one relation, each outer one of a lattice with a smaller one inside, and one around all."""
+    square = lambda a, b, n: [(a, b), (a, b + n), (a + n, b + n), (a + n, b), (a, b)]
+    at = [(450000000 + 100_000 * (i // 25), 80000000 + 100_000 * (i % 25)) for i in range(250)]
+    outer = [square(a, b, 90_000) for a, b in at] + [square(a + 20_000, b + 20_000, 40_000) for a, b in at[:249]] + [square(-900000000, -1800000000, 1_790_000_000)]
+    random.seed(6)
+    holes = [square(random.randint(449950000, 451050000), random.randint(79950000, 82550000), 10) for _ in range(4_990)]
+    holes += [square(a - 10, b - 10, 10) for a, b in at[:5]] + [square(440000000, 1700000000, 10), [], [(0, 0)], square(0, 0, 7), square(a := at[0][0] + 90_000 - 10, at[0][1] + 5, 10)]
+    rows = [(7, 0, i, g) for i, g in enumerate(outer)] + [(7, 1, i, g) for i, g in enumerate(holes)] + [(8, 0, 0, square(450000000, 80000000, 5_000_000)), (9, 1, 0, holes[0])]
+    rings = spark.createDataFrame([(k, r, n, [{"lat_e7": p, "lon_e7": q} for p, q in g]) for k, r, n, g in rows], f"relation_id long, role int, ring_no int, geometry {LINE}")
+
+    def home(g):
+        if not g:
+            return None
+        y, x = g[len(g) // 2]
+        boxes = [(o[2][0] - o[0][0], i) for i, o in enumerate(outer) if o[0][0] <= y <= o[2][0] and o[0][1] <= x <= o[2][1]]
+        return min(boxes)[1] if boxes else None
+
+    placed = place_inner_rings(rings)
+    assert "NestedLoop" not in placed._jdf.queryExecution().toString() and "Cartesian" not in placed._jdf.queryExecution().toString()
+    got = {(r["relation_id"], r["ring_no"]): r["area"] for r in placed.where("role = 1").collect()}
+    assert got == {(7, i + 1): h for i, g in enumerate(holes) if (h := home(g)) is not None}
+    assert placed.where("role = 0").count() == 501
+
+
 def test_nearest_points(spark):
     random.seed(4)
     houses = [(i, random.randint(400000000, 500000000), random.randint(50000000, 150000000)) for i in range(300)]

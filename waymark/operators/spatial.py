@@ -19,6 +19,8 @@ from waymark.sources.schema import numbered
 
 #: Places and segments that are held at once by a task of nearest_lines; classes of directions that segments are dealt by.
 PLACES, SEGMENTS, DIRECTIONS = 400_000, 600_000, 256
+#: Cells of a cover on each side (the bits of a long), and edges of a ring from which its area has one.
+COVER, COVERED = 64, 256
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:
@@ -32,23 +34,104 @@ def ring_edges(rings: DataFrame) -> DataFrame:
     return e.withColumn("band", F.explode(F.sequence(G.cell(lo, G.EDGE_BAND), G.cell(hi, G.EDGE_BAND))))
 
 
+def _in_rings(near: DataFrame, edges: DataFrame) -> DataFrame:
+    """near: point_id, lat_e7, lon_e7, area_idx; edges as of ring_edges -> point_id, area_idx of the points in an outer ring and in
+    no inner ring of the area. Edges of the point's latitude band only; the parity of crossings is an aggregate, so a
+    polygon is never held as one value beside a point."""
+    edge = near.withColumn("band", G.cell(F.col("lat_e7"), G.EDGE_BAND)).join(edges, ["area_idx", "band"])
+    at = [F.col(c) for c in ("lat_e7", "lon_e7", "a_lat", "a_lon", "b_lat", "b_lon")]
+    by_ring = edge.groupBy("point_id", "lat_e7", "lon_e7", "area_idx", "ring_no", "role").agg(F.bool_or(G.on_edge(*at)).alias("edge"), F.sum(G.crosses(*at).cast("int")).alias("crossings"))
+    by_ring = by_ring.withColumn("inside", F.col("edge") | (F.col("crossings") % 2 == 1))
+    by_area = by_ring.groupBy("point_id", "area_idx").agg(F.bool_or((F.col("role") == 0) & F.col("inside")).alias("outer"), F.bool_or((F.col("role") == 1) & F.col("inside")).alias("inner"))
+    return by_area.where("`outer` and not `inner`").select("point_id", "area_idx")
+
+
+def _side(lo: str, hi: str) -> Column:
+    """Height or width of the cells of a cover over a box."""
+    return F.ceil((F.col(hi).cast("long") - F.col(lo) + 1) / COVER).cast("long")
+
+
+def cell_cover(areas: DataFrame, rings: DataFrame) -> DataFrame:
+    """areas: idx and box; rings: area_idx, ring_no, role, geometry -> area_idx, row, full, partial: COVER rows of COVER cells over the
+    box of each area that has a ring of COVERED edges or more, its columns as bits. A cell that an edge comes near is partial; of the
+    others those whose middle is in an outer ring and in no inner ring are full, and so is every point in them. Areas
+    with a ring that isn't closed have no cover. At most COVER rows an area, fewer than its edges."""
+    closed = F.col("geometry")[0] == F.element_at("geometry", -1)
+    sizes = rings.where(F.size("geometry") >= 4).groupBy("area_idx").agg(F.max(F.size("geometry") - 1).alias("edges"), F.bool_and(closed).alias("closed"))
+    boxes = areas.select(F.col("idx").alias("area_idx"), F.col("min_lat").cast("long").alias("lat0"), F.col("min_lon").cast("long").alias("lon0"), _side("min_lat", "max_lat").alias("h"), _side("min_lon", "max_lon").alias("w"))
+    large = sizes.where((F.col("edges") >= COVERED) & F.col("closed")).join(boxes, "area_idx")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("geometry") - 1), lambda i: F.struct(F.get("geometry", i - 1).alias("a"), F.get("geometry", i).alias("b")))
+    e = rings.where(F.size("geometry") >= 4).join(large, "area_idx").select("area_idx", "ring_no", "role", "lat0", "lon0", "h", "w", F.explode(pairs).alias("e"))
+    e = e.select("area_idx", "ring_no", "role", "lat0", "lon0", "h", "w", *[F.col(f"e.{p}.{c}_e7").cast("long").alias(f"{p}_{c}") for p in "ab" for c in ("lat", "lon")])
+    low, high = F.least("a_lat", "b_lat"), F.greatest("a_lat", "b_lat")
+    # two units around an edge are more than on_edge allows and than doubles lose
+    row = lambda c: F.floor((c - F.col("lat0")) / F.col("h"))
+    e = e.withColumn("r0", F.greatest(F.lit(0), row(low - 2))).withColumn("r1", F.least(F.lit(COVER - 1), row(high + 2))).where("r0 <= r1")
+    e = e.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("from", F.col("lat0") + F.col("row") * F.col("h"))
+    # the part of the edge in the row, as longitudes
+    slope = (F.col("b_lon") - F.col("a_lon")) / F.nullif(F.col("b_lat") - F.col("a_lat"), F.lit(0))
+    lon_at = lambda lat: F.col("a_lon") + (F.greatest(low, F.least(high, lat)) - F.col("a_lat")) * slope
+    ends = lon_at(F.col("from") - 2), lon_at(F.col("from") + F.col("h") + 2)
+    west, east = F.coalesce(F.least(*ends), F.least("a_lon", "b_lon")), F.coalesce(F.greatest(*ends), F.greatest("a_lon", "b_lon"))
+    column = lambda lon: F.floor((lon - F.col("lon0")) / F.col("w"))
+    upto = lambda c: F.when(F.col(c) < 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned(-1L, cast({COVER - 1} - least({COVER - 1}, {c}) as int))"))
+    e = e.withColumn("c0", column(west - 2) - 1).withColumn("c1", column(east + 2))
+    # cells whose middle has the crossing of the row's middle to its east
+    middle = F.col("from") + F.floor(F.col("h") / 2)
+    crosses = (F.col("a_lat") > middle) != (F.col("b_lat") > middle)
+    e = e.withColumn("k", F.when(crosses, F.floor((F.col("a_lon") + (middle - F.col("a_lat")) * slope - F.col("lon0") - F.floor(F.col("w") / 2)) / F.col("w"))).otherwise(-1))
+    by_ring = e.groupBy("area_idx", "row", "ring_no", "role").agg(F.bit_or(upto("c1").bitwiseAND(F.bitwise_not(upto("c0")))).alias("partial"), F.bit_xor(upto("k")).alias("inside"))
+    of = lambda role: F.bit_or(F.when(F.col("role") == role, F.col("inside")).otherwise(F.lit(0).cast("long")))
+    by_row = by_ring.groupBy("area_idx", "row").agg(F.bit_or("partial").alias("partial"), of(0).alias("outer"), of(1).alias("inner"))
+    full = F.col("outer").bitwiseAND(F.bitwise_not(F.col("inner").bitwiseOR(F.col("partial"))))
+    return by_row.select("area_idx", F.col("row").cast("int").alias("row"), full.alias("full"), "partial")
+
+
+def covered(near: DataFrame, cover: DataFrame) -> DataFrame:
+    """near: point_id, lat_e7, lon_e7, area_idx and the area's box; cover as of cell_cover -> near with `sure`: whether the point is in the area,
+    null if only edges can tell."""
+    row = F.floor((F.col("lat_e7") - F.col("min_lat").cast("long")) / _side("min_lat", "max_lat")).cast("int")
+    bit = F.floor((F.col("lon_e7") - F.col("min_lon").cast("long")) / _side("min_lon", "max_lon")).cast("int")
+    has = lambda mask: F.expr(f"shiftright({mask}, _bit) & 1L") == 1
+    known = near.withColumn("row", row).withColumn("_bit", bit).join(cover, ["area_idx", "row"], "left")
+    return known.withColumn("sure", F.when(F.col("partial").isNotNull() & ~has("partial"), has("full"))).drop("row", "_bit", "full", "partial")
+
+
 def points_in_areas(points: DataFrame, areas: DataFrame, rings: DataFrame) -> DataFrame:
     """points: point_id, lat_e7, lon_e7 (distinct rows); areas: idx and box; rings: their rings -> point_id, area_idx for each point in an
     outer ring and in no inner ring of an area. Boundaries count as inside.
 
-    Equi-join on 0.25 degree cells, box, then edges of the point's latitude band; the parity of crossings is an
-    aggregate, so a large polygon is never held as one value beside every point."""
+    Equi-join on 0.25 degree cells, box, then the cover of the area, which settles all points but those near its outline;
+    these, and those of areas of few edges, meet the edges of their latitude band."""
     boxes = areas.select(F.col("idx").alias("area_idx"), "min_lat", "max_lat", "min_lon", "max_lon", F.explode(G.cells_of_box(F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon"), G.ADMIN_CELL)).alias("c"))
     boxes = boxes.select("*", "c.lat_cell", "c.lon_cell").drop("c")
     p = points.select("point_id", "lat_e7", "lon_e7", G.cell(F.col("lat_e7"), G.ADMIN_CELL).alias("lat_cell"), G.cell(F.col("lon_e7"), G.ADMIN_CELL).alias("lon_cell"))
     near = p.join(boxes, ["lat_cell", "lon_cell"]).where(G.in_box(F.col("lat_e7"), F.col("lon_e7"), F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon")))
-    near = near.select("point_id", "lat_e7", "lon_e7", "area_idx", G.cell(F.col("lat_e7"), G.EDGE_BAND).alias("band"))
-    edge = near.join(ring_edges(rings), ["area_idx", "band"])
-    at = [F.col(c) for c in ("lat_e7", "lon_e7", "a_lat", "a_lon", "b_lat", "b_lon")]
-    by_ring = edge.groupBy("point_id", "lat_e7", "lon_e7", "area_idx", "ring_no", "role").agg(F.bool_or(G.on_edge(*at)).alias("edge"), F.sum(G.crosses(*at).cast("int")).alias("crossings"))
-    by_ring = by_ring.withColumn("inside", F.col("edge") | (F.col("crossings") % 2 == 1))
-    by_area = by_ring.groupBy("point_id", "area_idx").agg(F.bool_or((F.col("role") == 0) & F.col("inside")).alias("outer"), F.bool_or((F.col("role") == 1) & F.col("inside")).alias("inner"))
-    return by_area.where("`outer` and not `inner`").select("point_id", "area_idx")
+    if not rings.where(F.size("geometry") > COVERED).limit(1).count():
+        return _in_rings(near.select("point_id", "lat_e7", "lon_e7", "area_idx"), ring_edges(rings))
+    told = covered(near, cell_cover(areas, rings)).select("point_id", "lat_e7", "lon_e7", "area_idx", "sure")
+    return told.where("sure").select("point_id", "area_idx").unionByName(_in_rings(told.where("sure is null").drop("sure"), ring_edges(rings)))
+
+
+def points_in_rings(points: DataFrame, rings: DataFrame, by: str) -> DataFrame:
+    """points: `by`, point_id, lat_e7, lon_e7; rings: `by`, area, geometry, one row per `by` and area -> `by`, point_id, area of each
+    point in a ring of the same `by`, boundaries included.
+
+    A ring's box takes up to four cells of a grid as coarse as itself, and a point one cell of each grid, so both meet by an
+    equi-join however many of them share `by`; what the boxes leave meets edges, never whole rings."""
+    box = G.bbox(F.col("geometry"))
+    side = F.greatest(*[box[f"max_{c}"].cast("long") - box[f"min_{c}"] + 1 for c in ("lat", "lon")])
+    grid = F.greatest(F.lit(0), F.ceil(F.log2(side) / 2)).cast("int")  # cells of 4 ** grid units
+    of = lambda c, g: F.floor(c / F.pow(F.lit(4.0), g)).cast("int")
+    key = F.struct(by, "area")
+    boxes = rings.where(F.size("geometry") >= 4).select(by, key.alias("area_idx"), grid.alias("grid"), *[box[c].alias(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")])
+    for c in ("lat", "lon"):
+        boxes = boxes.withColumn(f"{c}_cell", F.explode(F.sequence(of(F.col(f"min_{c}"), F.col("grid")), of(F.col(f"max_{c}"), F.col("grid")))))
+    p = points.where("lat_e7 is not null and lon_e7 is not null").select(by, F.struct(by, "point_id").alias("point_id"), "lat_e7", "lon_e7", F.explode(F.sequence(F.lit(0), F.lit(16))).alias("grid"))
+    p = p.withColumns({f"{c}_cell": of(F.col(f"{c}_e7"), F.col("grid")) for c in ("lat", "lon")})
+    near = p.join(boxes, [by, "grid", "lat_cell", "lon_cell"]).where(G.in_box(F.col("lat_e7"), F.col("lon_e7"), F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon")))
+    edges = ring_edges(rings.select(key.alias("area_idx"), F.lit(0).alias("ring_no"), F.lit(0).alias("role"), "geometry"))
+    return _in_rings(near.select("point_id", "lat_e7", "lon_e7", "area_idx"), edges).select(F.col(f"area_idx.{by}").alias(by), F.col("point_id.point_id").alias("point_id"), F.col("area_idx.area").alias("area"))
 
 
 def fitted_cell(points: DataFrame, size: int, fill: int = 3) -> tuple[int, int]:

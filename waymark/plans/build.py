@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geometry as G
 from waymark.functions import tags as R
 from waymark.operators.graph import cut
-from waymark.operators.spatial import points_in_areas, smallest_per_level
+from waymark.operators.spatial import points_in_areas, points_in_rings, smallest_per_level
 from waymark.operators.streets import connect_streets, relation_rings
 from waymark.sources.schema import NODE, RELATION, WAY, GeoDataset, numbered, with_box
 
@@ -49,14 +49,15 @@ def member_lines(relations: DataFrame, lines: DataFrame) -> DataFrame:
 def place_inner_rings(rings: DataFrame) -> DataFrame:
     """rings: relation_id, role, ring_no, geometry -> area (an outer ring), ring_no, role, geometry: each inner ring goes
     to the smallest outer ring of its relation that holds its middle vertex; inner rings in none are dropped."""
-    outer = rings.where("role = 0").select("relation_id", F.col("ring_no").alias("area"), F.col("geometry").alias("og"))
-    box = G.bbox(F.col("og"))
-    score = G.box_score(*[box[c] for c in ("min_lat", "max_lat", "min_lon", "max_lon")])
+    outer = rings.where("role = 0").select("relation_id", F.col("ring_no").alias("area"), "geometry")
     probe = G.middle_vertex(F.col("geometry"))
-    inner = rings.where("role = 1").join(outer, "relation_id").where(G.in_ring(probe["lat_e7"], probe["lon_e7"], F.col("og")))
-    best = Window.partitionBy("relation_id", "ring_no").orderBy(score, "area")
-    inner = inner.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("relation_id", "area", (F.col("ring_no") + 1).alias("ring_no"), F.lit(1).alias("role"), "geometry")
-    return outer.select("relation_id", "area", F.lit(0).alias("ring_no"), F.lit(0).alias("role"), F.col("og").alias("geometry")).unionByName(inner)
+    inner = rings.where("role = 1").select("relation_id", F.col("ring_no").alias("point_id"), probe["lat_e7"].alias("lat_e7"), probe["lon_e7"].alias("lon_e7"))
+    box = G.bbox(F.col("geometry"))
+    score = G.box_score(*[box[c] for c in ("min_lat", "max_lat", "min_lon", "max_lon")])
+    found = points_in_rings(inner, outer, "relation_id").join(outer.select("relation_id", "area", score.alias("score")), ["relation_id", "area"])
+    best = found.groupBy("relation_id", F.col("point_id").alias("ring_no")).agg(F.min(F.struct("score", "area"))["area"].alias("area"))
+    holes = rings.where("role = 1").join(best, ["relation_id", "ring_no"]).select("relation_id", "area", (F.col("ring_no") + 1).alias("ring_no"), F.lit(1).alias("role"), "geometry")
+    return outer.select("relation_id", "area", F.lit(0).alias("ring_no"), F.lit(0).alias("role"), "geometry").unionByName(holes)
 
 
 def _address(tags: Column) -> list[Column]:

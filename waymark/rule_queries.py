@@ -14,11 +14,12 @@ from waymark.functions import rules as K
 from waymark.functions import tags as R
 from waymark.functions import text as X
 from waymark.operators import forward as FW
+from waymark.operators.spatial import points_in_areas
 from waymark.operators.streets import relation_rings
 from waymark.plans import build as B
 from waymark.plans import views as V
 from waymark.queries import _WORDS, _indexed, _relevance, _vocabulary, long, norm, query, toks
-from waymark.sources.schema import type_number
+from waymark.sources.schema import type_number, with_box
 
 
 def quoted(x: object) -> str:
@@ -155,6 +156,19 @@ def _box(lat: Column, lon: Column, height: Column, width: Column) -> Column:
     return F.array(*[F.struct(a.cast("int").alias("lat_e7"), b.cast("int").alias("lon_e7")) for a, b in corners])
 
 
+@query("SELECT point_id, n_nationkey::BIGINT AS area_idx FROM points JOIN nation ON lat BETWEEN 470000000 + n_nationkey // 5 * 1600000 AND 470000000 + (n_nationkey // 5 + 1) * 1600000 - 4000 * greatest(0, ceil((lon - 90000000 - n_nationkey % 5 * 1600000) / 4000) - 1) AND lon BETWEEN 90000000 + n_nationkey % 5 * 1600000 AND 90000000 + (n_nationkey % 5 + 1) * 1600000")
+def jn5_detailed_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """An area of 802 edges for each cell of the grid: below a stair of 400 steps. All points; most are settled by its cover."""
+    steps, k = 400, F.col("n_nationkey")
+    lat, lon, step = V.LAT0 + F.floor(k / 5) * V.SIDE, V.LON0 + k % 5 * V.SIDE, V.SIDE // steps
+    corner = lambda y, x: F.struct((lat + y).cast("int").alias("lat_e7"), (lon + x).cast("int").alias("lon_e7"))
+    stair = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.array(corner(V.SIDE - i * step, i * step), corner(V.SIDE - i * step, (i + 1) * step))))
+    ring = F.concat(F.array(corner(F.lit(0), F.lit(0))), stair, F.array(corner(F.lit(0), F.lit(V.SIDE)), corner(F.lit(0), F.lit(0))))
+    areas = with_box(V.table(spark, sf, "nation").select(k.cast("int").alias("idx"), ring.alias("geometry")))
+    rings = areas.select(F.col("idx").alias("area_idx"), F.lit(0).alias("ring_no"), F.lit(0).alias("role"), "geometry")
+    return points_in_areas(V.points(spark, sf), areas, rings).select("point_id", long("area_idx"))
+
+
 @query(""", c AS (SELECT point_id, floor((lat - 470000000) / 1600000)::BIGINT AS a, floor((lon - 90000000) / 1600000)::BIGINT AS b, lat + 10 - 470000000 AS y, lon + 10 - 90000000 AS x FROM points),
 d AS (SELECT point_id, a * 5 + b AS relation, least(y - a * 1600000, (a + 1) * 1600000 - y, x - b * 1600000, (b + 1) * 1600000 - x) AS depth FROM c)
 SELECT relation, point_id + 1 AS ring_no, least(2, floor(depth / 200000))::BIGINT AS area FROM d WHERE depth >= 0""")
