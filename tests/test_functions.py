@@ -14,6 +14,8 @@ from waymark.functions import intent as I
 from waymark.functions import rules as K
 from waymark.functions import text as X
 from waymark.operators import segments, spatial
+from waymark.operators.forward import Query, QueryError
+from waymark.operators.forward_table import taken_apart
 from waymark.operators.graph import connected_components
 from waymark.operators.spatial import nearest_points, points_in_areas
 from waymark.operators.streets import assemble_rings, chains
@@ -21,7 +23,7 @@ from waymark.operators.viewport import even_sample
 from waymark.plans.build import place_inner_rings
 from waymark.plans.index import expansions, fuzzy_expansions, substring_expansions
 from waymark.sources.pbf import decode, fields, packed
-from waymark.sources.schema import with_box
+from waymark.sources.schema import type_number, type_of, with_box
 
 LINE = "array<struct<lat_e7:int,lon_e7:int>>"
 
@@ -398,3 +400,50 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("point_id long, lat double, lon double").parquet(str(tmp_path / "in"))
     reverse_stream(stream, data, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first()["result_type"] == "house"
+
+
+def test_values_of_rule_tables():
+    """Written out by hand, not taken from the tables."""
+    concepts, families = K.concepts(), K.families()
+    assert concepts["personal_care"] == ("personal care products", [("shop", "chemist", 100), ("shop", "cosmetics", 95), ("amenity", "pharmacy", 85), ("shop", "supermarket", 55)])
+    assert concepts["park"] == ("parks", [("leisure", "park", 100), ("leisure", "garden", 80), ("landuse", "recreation_ground", 70), ("landuse", "village_green", 70)])
+    assert concepts["locksmith"][1] == [("shop", "locksmith", 100), ("craft", "locksmith", 100)] and concepts["restaurant"][1][2] == ("amenity", "fast_food", 65)
+    assert concepts["school"][1] == [("amenity", "school", 100), ("amenity", "university", 60)] and concepts["charging"][0] == "vehicle charging stations"
+    assert families["running_shoes"] == ("shoes", "running shoes", [("shop", "shoes", 100), ("shop", "sports", 95), ("shop", "department_store", 50)])
+    assert families["pet_food"] == ("pet_supplies", "pet food", [("shop", "pet", 100), ("shop", "supermarket", 55)])
+    assert families["watch_repair_battery"][2] == [("shop", "watches", 100), ("shop", "jewelry", 80)] and families["car_parts"][0] == "car_service"
+    assert families["sports_equipment"][2] == [("shop", "sports", 100), ("leisure", "sports_centre", 40)]
+    named = {"Grünanlage": "park", "coffee shop": "cafe", "Imbiss": "fast_food", "Läden": "shop", "restaurants": "restaurant", "parking of nothing": ""}
+    assert {t: K.category(t) for t in named} == named
+    aliases = {"Drogerie": "personal_care", "arznei": "medicine", "Brot": "bakery_food", "handy zubehör": "electronics_accessories", "auto": "car_service", "Schreibwaren": "books_stationery", "blumen": "flowers", "Pet Supplies": "pet_supplies", "x": ""}
+    assert {t: K.concept(t) for t in aliases} == aliases
+    products = {"Nagellackentferner": "cosmetics_removal", "deo": "hair_body_care", "Hustensaft": "cold_medicine", "Brot": "bread_pastry", "Ladegerät": "phone_accessories", "fahrrad reparatur": "bike_parts_repair", "home textiles": "home_textiles", "": ""}
+    assert {t: K.family(t) for t in products} == products
+
+
+def test_rule_columns_say_what_the_functions_say(spark, sf):
+    random.seed(8)
+    known = [n for t in (K.CATEGORY_NAMES, K.CONCEPT_NAMES, K.FAMILY_NAMES, K.FAMILY_PHRASES, K.SERVICE_PHRASES) for n, _ in K._pairs(t)]
+    words = [*known, *K.REFERENCE_WORDS, *K.concepts(), *K.families(), "mein", "Paket", "auto", "repariert", "versenden", "Straße", "-5", "é", "usb", "xyz"]
+    texts = [*known, *K.concepts(), *K.families(), "", None, " ", "!?", " Houses\t", "\x1fpoi ", "ADMIN_AREA", "Weg weg", "weg 5", "a,-3", "a -3", "a -b"]
+    texts += [" ".join(random.choice(words) for _ in range(random.randint(1, 14))) for _ in range(600)] + ["near " + "wort " * 20_000 + "bei dem park"]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    t, norm = F.col("raw"), F.col("norm")
+    rows = taken_apart(spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")).select("query_id", "raw", "norm", "ordered", F.coalesce("error", F.lit("")).alias("error"))
+    said = rows.select("query_id", K.category_of(F.col("norm")), K.concept_of(K.key_of(t)), K.family_of(K.key_of(t)), K.family_phrase(norm), K.service_phrase(norm), K.category_after(F.col("ordered")), type_of(t), "error", K.concept_label(K.key_of(t)), K.concept_of_family(K.key_of(t)))
+
+    def refused(text):
+        try:
+            Query(text).check()
+        except QueryError as error:
+            return str(error)
+        return ""
+
+    seen = set()
+    for r in said.collect():
+        text = texts[r["query_id"]] or ""
+        key = K._key(text)
+        want = (K.category(text), K.concept(text), K.family(text), K.family_in(text), K.service_in(text), K.reference_category(text), type_number(text), refused(text), K.concepts().get(key, ("",))[0], K.families().get(key, ("",))[0])
+        assert tuple(r)[1:] == want, text[:200]
+        seen |= {i for i, w in enumerate(want) if w}
+    assert seen == set(range(10))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
@@ -330,6 +331,70 @@ def reference_category(text: str) -> str:
     return ""
 
 
+# The same of columns of texts.
+
+
+def _found(names: dict[str, str], key: Column) -> Column:
+    """What a key stands for in a fixed table, else an empty text."""
+    return F.coalesce(F.try_element_at(F.create_map(*map(F.lit, chain.from_iterable(names.items()))), key), F.lit(""))
+
+
+def key_of(text: Column) -> Column:
+    """A name as the rule tables write it."""
+    return F.translate(normalize(text), " ", "_")
+
+
+def category_of(norm: Column) -> Column:
+    """category() of a normalized text; of names that occur twice the last one counts."""
+    return _found(dict(_pairs(CATEGORY_NAMES)), norm)
+
+
+def concept_of(key: Column) -> Column:
+    """concept() of a key: a concept's own name, else its first alias."""
+    return _found(dict(reversed(_pairs(CONCEPT_NAMES))) | {n: n for n in concepts()}, key)
+
+
+def family_of(key: Column) -> Column:
+    return _found(dict(reversed(_pairs(FAMILY_NAMES))) | {n: n for n in families()}, key)
+
+
+def concept_label(key: Column) -> Column:
+    return _found({n: label for n, (label, _) in concepts().items()}, key)
+
+
+def concept_of_family(key: Column) -> Column:
+    return _found({n: c for n, (c, _, _) in families().items()}, key)
+
+
+def _first_phrase(pairs: tuple[tuple[str, str], ...], holds: Callable[[Column], Column]) -> Column:
+    """The target of the first phrase, in order, that a text holds; null if there is none."""
+    rules = F.array(*[F.struct(F.lit(phrase).alias("phrase"), F.lit(target).alias("target")) for phrase, target in pairs])
+    return F.get(F.filter(rules, lambda r: holds(r["phrase"])), F.lit(0))["target"]
+
+
+def family_phrase(norm: Column) -> Column:
+    """family_in() of a normalized text."""
+    return F.coalesce(_first_phrase(_pairs(FAMILY_PHRASES), lambda phrase: F.contains(norm, phrase)), F.lit(""))
+
+
+def service_phrase(norm: Column) -> Column:
+    """service_in() of a normalized text."""
+    words, any_of = F.split(norm, " "), lambda *w: F.array(*map(F.lit, w))
+    asks = lambda thing, *deeds: F.array_contains(words, thing) & F.arrays_overlap(words, any_of(*deeds))
+    parcel = F.when(asks("paket", "abgeben", "versenden"), "parcel_delivery").when(asks("auto", "repariert", "reparieren", "reparatur"), "car_service")
+    return F.coalesce(_first_phrase(_pairs(SERVICE_PHRASES), lambda phrase: has_phrase(norm, phrase)), parcel, F.lit(""))
+
+
+def category_after(ordered: Column) -> Column:
+    """reference_category() of ordered tokens: the first word that is a category, alone or with the next one, and has a
+    preposition among the five before it."""
+    asked = F.array(*map(F.lit, REFERENCE_WORDS))
+    near = lambda j: F.arrays_overlap(F.slice(ordered, F.greatest(F.lit(1), j - 4), F.least(j, F.lit(5))), asked)
+    both = lambda t, j: F.concat(t, F.lit(" "), F.get(ordered, j + 1))
+    found = F.transform(ordered, lambda t, j: F.when(near(j), F.coalesce(F.nullif(category_of(t), F.lit("")), category_of(both(t, j)))))
+    return F.coalesce(F.get(F.filter(found, lambda c: c != ""), F.lit(0)), F.lit(""))
+
+
 # On POI columns.
 
 

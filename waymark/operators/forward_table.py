@@ -82,14 +82,7 @@ class ForwardTable:
     @cached_property
     def parsed(self) -> DataFrame:
         """Every text with its parts and its error, if it has one that the text alone tells."""
-        raw = F.coalesce("text", F.lit(""))
-        rows = self.texts.select("query_id", raw.alias("raw"), X.normalize(raw).alias("norm"), X.ordered_tokens(raw).alias("ordered"))
-        rows = rows.withColumn("tokens", F.array_sort(F.array_distinct("ordered")))
-        rows = rows.withColumns({"postcodes": X.postcodes(F.col("tokens")), "numbers": X.numbers(F.col("tokens")), "words": X.words(F.col("tokens"))})
-        rows = rows.withColumn("plain", (F.size("numbers") == 0) & (F.size("postcodes") == 0))
-        error = F.when(F.col("norm") == "", "missing q parameter").when(raw_negative(F.col("raw")), "negative house numbers are invalid")
-        error = error.when(F.col("plain") & (F.size("words") == 1) & F.get("words", F.lit(0)).isin(*BROAD_QUERIES), "query is too broad")
-        return cut(rows.withColumn("error", error))
+        return cut(taken_apart(self.texts))
 
     @cached_property
     def asked(self) -> DataFrame:
@@ -375,6 +368,18 @@ def raw_negative(raw: Column) -> Column:
     return raw.rlike("(?U)(^|[\\s\\x{1c}-\\x{1f},;])-[0-9]")
 
 
+def taken_apart(texts: DataFrame) -> DataFrame:
+    """Texts (query_id, text) with their parts, and the error of those that are refused for their text alone."""
+    raw = F.coalesce("text", F.lit(""))
+    rows = texts.select("query_id", raw.alias("raw"), X.normalize(raw).alias("norm"), X.ordered_tokens(raw).alias("ordered"))
+    rows = rows.withColumn("tokens", F.array_sort(F.array_distinct("ordered")))
+    rows = rows.withColumns({"postcodes": X.postcodes(F.col("tokens")), "numbers": X.numbers(F.col("tokens")), "words": X.words(F.col("tokens"))})
+    rows = rows.withColumn("plain", (F.size("numbers") == 0) & (F.size("postcodes") == 0))
+    error = F.when(F.col("norm") == "", "missing q parameter").when(raw_negative(F.col("raw")), "negative house numbers are invalid")
+    error = error.when(F.col("plain") & (F.size("words") == 1) & F.get("words", F.lit(0)).isin(*BROAD_QUERIES), "query is too broad")
+    return rows.withColumn("error", error)
+
+
 def geocode_all(data: GeoDataset, texts: DataFrame, limit: int = 20, type_: str | None = None) -> DataFrame:
     """The answers to all texts (query_id, text): query_id, rank, type, idx, matched, score."""
     return ForwardTable(data, texts, limit, type_).results()

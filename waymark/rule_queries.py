@@ -3,9 +3,8 @@ whole table, with SQL that says the same from the rule tables as values."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +13,13 @@ from waymark.functions import rules as K
 from waymark.functions import tags as R
 from waymark.functions import text as X
 from waymark.operators import forward as FW
+from waymark.operators.forward_table import taken_apart
 from waymark.operators.spatial import points_in_areas
 from waymark.operators.streets import relation_rings
 from waymark.plans import build as B
 from waymark.plans import views as V
 from waymark.queries import _WORDS, _indexed, _relevance, _vocabulary, long, norm, query, toks
-from waymark.sources.schema import type_number, with_box
+from waymark.sources.schema import type_of, with_box
 
 
 def quoted(x: object) -> str:
@@ -35,17 +35,6 @@ def listed(items: Iterable[str]) -> str:
     return "[" + ", ".join(map(quoted, items)) + "]"
 
 
-def told(df: DataFrame, schema: str, **fields: Callable[[str], object]) -> DataFrame:
-    """df (whose last column is a text) with what each function says of the text in its place."""
-    text = df.columns[-1]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield pd.DataFrame({c: rows[c] for c in rows.columns[:-1]} | {n: [f(x) for x in rows[text]] for n, f in fields.items()})
-
-    return df.mapInPandas(run, schema)
-
-
 def pick(items: list[str], key: Column) -> Column:
     """One of items by key, in turn."""
     return F.element_at(F.array(*map(F.lit, items)), (key % len(items) + 1).cast("int"))
@@ -101,15 +90,7 @@ _KINDS = [" Houses", "house", "address", "ADDRESSES ", "street", "Road", "admin"
 @query(f"SELECT p_partkey AS id, CASE WHEN w IN ('house', 'houses', 'address', 'addresses') THEN 1 WHEN w IN ('street', 'road') THEN 2 WHEN w IN ('admin', 'area') THEN 3 WHEN w IN ('poi', 'place') THEN 4 ELSE 0 END::BIGINT AS type FROM (SELECT p_partkey, lower(trim({listed(_KINDS)}[p_partkey % {len(_KINDS)} + 1])) AS w FROM part)", views=False)
 def flt7_type_filter(spark: SparkSession, sf: str) -> DataFrame:
     rows = V.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), pick(_KINDS, F.col("p_partkey")).alias("word"))
-    return told(rows, "id long, type long", type=type_number)
-
-
-def _guard(text: str) -> str:
-    try:
-        FW.Query(text).check()
-    except FW.QueryError as error:
-        return str(error)
-    return ""
+    return rows.select("id", type_of(F.col("word")).cast("long").alias("type"))
 
 
 _ASKED = ["", " !? ", "Straße", "Weg", "street 5", "-5 Weg", "Weg, -7a", "Weg 5-7", "poi"]
@@ -119,7 +100,8 @@ _ASKED = ["", " !? ", "Straße", "Weg", "street 5", "-5 Weg", "Weg, -7a", "Weg 5
 FROM (SELECT p_partkey, q, {norm('q')} AS n FROM (SELECT p_partkey, coalesce({listed(_ASKED)}[p_partkey % 10 + 1], p_name) AS q FROM part))""", views=False)
 def flt10_guards(spark: SparkSession, sf: str) -> DataFrame:
     asked = F.when(F.col("p_partkey") % 10 == len(_ASKED), F.col("p_name")).otherwise(F.get(F.array(*map(F.lit, _ASKED)), (F.col("p_partkey") % 10).cast("int")))
-    return told(V.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), asked.alias("q")), "id long, refused string", refused=_guard)
+    texts = V.table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), asked.alias("text"))
+    return taken_apart(texts).select(F.col("query_id").alias("id"), F.coalesce("error", F.lit("")).alias("refused"))
 
 
 # Geometry and rings
@@ -279,7 +261,7 @@ _NAME = f"(SELECT p_partkey AS id, {norm(f'{listed(_NAMES)}[p_partkey % {len(_NA
 
 @query(f"SELECT id, coalesce((SELECT arg_max(target, i) FROM {values(_CATEGORIES)} a(i, name, target) WHERE name = n), '') AS category FROM {_NAME}", views=False)
 def tx13_category_alias(spark: SparkSession, sf: str) -> DataFrame:
-    return told(_names(spark, sf), "id long, category string", category=K.category)
+    return _names(spark, sf).select("id", K.category_of(X.normalize(F.col("word"))).alias("category"))
 
 
 def _alias_sql(own: Iterable[str], aliases: list[tuple[int, str, str]]) -> str:
@@ -288,15 +270,15 @@ def _alias_sql(own: Iterable[str], aliases: list[tuple[int, str, str]]) -> str:
 
 @query(f"SELECT id, {_alias_sql(K.concepts(), _CONCEPTS)} AS concept, {_alias_sql(K.families(), _FAMILIES)} AS family FROM {_NAME}", views=False)
 def tx14_concept_alias(spark: SparkSession, sf: str) -> DataFrame:
-    return told(_names(spark, sf), "id long, concept string, family string", concept=K.concept, family=K.family)
+    key = K.key_of(F.col("word"))
+    return _names(spark, sf).select("id", K.concept_of(key).alias("concept"), K.family_of(key).alias("family"))
 
 
 @query(f"SELECT id, coalesce((SELECT label FROM {values([(n, label) for n, (label, _) in K.concepts().items()])} c(name, label) WHERE name = replace(n, ' ', '_')), '') AS label, coalesce((SELECT concept FROM {values([(n, c) for n, (c, _, _) in K.families().items()])} f(name, concept) WHERE name = replace(n, ' ', '_')), '') AS concept FROM {_NAME}", views=False)
 def kg3_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """The label of the concept, and the concept of the family, of each name."""
-    concept = lambda w: K.concepts()[K.concept(w)][0] if K._key(w) in K.concepts() else ""
-    family = lambda w: K.families()[K.family(w)][0] if K._key(w) in K.families() else ""
-    return told(_names(spark, sf), "id long, label string, concept string", label=concept, concept=family)
+    key = K.key_of(F.col("word"))
+    return _names(spark, sf).select("id", K.concept_label(key).alias("label"), K.concept_of_family(key).alias("concept"))
 
 
 _PHRASES = [p for t in (_FAMILY_PHRASES, _SERVICE_PHRASES) for _, p, _ in t] + ["ein Paket versenden", "mein Auto reparieren", "nothing of the kind"]
@@ -307,18 +289,18 @@ _QUESTION = f"(SELECT p_partkey AS id, {norm(f'''{listed(['Wo finde ich ', 'buy
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     asked = F.concat(pick(["Wo finde ich ", "buy ", "hyper"], k), pick(_PHRASES, k), pick([" near the ", " bei ", " beside "], F.floor(k / 3)), pick(_KNOWN_CATEGORIES, k))
-    return V.table(spark, sf, "part").select(k.alias("id"), asked.alias("q"))
+    return V.table(spark, sf, "part").select(k.alias("id"), X.normalize(asked).alias("q"))
 
 
 @query(f"SELECT id, coalesce((SELECT arg_min(target, i) FROM {values(_FAMILY_PHRASES)} f(i, phrase, target) WHERE contains(q, phrase)), '') AS family FROM {_QUESTION}", views=False)
 def kg4_family_phrase(spark: SparkSession, sf: str) -> DataFrame:
-    return told(_questions(spark, sf), "id long, family string", family=K.family_in)
+    return _questions(spark, sf).select("id", K.family_phrase(F.col("q")).alias("family"))
 
 
 @query(f"""SELECT id, coalesce(found, CASE WHEN list_contains(w, 'paket') AND list_has_any(w, ['abgeben', 'versenden']) THEN 'parcel_delivery' WHEN list_contains(w, 'auto') AND list_has_any(w, ['repariert', 'reparieren', 'reparatur']) THEN 'car_service' ELSE '' END) AS service
 FROM (SELECT id, string_split(q, ' ') AS w, (SELECT arg_min(target, i) FROM {values(_SERVICE_PHRASES)} f(i, phrase, target) WHERE contains(' ' || q || ' ', ' ' || phrase || ' ')) AS found FROM {_QUESTION})""", views=False)
 def kg5_service_phrase(spark: SparkSession, sf: str) -> DataFrame:
-    return told(_questions(spark, sf), "id long, service string", service=K.service_in)
+    return _questions(spark, sf).select("id", K.service_phrase(F.col("q")).alias("service"))
 
 
 @query(f""", c AS (SELECT name, arg_max(target, i) AS target FROM {values(_CATEGORIES)} a(i, name, target) GROUP BY name),
@@ -327,7 +309,8 @@ spots AS (SELECT id, w, i, unnest(range(i + 1, least(len(w), i + 5) + 1)) AS j F
 hit AS (SELECT spots.id, i, j, coalesce(one.target, two.target) AS target FROM spots LEFT JOIN c one ON one.name = w[j] LEFT JOIN c two ON two.name = w[j] || ' ' || w[j + 1])
 SELECT p_partkey AS id, coalesce(target, '') AS category FROM part LEFT JOIN (SELECT id, arg_min(target, (i, j)) AS target FROM hit WHERE target IS NOT NULL GROUP BY id) ON id = p_partkey""")
 def kg7_reference_category(spark: SparkSession, sf: str) -> DataFrame:
-    return told(_questions(spark, sf), "id long, category string", category=K.reference_category)
+    words = _questions(spark, sf).select("id", X.ordered_tokens(F.col("q")).alias("words"))
+    return words.select("id", K.category_after(F.col("words")).alias("category"))
 
 
 # Whole scores

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +48,12 @@ def type_number(name: str | None) -> int:
     return TYPE_ALIASES.get((name or "").strip().lower(), 0)
 
 
+def type_of(name: Column) -> Column:
+    """type_number() of a column."""
+    kinds = F.create_map(*map(F.lit, chain.from_iterable(TYPE_ALIASES.items())))
+    return F.coalesce(F.try_element_at(kinds, F.lower(F.regexp_replace(name, r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$", ""))), F.lit(0))
+
+
 def with_box(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     return df.withColumn("_b", bbox(F.col(geometry))).select("*", "_b.min_lat", "_b.max_lat", "_b.min_lon", "_b.max_lon").drop("_b")
 
