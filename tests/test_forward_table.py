@@ -96,3 +96,23 @@ def test_joins_with_the_vocabulary(spark):
         assert got == {w: [r["token"] for r in single(vocab, w, most).collect()] for w in wanted}
         assert join(vocab, table).count() >= sum(map(len, got.values())) > 20
         assert join(vocab.limit(0), table).count() == join(vocab, table.where(F.lit(False))).count() == 0
+
+
+def test_a_word_of_more_than_250000_streets_is_planned(spark):
+    """The SQL of fg6 and fg10 has no bound on a word's streets."""
+    way = spark.range(250_001).select(F.col("id").cast("int").alias("idx"))
+    point, words = F.struct(F.lit(470000000).alias("lat_e7"), F.lit(90000000).alias("lon_e7")), lambda *w: F.array(*map(F.lit, w)).cast("array<string>")
+    inside = F.when(F.col("idx") % 50 == 7, words("bayern")).otherwise(words())
+    streets = way.select(F.lit(2).cast("byte").alias("type"), "idx", F.lit("weg").alias("name_norm"), words("weg").alias("name_tokens"), inside.alias("admin_tokens"), F.lit(False).alias("name_is_place"))
+    area = spark.range(1).select(F.lit(3).cast("byte").alias("type"), F.lit(0).alias("idx"), F.lit("bayern").alias("name_norm"), words("bayern").alias("name_tokens"), words().alias("admin_tokens"), F.lit(False).alias("name_is_place"))
+    postings = way.select(F.lit("weg").alias("token"), F.lit(2).cast("byte").alias("type"), "idx")
+    data = GeoDataset({
+        "search_docs": streets.unionByName(area), "postings_context": postings, "postings_primary": postings,
+        "street_admin": way.where("idx % 50 = 7").select("idx", F.lit(0).alias("ord"), F.lit(0).alias("area_idx")),
+        "streets": way.select("idx", F.array(point, point).alias("geometry")), "admin_areas": spark.range(1).select(F.lit(0).alias("idx"), F.array(point, point).alias("outer")),
+    })
+    asked = ForwardTable(data, spark.createDataFrame([("a", "Weg Bayern")], "query_id string, text string"))
+    found = asked.street_place(asked._plain_texts(asked.active).select("query_id", "ordered", "words", "norm"))
+    want = [50 * i + 7 for i in range(80)]
+    assert sorted(r["idx"] for r in found.collect()) == want
+    assert sorted(r["idx"] for r in Forward(data, "Weg Bayern").street_place("Weg Bayern").collect()) == want
