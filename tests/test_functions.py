@@ -17,6 +17,7 @@ from waymark.operators import segments, spatial
 from waymark.operators.forward import Query, QueryError
 from waymark.operators.forward_table import taken_apart
 from waymark.operators.graph import connected_components
+from waymark.operators.natural import nearest_anchor
 from waymark.operators.spatial import nearest_points, points_in_areas
 from waymark.operators.streets import assemble_rings, chains
 from waymark.operators.viewport import even_sample
@@ -447,3 +448,38 @@ def test_rule_columns_say_what_the_functions_say(spark, sf):
         assert tuple(r)[1:] == want, text[:200]
         seen |= {i for i, w in enumerate(want) if w}
     assert seen == set(range(10))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_distances_are_formulas_of_their_own_size(spark):
+    """A lambda computes each place of a repeated part anew, so the parts have names: a few cosines in all."""
+    rows = spark.createDataFrame([(1, 2, [(3, 4), (5, 6)])], f"lat int, lon int, g {LINE}")
+    for metres in (G.street_m, G.boundary_m):
+        plan = plan_of(rows.select(metres(F.col("lat"), F.col("lon"), F.col("g")).alias("m")))
+        assert 0 < plan.count("COS(") <= 3
+        assert plan.count("concat(") <= 1
+
+
+def test_phrases_meet_a_text_that_is_prepared_once(spark):
+    rows = spark.createDataFrame([("x",)], "t string").coalesce(1)
+    for phrase in (K.family_phrase, K.service_phrase):
+        before, within = plan_of(rows.select(phrase(F.reverse("t")).alias("p"))).split("filter(", 1)
+        assert "reverse(" in before and "reverse(" not in within
+    prepared = plan_of(rows.select(K.category_after(F.split(F.reverse("t"), " ")).alias("c")))
+    assert prepared.count("reverse(") == 1
+
+
+def test_nearest_anchor_keeps_a_row_for_each_place(spark):
+    """Pairs of places and anchors would be sorted, all of a task's at once."""
+    places = spark.createDataFrame([(i, 470000000 + 1000 * i, 90000000 - 700 * i) for i in range(30)] + [(30, None, None)], "idx int, lat_e7 int, lon_e7 int")
+    anchors = spark.createDataFrame([(2, 470002000, 89998600, 1), (9, 470002000, 89998600, 0), (20, 470020000, 89986000, 2)], "idx int, lat_e7 int, lon_e7 int, ord int")
+    found = nearest_anchor(places, anchors)
+    got = {r["idx"]: (r["anchor_idx"], r["reference_m"]) for r in found.collect()}
+    assert got[0][0] == 9 and got[2] == (9, 0.0) and got[29][0] == 20 and got[30][1] is None and len(got) == 31
+    d = places.where("idx = 0").select(G.distance_m(F.col("lat_e7"), F.col("lon_e7"), F.lit(470002000), F.lit(89998600))).first()[0]
+    assert got[0][1] == d
+    assert {r["anchor_idx"] for r in nearest_anchor(places, anchors.where("false")).collect()} == {None}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
