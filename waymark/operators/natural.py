@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geometry as G
 from waymark.functions import rules as K
 from waymark.functions import text as X
+from waymark.functions.bind import bind
 from waymark.functions.intent import CONCEPT, Intent
 from waymark.functions.tags import poi_label
 from waymark.operators.forward import lits
@@ -67,11 +68,22 @@ def natural_score(weight: Column, relevance: Column, type_score: Column, metres:
 
 def nearest_anchor(pois: DataFrame, anchors: DataFrame) -> DataFrame:
     """pois with anchor_idx and reference_m of the nearest of the anchors (48 at most), the first of equally near ones."""
-    a = anchors.select(F.col("idx").alias("a_idx"), F.col("lat_e7").alias("a_lat"), F.col("lon_e7").alias("a_lon"), "ord")
-    pairs = pois.select("idx", "lat_e7", "lon_e7").crossJoin(F.broadcast(a))
-    d = G.distance_m(F.col("lat_e7"), F.col("lon_e7"), F.col("a_lat"), F.col("a_lon"))
-    best = pairs.groupBy("idx").agg(F.min(F.struct(d.alias("d"), "ord", "a_idx")).alias("b"))
-    return pois.join(best, "idx", "left").withColumn("reference_m", F.col("b.d")).withColumn("anchor_idx", F.col("b.a_idx")).drop("b")
+    at = [F.col("lat_e7"), F.col("lon_e7")]
+    anchor = F.struct(*[F.radians(G.degrees(c)).alias(n) for c, n in zip(at, ("la", "lo"), strict=True)], "ord", F.col("idx").alias("a_idx"))
+    a = anchors.agg(F.collect_list(anchor).alias("_anchors"))  # one row of 48 at most
+
+    def best(p: Column) -> Column:
+        """As distance_m, with the radians of either side computed once."""
+        apart = lambda c: F.struct(((c["lo"] - p["lo"]) * F.cos((p["la"] + c["la"]) / 2)).alias("x"), (c["la"] - p["la"]).alias("y"))
+        metres = lambda c: bind(apart(c), lambda v: G.EARTH_M * F.sqrt(v["x"] * v["x"] + v["y"] * v["y"]))
+        return F.array_min(F.transform(p["anchors"], lambda c: F.struct(metres(c).alias("d"), c["ord"].alias("ord"), c["a_idx"].alias("a_idx"))))
+
+    # distances are the work here, so the places are dealt over all cores however small their table is
+    spark = pois.sparkSession
+    dealt = pois.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "idx")
+    own = F.struct(*[F.radians(G.degrees(c)).alias(n) for c, n in zip(at, ("la", "lo"), strict=True)], F.col("_anchors").alias("anchors"))
+    found = dealt.crossJoin(F.broadcast(a)).withColumn("b", bind(own, best))
+    return found.select(*pois.columns, F.col("b.d").alias("reference_m"), F.col("b.a_idx").alias("anchor_idx"))
 
 
 def natural_search(pois: DataFrame, intent: Intent, query: str, origin: Point, viewport: Box | None = None, use_viewport: bool = True, limit: int = 10, exact: bool = False) -> DataFrame:
