@@ -116,3 +116,15 @@ def test_a_word_of_more_than_250000_streets_is_planned(spark):
     want = [50 * i + 7 for i in range(80)]
     assert sorted(r["idx"] for r in found.collect()) == want
     assert sorted(r["idx"] for r in Forward(data, "Weg Bayern").street_place("Weg Bayern").collect()) == want
+
+
+def test_addresses_go_from_streets_found_to_their_areas(spark, town, monkeypatch):
+    """Texts that ask for the same street meet it once, not once a text."""
+    asked_for, nearness = [], ForwardTable._nearness
+    monkeypatch.setattr(ForwardTable, "_nearness", lambda self, rows: asked_for.append(rows) or nearness(self, rows))
+    texts = [f"Hauptstraße {n} München" for n in range(20, 30)]
+    asked = ForwardTable(town, spark.createDataFrame(list(enumerate(texts)), "query_id int, text string"))
+    found = {tuple(r) for r in asked.addresses[0].select("query_id", "idx").collect()}
+    assert len({q for q, _ in found}) in (0, len(texts))
+    for rows in asked_for:
+        assert sorted(rows.columns) == ["idx", "place"] and rows.count() <= 3 * 4  # three such streets; places that the words name
