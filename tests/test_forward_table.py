@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from waymark.operators.forward import Forward, QueryError
 from waymark.operators.forward_table import ForwardTable, geocode_all
 from waymark.operators.graph import cut
-from waymark.plans.index import add_index, fuzzy_expansions, fuzzy_join, substring_expansions, substring_join
+from waymark.plans.index import add_index, add_words, fuzzy_expansions, fuzzy_join, substring_expansions, substring_join
 from waymark.sources.schema import BUILT, GeoDataset
 
 BOX = (470000000, 480000000, 90000000, 100000000)
@@ -128,3 +128,28 @@ def test_addresses_go_from_streets_found_to_their_areas(spark, town, monkeypatch
     assert len({q for q, _ in found}) in (0, len(texts))
     for rows in asked_for:
         assert sorted(rows.columns) == ["idx", "place"] and rows.count() <= 3 * 4  # three such streets; places that the words name
+
+
+def test_words_without_areas_are_those_of_the_index(spark, town):
+    """Plain texts read primary postings only, and the vocabulary needs no areas of entities."""
+    rows = lambda df, *cols: sorted(tuple(map(str, r)) for r in df.select(*cols).collect())
+    words = add_words(GeoDataset({n: t for n, t in town.tables.items() if n not in ("postings_context", "postings_primary", "search_docs", "vocabulary")}))
+    for name in ("vocabulary", "postings_primary", "postings_context", "search_docs"):
+        assert rows(words.tables[name], *town.tables[name].columns) == rows(town.tables[name], *town.tables[name].columns), name
+    asked = ForwardTable(words, spark.createDataFrame([(0, "Müller München"), (1, "Cafe Anton")], "query_id int, text string"))
+    assert asked.postings.where("not plain").count() == 0
+    assert ForwardTable(town, spark.createDataFrame([(0, "Hauptstr. 7 München")], "query_id int, text string")).postings.where("not plain").count() > 0
+
+
+def test_candidates_need_every_word_and_meet_equal_records_once(spark, town):
+    texts = ["Müller München", "Cafe Anton", "Hauptstr. 7", "anton"]
+    asked = ForwardTable(town, spark.createDataFrame(list(enumerate(texts)), "query_id int, text string"))
+    stands = {}
+    for r in asked.plan.collect():
+        stands.setdefault(r["query_id"], {}).setdefault(r["q"], set()).add((r["plain"], r["token"]))
+    held = {}
+    for r in asked.postings.collect():
+        held.setdefault((r["type"], r["idx"]), set()).add((r["plain"], r["token"]))
+    want = {(q, *record) for q, parts in stands.items() for record, has in held.items() if all(has & some for some in parts.values())}
+    got = [tuple(r) for r in asked.candidates.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len({q for q, *_ in got}) >= 3

@@ -483,3 +483,26 @@ def test_nearest_anchor_keeps_a_row_for_each_place(spark):
     assert got[0][1] == d
     assert {r["anchor_idx"] for r in nearest_anchor(places, anchors.where("false")).collect()} == {None}
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shapes_in_areas_with_and_without_covers(spark, monkeypatch):
+    """Vertices share their idx and lie on outlines, in holes and in several areas; one that lies twice counts once."""
+    random.seed(6)
+    square = lambda a, b, n: [(a, b), (a + n, b), (a + n, b + n), (a, b + n), (a, b)]
+    rings = [(0, 0, 0, square(480000000, 90000000, 1_600_000)), (0, 1, 1, square(480500000, 90500000, 300_000)), (1, 0, 0, square(481000000, 91000000, 900_000)[:3] + [(481000000, 91000000)])]
+    df = _ring_rows(spark, rings)
+    areas = with_box(df.where("role = 0").select(F.col("area_idx").alias("idx"), "geometry"))
+    pts = [(random.randint(479900000, 482000000), random.randint(89900000, 92000000)) for _ in range(1500)] + [p for *_, g in rings for p in g] * 2
+    spots = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "point_id int, lat_e7 int, lon_e7 int")
+    one = {tuple(r) for r in points_in_areas(spots, areas, df).collect()}
+    want = {(i // 3, a) for i, a in one}
+    vertices = spots.select(F.floor(F.col("point_id") / 3).cast("int").alias("idx"), "lat_e7", "lon_e7")
+    lookup = spatial.AreaLookup(areas, df)
+    told = dict(tuple(r) for r in lookup.told(spots).groupBy(F.col("sure").isNotNull()).count().collect())
+    assert told[False] < 0.25 * told[True]  # areas of few edges have a cover, too
+    got = [tuple(r) for r in spatial.shapes_in_areas(vertices, lookup).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    monkeypatch.setattr(spatial, "FEW_AREAS", 0)
+    assert {tuple(r) for r in points_in_areas(spots, areas, df).collect()} == one
+    plain = spatial.AreaLookup(areas, df)
+    assert plain.cover is None and {tuple(r) for r in spatial.shapes_in_areas(vertices, plain).collect()} == want
