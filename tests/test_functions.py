@@ -506,3 +506,23 @@ def test_shapes_in_areas_with_and_without_covers(spark, monkeypatch):
     assert {tuple(r) for r in points_in_areas(spots, areas, df).collect()} == one
     plain = spatial.AreaLookup(areas, df)
     assert plain.cover is None and {tuple(r) for r in spatial.shapes_in_areas(vertices, plain).collect()} == want
+
+
+def test_connected_streets_of_many_components(spark, monkeypatch):
+    """Chains of three, the last one lying the other way round; streets that are unnamed, closed or of another kind stay alone. The streets
+    given are computed once."""
+    from waymark.operators import streets as ST
+
+    seen = []
+    monkeypatch.setattr(ST, "cut", lambda df: seen.append(df.columns) or df.localCheckpoint())
+    at = lambda c, k: (c * 100, k)
+    rows = []
+    for c in range(200):
+        lines = [(at(c, 0), at(c, 1)), (at(c, 1), at(c, 2)), (at(c, 3), at(c, 2))]
+        rows += [(10 * c + i, 10 * c + i + 1000, "a", "x", line) for i, line in enumerate(lines)]
+        rows += [(10 * c + 3, 10 * c + 1003, "", "x", lines[0]), (10 * c + 4, 10 * c + 1004, "a", "y", lines[0]), (10 * c + 5, 10 * c + 1005, "a", "x", (at(c, 9), at(c, 8), at(c, 9)))]
+    df = spark.createDataFrame([(i, o, n, h, [{"lat_e7": a, "lon_e7": b} for a, b in g]) for i, o, n, h, g in rows], "idx int, osm_id long, name string, highway string, geometry array<struct<lat_e7:int,lon_e7:int>>")
+    assert {r["idx"] for r in ST.linked_streets(df).collect()} == {10 * c + i for c in range(200) for i in range(3)}
+    got = {(r["component"], r["osm_id"], r["name"], r["highway"], tuple((p["lat_e7"], p["lon_e7"]) for p in r["geometry"])) for r in ST.connect_streets(df).collect()}
+    want = {(10 * c, 10 * c + 1000, "a", "x", tuple(at(c, k) for k in range(4))) for c in range(200)} | {(i, o, n, h, g) for i, o, n, h, g in rows if i % 10 >= 3}
+    assert got == want and seen == [["idx", "osm_id", "name", "highway", "geometry"]]

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.operators.graph import connected_components
+from waymark.operators.graph import connected_components, cut, small
 
 Point = tuple[int, int]
 
@@ -100,32 +102,44 @@ def chains(lines: list[tuple[int, list[Point]]]) -> list[tuple[int, list[Point]]
     return out
 
 
-def street_components(streets: DataFrame) -> DataFrame:
-    """idx, component (smallest idx) of streets that share an end point and have the same name and kind; closed and
-    unnamed streets stand alone. Segments are linked to the first one at each end point, so hubs cost what they hold."""
+def linked_streets(streets: DataFrame) -> DataFrame:
+    """idx, component (smallest idx) of the streets that share an end point with another one of the same name and kind, neither being
+    closed or unnamed. Segments are linked to the first one at each end point, so hubs cost what they hold."""
     open_ = streets.where((F.size("geometry") >= 2) & (F.col("name") != "") & (F.col("geometry")[0] != F.element_at("geometry", -1)))
     ends = open_.select("idx", "name", "highway", F.explode(F.array(F.col("geometry")[0], F.element_at("geometry", -1))).alias("at"))
     hubs = ends.groupBy("name", "highway", "at").agg(F.min("idx").alias("hub"), F.count("*").alias("n")).where("n > 1")
     edges = ends.join(hubs, ["name", "highway", "at"]).select(F.col("idx").alias("src"), F.col("hub").alias("dst"))
-    linked = connected_components(edges)
-    return streets.select("idx").join(linked.withColumnRenamed("node", "idx"), "idx", "left").select("idx", F.coalesce("component", "idx").alias("component"))
+    return connected_components(edges).select(F.col("node").alias("idx"), "component")
+
+
+def street_components(streets: DataFrame) -> DataFrame:
+    """idx, component of all streets, as of linked_streets; those that aren't linked stand alone."""
+    return streets.select("idx").join(linked_streets(streets), "idx", "left").select("idx", F.coalesce("component", "idx").alias("component"))
 
 
 def connect_streets(streets: DataFrame) -> DataFrame:
     """streets with connected segments merged to chains; columns osm_id (smallest of the chain), name, highway, geometry,
     and idx, new. Closed and unnamed streets are copied. Components, not names, are grouped: none grows with a frequent
     street name."""
-    labelled = streets.join(street_components(streets), "idx")
-    sizes = labelled.groupBy("component").agg(F.count("*").alias("n"))
-    labelled = labelled.join(sizes, "component")
-    alone = labelled.where("n = 1").select("component", F.col("osm_id"), "name", "highway", "geometry")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable")
-        lines = [(int(i), [(p["lat_e7"], p["lon_e7"]) for p in g]) for i, g in zip(pdf["osm_id"], pdf["geometry"], strict=True)]
-        made = chains(lines)
-        return pd.DataFrame({"component": pdf["component"].iloc[0], "osm_id": [i for i, _ in made], "name": pdf["name"].iloc[0], "highway": pdf["highway"].iloc[0], "geometry": [[{"lat_e7": a, "lon_e7": b} for a, b in g] for _, g in made]})
+    streets = cut(streets.select("idx", "osm_id", "name", "highway", "geometry"))
+    linked = small(linked_streets(streets))  # two or more of each component
+    alone = streets.join(linked, "idx", "left_anti").select(F.col("idx").alias("component"), "osm_id", "name", "highway", "geometry")
 
     schema = "component int, osm_id long, name string, highway string, geometry array<struct<lat_e7:int,lon_e7:int>>"
-    merged = labelled.where("n > 1").select(F.col("component").cast("int").alias("component"), "idx", "osm_id", "name", "highway", "geometry").groupBy("component").applyInPandas(run, schema)
+    fields = pa.schema([("component", pa.int32()), ("osm_id", pa.int64()), ("name", pa.string()), ("highway", pa.string()), ("geometry", pa.list_(pa.struct([("lat_e7", pa.int32()), ("lon_e7", pa.int32())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                made = chains([(x["osm_id"], [(p["lat_e7"], p["lon_e7"]) for p in x["geometry"]]) for x in row["lines"]])
+                out += [{"component": row["component"], "osm_id": i, "name": row["name"], "highway": row["highway"], "geometry": [{"lat_e7": a, "lon_e7": b} for a, b in g]} for i, g in made]
+            yield pa.RecordBatch.from_pylist(out, fields)
+
+    # a row for each component, of mostly two lines; dealt over all cores, as their work doesn't show in their size
+    spark = streets.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines = F.array_sort(F.collect_list(F.struct("idx", "osm_id", "geometry"))).alias("lines")
+    rows = streets.join(linked, "idx").repartition(tasks, "component").groupBy("component").agg(F.min("name").alias("name"), F.min("highway").alias("highway"), lines)
+    merged = rows.select(F.col("component").cast("int").alias("component"), "name", "highway", "lines").mapInArrow(run, schema)
     return alone.select(F.col("component").cast("int").alias("component"), "osm_id", "name", "highway", "geometry").unionByName(merged)
